@@ -5,8 +5,7 @@ Two shapes of function:
 * ``Column -> Column`` for short formulas;
 * ``DataFrame -> DataFrame`` (``with_*``) for long ones, evaluated in steps.
 
-``nside`` may be an int (constant for the whole table), a column name or a
-Column, so one job can hold maps of different resolution. ``theta`` is the
+``nside`` may be an int (constant for the whole table) or a column name, so one job can hold maps of different resolution. ``theta`` is the
 colatitude in [0, pi], ``phi`` the longitude in radians.
 """
 
@@ -17,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skymap.functions.staging import as_col, finish, step, t
+from skymap.functions.staging import as_col, as_sql, compute
 
 TWO_PI = 2.0 * math.pi
 HALF_PI = 0.5 * math.pi
@@ -50,10 +49,6 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def _isqrt(x: Column) -> Column:
-    return F.floor(F.sqrt(x.cast("double")))
-
-
 # ---------------------------------------------------------------- NESTED bits
 
 # Shift and mask of each halving step of a bit interleave.
@@ -66,39 +61,53 @@ _HALVINGS = [
 ]
 
 
-def _spread_bits(v: Column) -> Column:
-    for shift, mask in _HALVINGS:
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(_long(mask))
-    return v
+def _spread_steps(name: str, source: str) -> dict[str, str]:
+    """Steps that put the bits of ``source`` on the even places; result ``:name``."""
+    steps, last = {}, source
+    for k, (shift, mask) in enumerate(_HALVINGS):
+        steps[f"{name}{k}"] = f"({last} | shiftleft({last}, {shift})) & {mask}L"
+        last = f":{name}{k}"
+    return {**steps, name: last}
 
 
-def _squeeze_bits(v: Column) -> Column:
-    v = v.bitwiseAND(_long(_HALVINGS[-1][1]))
+def _squeeze_steps(name: str, source: str) -> dict[str, str]:
+    """Steps that gather the even bits of ``source``; result ``:name``."""
     wider = [m for _, m in _HALVINGS[-2::-1]] + [0x00000000FFFFFFFF]
-    for (shift, _), mask in zip(_HALVINGS[::-1], wider):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(_long(mask))
-    return v
+    steps, last = {f"{name}s": f"{source} & {_HALVINGS[-1][1]}L"}, f":{name}s"
+    for k, ((shift, _), mask) in enumerate(zip(_HALVINGS[::-1], wider)):
+        steps[f"{name}{k}"] = f"({last} | shiftright({last}, {shift})) & {mask}L"
+        last = f":{name}{k}"
+    return {**steps, name: last}
+
+
+def _nest_steps(n: str, x: str, y: str, face: str) -> dict[str, str]:
+    """Steps to the NESTED index ``:nest`` of a face cell."""
+    return {
+        **_spread_steps("mx", x),
+        **_spread_steps("my", y),
+        "nest": f":mx + shiftleft(:my, 1) + {face} * {n} * {n}",
+    }
 
 
-def xyf2nest(nside, ix, iy, face) -> Column:
-    """NESTED index of cell (ix, iy) on a base face."""
-    n = as_col(nside)
-    return (
-        _spread_bits(as_col(ix))
-        + F.shiftleft(_spread_bits(as_col(iy)), 1)
-        + as_col(face) * n * n
-    )
+def _unnest_steps(n: str, p: str) -> dict[str, str]:
+    """Steps from a NESTED index to ``:x``, ``:y``, ``:f``."""
+    return {
+        "infc": f"{p} % ({n} * {n})",
+        "f": f"{p} div ({n} * {n})",
+        **_squeeze_steps("x", ":infc"),
+        **_squeeze_steps("y", "shiftright(:infc, 1)"),
+    }
 
 
-def nest2xyf(nside, pix) -> tuple[Column, Column, Column]:
-    """(ix, iy, face) of a NESTED index."""
-    n, p = as_col(nside), as_col(pix)
-    in_face = p % (n * n)
-    return (
-        _squeeze_bits(in_face),
-        _squeeze_bits(F.shiftright(in_face, 1)),
-        idiv(p, n * n),
-    )
+def with_xyf2nest(df: DataFrame, nside, ix="ix", iy="iy", face="face", out="pix") -> DataFrame:
+    """Add the NESTED index of cell (ix, iy) on a base face."""
+    steps = _nest_steps(as_sql(nside), as_sql(ix), as_sql(iy), as_sql(face))
+    return compute(df, steps, {out: ":nest"})
+
+
+def with_nest2xyf(df: DataFrame, nside, pix="pix", out=("ix", "iy", "face")) -> DataFrame:
+    """Add face coordinates of a NESTED index."""
+    return compute(df, _unnest_steps(as_sql(nside), as_sql(pix)), dict(zip(out, (":x", ":y", ":f"))))
 
 
 def nest_parent(pix, levels: int) -> Column:
@@ -108,146 +117,107 @@ def nest_parent(pix, levels: int) -> Column:
 
 # ------------------------------------------------------------ face arithmetic
 
+# Of a base face: ring of its southern corner in units of nside (2, 3 or 4), and
+# longitude of its centre in units of pi/4 (0..7).
+_FACE = {
+    "frow": "shiftright(:f, 2) + 2",
+    "flon": "(:f & 3) * 2 + 1 - (shiftright(:f, 2) & 1)",
+}
 
-def _face_row(face: Column) -> Column:
-    """Ring of the face's southern corner in units of nside (2, 3 or 4)."""
-    return F.shiftright(face, 2) + 2
-
-
-def _face_lon(face: Column) -> Column:
-    """Longitude of the face centre in units of pi/4 (0..7)."""
-    row = F.shiftright(face, 2)
-    return face.bitwiseAND(_long(3)) * 2 + 1 - row.bitwiseAND(_long(1))
 
-
-def with_ring2xyf(df: DataFrame, nside, pix="pix", out=("ix", "iy", "face")) -> DataFrame:
-    """Add face coordinates of a RING index.
+def _unring_steps(n: str, p: str) -> dict[str, str]:
+    """Steps from a RING index to ``:x``, ``:y``, ``:f``.
 
     The southern cap is the northern one read backwards, so both share the
     ring-number formula on the mirrored index ``q``.
     """
-    n, p = as_col(nside), as_col(pix)
-    ncap, npix = n * (n - 1) * 2, n * n * 12
-    df = step(df, {"p": p, "n": n, "ncap": ncap})
-    n, p, ncap = t("n"), t("p"), t("ncap")
-    df = step(
-        df,
-        {
-            "south": p >= n * n * 12 - ncap,
-            "e": p - ncap,
-            "q": F.when(p >= n * n * 12 - ncap, n * n * 12 - 1 - p).otherwise(p),
-        },
-    )
-    q, e, south = t("q"), t("e"), t("south")
-    df = step(
-        df,
-        {
-            "cap": q < ncap,
-            "nr": F.when(q < ncap, F.shiftright(_isqrt(q * 2 + 1) + 1, 1)).otherwise(n),
-        },
-    )
-    nr, cap = t("nr"), t("cap")
-    north_phi = q + 1 - nr * (nr - 1) * 2
-    df = step(
-        df,
-        {
-            "ring": F.when(~cap, idiv(e, n * 4) + n).when(south, n * 4 - nr).otherwise(nr),
-            "iphi": F.when(~cap, e % (n * 4) + 1)
-            .when(south, nr * 4 + 1 - north_phi)
-            .otherwise(north_phi),
-        },
-    )
-    ring, iphi = t("ring"), t("iphi")
-    from_top = ring - n + 1
-    df = step(
-        df,
-        {
-            "odd": F.when(cap, _long(0)).otherwise((ring + n).bitwiseAND(_long(1))),
-            "down": idiv(iphi - idiv(n * 2 + 2 - from_top, _long(2)) + n - 1, n),
-            "up": idiv(iphi - idiv(from_top, _long(2)) + n - 1, n),
-            "quarter": idiv(iphi - 1, nr),
-        },
-    )
-    down, up = t("down"), t("up")
-    df = step(
-        df,
-        {
-            "face": F.when(cap & south, t("quarter") + 8)
-            .when(cap, t("quarter"))
-            .when(down == up, up.bitwiseOR(_long(4)))
-            .when(down < up, down)
-            .otherwise(up + 8)
-        },
-    )
-    face = t("face")
-    df = step(
-        df,
-        {
-            "a": ring - _face_row(face) * n + 1,
-            "b": iphi * 2 - _face_lon(face) * nr - t("odd") - 1,
-        },
-    )
-    df = step(df, {"c": F.when(t("b") >= n * 2, t("b") - n * 8).otherwise(t("b"))})
-    return finish(
-        df,
-        {
-            out[0]: F.shiftright(t("c") - t("a"), 1),
-            out[1]: F.shiftright(-(t("c") + t("a")), 1),
-            out[2]: face,
-        },
-    )
-
-
-def _ring_of_cell(df: DataFrame, nside, ix, iy, face) -> DataFrame:
-    """Ring number ``jr``, its quarter length ``nr`` and half-step ``odd``."""
-    df = step(df, {"n": as_col(nside), "x": as_col(ix), "y": as_col(iy), "f": as_col(face)})
-    n = t("n")
-    df = step(df, {"jr": _face_row(t("f")) * n - t("x") - t("y") - 1})
-    df = step(df, {"nr": F.least(t("jr"), n, n * 4 - t("jr"))})
-    return step(
-        df,
-        {
-            "odd": F.when(t("nr") == n, (t("jr") - n).bitwiseAND(_long(1))).otherwise(_long(0))
-        },
-    )
-
-
-def _position_in_ring() -> Column:
-    return idiv(_face_lon(t("f")) * t("nr") + t("x") - t("y") + 1 + t("odd"), _long(2))
-
-
-def _wrap_ring(jp: Column, n: Column) -> Column:
-    return F.when(jp > n * 4, jp - n * 4).when(jp < 1, jp + n * 4).otherwise(jp)
+    return {
+        **_ring_number_steps(n, p),
+        "nr": f"CASE WHEN :cap THEN :i ELSE {n} END",
+        "ring": f"CASE WHEN :cap AND :south THEN {n} * 4 - :i ELSE :i END",
+        "odd": f"CASE WHEN :cap THEN 0L ELSE (:ring + {n}) & 1 END",
+        "top": f":ring - {n} + 1",
+        "down": f"(:j - ({n} * 2 + 2 - :top) div 2 + {n} - 1) div {n}",
+        "up": f"(:j - :top div 2 + {n} - 1) div {n}",
+        "quarter": "(:j - 1) div :nr",
+        "f": """CASE WHEN :cap THEN CASE WHEN :south THEN :quarter + 8 ELSE :quarter END
+                WHEN :down = :up THEN :up | 4 WHEN :down < :up THEN :down ELSE :up + 8 END""",
+        **_FACE,
+        "a": f":ring - :frow * {n} + 1",
+        "b": ":j * 2 - :flon * :nr - :odd - 1",
+        "c": f"CASE WHEN :b >= {n} * 2 THEN :b - {n} * 8 ELSE :b END",
+        "x": "shiftright(:c - :a, 1)",
+        "y": "shiftright(-(:c + :a), 1)",
+    }
+
+
+def _ring_number_steps(n: str, p: str) -> dict[str, str]:
+    """Cap flags, ring number ``:i`` (counted from the nearer pole in a cap) and
+    1-based position ``:j`` in the ring."""
+    return {
+        "ncap": f"{n} * ({n} - 1) * 2",
+        "south": f"{p} >= {n} * {n} * 12 - :ncap",
+        "q": f"CASE WHEN :south THEN {n} * {n} * 12 - 1 - {p} ELSE {p} END",
+        "e": f"{p} - :ncap",
+        "cap": ":q < :ncap",
+        "i": f"""CASE WHEN :cap
+                 THEN shiftright(CAST(floor(sqrt(CAST(:q * 2 + 1 AS DOUBLE))) AS BIGINT) + 1, 1)
+                 ELSE :e div ({n} * 4) + {n} END""",
+        "jn": ":q + 1 - :i * (:i - 1) * 2",
+        "j": f"""CASE WHEN NOT :cap THEN :e % ({n} * 4) + 1
+                 WHEN :south THEN :i * 4 + 1 - :jn ELSE :jn END""",
+    }
+
+
+def _cell_ring_steps(n: str, x: str, y: str) -> dict[str, str]:
+    """From cell and ``:f``: ring ``:jr``, quarter length ``:nr``, half step ``:odd``
+    and 1-based position ``:jp`` in the ring."""
+    return {
+        **_FACE,
+        "jr": f":frow * {n} - {x} - {y} - 1",
+        "nr": f"least(:jr, {n}, {n} * 4 - :jr)",
+        "odd": f"CASE WHEN :nr = {n} THEN (:jr - {n}) & 1 ELSE 0L END",
+        "jw": f"(:flon * :nr + {x} - {y} + 1 + :odd) div 2",
+        "jp": f"CASE WHEN :jw > {n} * 4 THEN :jw - {n} * 4 WHEN :jw < 1 THEN :jw + {n} * 4 ELSE :jw END",
+    }
+
+
+def _ring_steps(n: str, x: str, y: str) -> dict[str, str]:
+    """Steps to the RING index ``:ring_pix`` of a cell on face ``:f``."""
+    return {
+        **_cell_ring_steps(n, x, y),
+        "ahead": f"""CASE WHEN :jr < {n} THEN :nr * (:nr - 1) * 2
+                 WHEN :jr > {n} * 3 THEN {n} * {n} * 12 - :nr * (:nr + 1) * 2
+                 ELSE {n} * ({n} - 1) * 2 + (:jr - {n}) * {n} * 4 END""",
+        "ring_pix": ":ahead + :jp - 1",
+    }
+
+
+def with_ring2xyf(df: DataFrame, nside, pix="pix", out=("ix", "iy", "face")) -> DataFrame:
+    """Add face coordinates of a RING index."""
+    return compute(df, _unring_steps(as_sql(nside), as_sql(pix)), dict(zip(out, (":x", ":y", ":f"))))
 
 
 def with_xyf2ring(df: DataFrame, nside, ix="ix", iy="iy", face="face", out="pix") -> DataFrame:
     """Add the RING index of a face cell."""
-    df = _ring_of_cell(df, nside, ix, iy, face)
-    df = step(df, {"jp": _position_in_ring()})
-    n, jr, nr = t("n"), t("jr"), t("nr")
-    before = (
-        F.when(jr < n, nr * (nr - 1) * 2)
-        .when(jr > n * 3, n * n * 12 - nr * (nr + 1) * 2)
-        .otherwise(n * (n - 1) * 2 + (jr - n) * n * 4)
-    )
-    return finish(df, {out: before + _wrap_ring(t("jp"), n) - 1})
+    steps = {"f": as_sql(face), **_ring_steps(as_sql(nside), as_sql(ix), as_sql(iy))}
+    return compute(df, steps, {out: ":ring_pix"})
 
 
 def with_nest2ring(df: DataFrame, nside, pix="pix", out="pix_ring") -> DataFrame:
     """Add the RING index of a NESTED index (a projection; no sort, no shuffle)."""
     require_power_of_two(nside)
-    x, y, f = nest2xyf(nside, pix)
-    df = df.withColumns({"__n2r_x": x, "__n2r_y": y, "__n2r_f": f})
-    df = with_xyf2ring(df, nside, "__n2r_x", "__n2r_y", "__n2r_f", out)
-    return df.drop("__n2r_x", "__n2r_y", "__n2r_f")
+    n = as_sql(nside)
+    steps = {**_unnest_steps(n, as_sql(pix)), **_ring_steps(n, ":x", ":y")}
+    return compute(df, steps, {out: ":ring_pix"})
 
 
 def with_ring2nest(df: DataFrame, nside, pix="pix", out="pix_nest") -> DataFrame:
     """Add the NESTED index of a RING index."""
     require_power_of_two(nside)
-    tmp = ("__r2n_x", "__r2n_y", "__r2n_f")
-    df = with_ring2xyf(df, nside, pix, tmp)
-    return df.withColumn(out, xyf2nest(nside, *tmp)).drop(*tmp)
+    n = as_sql(nside)
+    steps = {**_unring_steps(n, as_sql(pix)), **_nest_steps(n, ":x", ":y", ":f")}
+    return compute(df, steps, {out: ":nest"})
 
 
 # -------------------------------------------------------------- index -> angle
@@ -255,168 +225,88 @@ def with_ring2nest(df: DataFrame, nside, pix="pix", out="pix_nest") -> DataFrame
 
 def with_pix2ang_ring(df: DataFrame, nside, pix="pix", out=("theta", "phi")) -> DataFrame:
     """Add the centre (theta, phi) of a RING pixel."""
-    df = step(df, {"n": as_col(nside), "p": as_col(pix)})
-    n, p = t("n"), t("p")
-    ncap, npix = n * (n - 1) * 2, n * n * 12
-    df = step(
-        df,
-        {
-            "south": p >= npix - ncap,
-            "q": F.when(p >= npix - ncap, npix - 1 - p).otherwise(p),
-            "e": p - ncap,
-        },
-    )
-    q, e, south = t("q"), t("e"), t("south")
-    df = step(
-        df,
-        {
-            "cap": q < ncap,
-            "i": F.when(q < ncap, F.shiftright(_isqrt(q * 2 + 1) + 1, 1)).otherwise(
-                idiv(e, n * 4) + n
-            ),
-        },
-    )
-    cap, i = t("cap"), t("i")
-    north = q + 1 - i * (i - 1) * 2
-    df = step(
-        df,
-        {
-            "j": F.when(~cap, e % (n * 4) + 1).when(south, i * 4 + 1 - north).otherwise(north),
-            "z": F.when(cap, F.lit(1.0) - (i * i) * (F.lit(4.0) / npix)).otherwise(
-                (n * 2 - i) * (n * 2) * (F.lit(4.0) / npix)
-            ),
-        },
-    )
-    shift = F.when(cap | ((i + n).bitwiseAND(_long(1)) == 0), F.lit(0.5)).otherwise(F.lit(1.0))
-    return finish(
-        df,
-        {
-            out[0]: F.acos(F.when(cap & south, -t("z")).otherwise(t("z"))),
-            out[1]: (t("j") - shift) * F.lit(HALF_PI) / F.when(cap, i).otherwise(n),
-        },
-    )
+    n = as_sql(nside)
+    steps = {
+        **_ring_number_steps(n, as_sql(pix)),
+        "unit": f"4.0D / ({n} * {n} * 12)",
+        "zn": f"CASE WHEN :cap THEN 1.0D - :i * :i * :unit ELSE ({n} * 2 - :i) * ({n} * 2) * :unit END",
+        "z": "CASE WHEN :cap AND :south THEN -:zn ELSE :zn END",
+        "half": f"CASE WHEN :cap OR ((:i + {n}) & 1) = 0 THEN 0.5D ELSE 1.0D END",
+    }
+    phi = f"(:j - :half) * {HALF_PI!r}D / CASE WHEN :cap THEN :i ELSE {n} END"
+    return compute(df, steps, {out[0]: "acos(:z)", out[1]: phi})
 
 
 def with_pix2ang_nest(df: DataFrame, nside, pix="pix", out=("theta", "phi")) -> DataFrame:
     """Add the centre (theta, phi) of a NESTED pixel."""
     require_power_of_two(nside)
-    x, y, f = nest2xyf(nside, pix)
-    df = df.withColumns({"__p2n_x": x, "__p2n_y": y, "__p2n_f": f})
-    df = _ring_of_cell(df, nside, "__p2n_x", "__p2n_y", "__p2n_f")
-    n, jr, nr, odd = t("n"), t("jr"), t("nr"), t("odd")
-    df = step(df, {"jp": _position_in_ring(), "fact": F.lit(4.0) / (n * n * 12)})
-    cap_z = F.lit(1.0) - nr * nr * t("fact")
-    z = (
-        F.when(jr < n, cap_z)
-        .when(jr > n * 3, -cap_z)
-        .otherwise((n * 2 - jr) * (n * 2) * t("fact"))
-    )
-    phi = (_wrap_ring(t("jp"), n) - (odd + 1) * F.lit(0.5)) * F.lit(HALF_PI) / nr
-    return finish(df, {out[0]: F.acos(z), out[1]: phi}).drop("__p2n_x", "__p2n_y", "__p2n_f")
+    n = as_sql(nside)
+    steps = {
+        **_unnest_steps(n, as_sql(pix)),
+        **_cell_ring_steps(n, ":x", ":y"),
+        "unit": f"4.0D / ({n} * {n} * 12)",
+        "zn": "1.0D - :nr * :nr * :unit",
+        "z": f"""CASE WHEN :jr < {n} THEN :zn WHEN :jr > {n} * 3 THEN -:zn
+             ELSE ({n} * 2 - :jr) * ({n} * 2) * :unit END""",
+    }
+    phi = f"(:jp - (:odd + 1) * 0.5D) * {HALF_PI!r}D / :nr"
+    return compute(df, steps, {out[0]: "acos(:z)", out[1]: phi})
 
 
 # -------------------------------------------------------------- angle -> index
 
 
-def _quarter_turns(phi: Column) -> Column:
-    """phi in units of pi/2, wrapped to [0, 4)."""
-    full = F.lit(TWO_PI)
-    return ((phi % full) + full) % full * F.lit(2.0 / math.pi)
-
-
-def _angle_steps(df: DataFrame, nside, theta, phi) -> DataFrame:
-    df = step(
-        df,
-        {"n": as_col(nside), "z": F.cos(as_col(theta)), "tt": _quarter_turns(as_col(phi))},
-    )
-    n, z, tt = t("n"), t("z"), t("tt")
-    return step(
-        df,
-        {
-            "belt": F.abs(z) <= F.lit(2.0 / 3.0),
-            "rise": n * (F.lit(0.5) + tt),
-            "tilt": n * (F.lit(0.75) * z),
-            "reach": n * F.sqrt(F.greatest(F.lit(0.0), (F.lit(1.0) - F.abs(z)) * 3.0)),
-        },
-    )
+def _angle_steps(n: str, theta: str, phi: str, part: str) -> dict[str, str]:
+    """Shared start: height ``:z``, longitude ``:tt`` in quarter turns, and the two
+    diagonal line numbers ``:jp`` and ``:jm`` (belt or cap)."""
+    return {
+        "z": f"cos({theta})",
+        "tt": f"((({phi} % {TWO_PI!r}D) + {TWO_PI!r}D) % {TWO_PI!r}D) * {2.0 / math.pi!r}D",
+        "belt": f"abs(:z) <= {2.0 / 3.0!r}D",
+        "turn": f"least(CAST(floor(:tt) AS BIGINT), {part})",
+        "part": ":tt - :turn",
+        "reach": f"{n} * sqrt(greatest(0.0D, (1.0D - abs(:z)) * 3.0D))",
+        "jp": f"""CAST(floor(CASE WHEN :belt THEN {n} * (0.5D + :tt) - {n} * (0.75D * :z)
+              ELSE :part * :reach END) AS BIGINT)""",
+        "jm": f"""CAST(floor(CASE WHEN :belt THEN {n} * (0.5D + :tt) + {n} * (0.75D * :z)
+              ELSE (1.0D - :part) * :reach END) AS BIGINT)""",
+    }
 
 
 def with_ang2pix_ring(df: DataFrame, nside, theta="theta", phi="phi", out="pix") -> DataFrame:
     """Add the RING index of the pixel that holds a direction."""
-    df = _angle_steps(df, nside, theta, phi)
-    n, z, tt, belt = t("n"), t("z"), t("tt"), t("belt")
-    part = tt - F.floor(tt)
-    df = step(
-        df,
-        {
-            "jp": F.floor(F.when(belt, t("rise") - t("tilt")).otherwise(part * t("reach"))),
-            "jm": F.floor(
-                F.when(belt, t("rise") + t("tilt")).otherwise((F.lit(1.0) - part) * t("reach"))
-            ),
-        },
-    )
-    jp, jm = t("jp"), t("jm")
-    df = step(df, {"ir": F.when(belt, n + 1 + jp - jm).otherwise(jp + jm + 1)})
-    ir = t("ir")
-    df = step(
-        df,
-        {
-            "ip": F.when(
-                belt, idiv(jp + jm - n + 2 - ir.bitwiseAND(_long(1)), _long(2))
-            ).otherwise(F.floor(tt * ir)),
-            "len": F.when(belt, n * 4).otherwise(ir * 4),
-        },
-    )
-    before = (
-        F.when(belt, n * (n - 1) * 2 + (ir - 1) * n * 4)
-        .when(z > 0, ir * (ir - 1) * 2)
-        .otherwise(n * n * 12 - ir * (ir + 1) * 2)
-    )
-    return finish(df, {out: before + F.pmod(t("ip"), t("len"))})
+    n = as_sql(nside)
+    steps = {
+        **_angle_steps(n, as_sql(theta), as_sql(phi), "4L"),
+        "ir": f"CASE WHEN :belt THEN {n} + 1 + :jp - :jm ELSE :jp + :jm + 1 END",
+        "ip": f"""CASE WHEN :belt THEN (:jp + :jm - {n} + 2 - (:ir & 1)) div 2
+              ELSE CAST(floor(:tt * :ir) AS BIGINT) END""",
+        "len": f"CASE WHEN :belt THEN {n} * 4 ELSE :ir * 4 END",
+        "ahead": f"""CASE WHEN :belt THEN {n} * ({n} - 1) * 2 + (:ir - 1) * {n} * 4
+                 WHEN :z > 0 THEN :ir * (:ir - 1) * 2
+                 ELSE {n} * {n} * 12 - :ir * (:ir + 1) * 2 END""",
+    }
+    return compute(df, steps, {out: ":ahead + pmod(:ip, :len)"})
 
 
 def with_ang2pix_nest(df: DataFrame, nside, theta="theta", phi="phi", out="pix") -> DataFrame:
     """Add the NESTED index of the pixel that holds a direction."""
     require_power_of_two(nside)
-    df = _angle_steps(df, nside, theta, phi)
-    n, z, tt, belt = t("n"), t("z"), t("tt"), t("belt")
-    df = step(df, {"turn": F.least(F.floor(tt), _long(3))})
-    part = tt - t("turn")
-    df = step(
-        df,
-        {
-            "jp": F.floor(F.when(belt, t("rise") - t("tilt")).otherwise(part * t("reach"))),
-            "jm": F.floor(
-                F.when(belt, t("rise") + t("tilt")).otherwise((F.lit(1.0) - part) * t("reach"))
-            ),
-        },
-    )
-    df = step(df, {"fp": idiv(t("jp"), n), "fm": idiv(t("jm"), n)})
-    fp, fm = t("fp"), t("fm")
-    jp = F.when(belt, t("jp").bitwiseAND(n - 1)).otherwise(F.least(t("jp"), n - 1))
-    jm = F.when(belt, t("jm").bitwiseAND(n - 1)).otherwise(F.least(t("jm"), n - 1))
-    df = step(
-        df,
-        {
-            "a": jp,
-            "b": jm,
-            "face": F.when(belt & (fp == fm), fp.bitwiseOR(_long(4)))
-            .when(belt & (fp < fm), fp)
-            .when(belt, fm + 8)
-            .when(z >= 0, t("turn"))
-            .otherwise(t("turn") + 8),
-        },
-    )
-    a, b = t("a"), t("b")
-    df = step(
-        df,
-        {
-            "x": F.when(belt, b).when(z >= 0, n - b - 1).otherwise(a),
-            "y": F.when(belt | (z >= 0), n - a - 1).otherwise(b),
-        },
-    )
-    # in the northern cap y = n - jp - 1 and x = n - jm - 1; in the belt x = jm
-    return finish(df, {out: xyf2nest(n, t("x"), t("y"), t("face"))})
+    n = as_sql(nside)
+    steps = {
+        **_angle_steps(n, as_sql(theta), as_sql(phi), "3L"),
+        "fp": f":jp div {n}",
+        "fm": f":jm div {n}",
+        "a": f"CASE WHEN :belt THEN :jp & ({n} - 1) ELSE least(:jp, {n} - 1) END",
+        "b": f"CASE WHEN :belt THEN :jm & ({n} - 1) ELSE least(:jm, {n} - 1) END",
+        "f": """CASE WHEN :belt THEN
+                  CASE WHEN :fp = :fm THEN :fp | 4 WHEN :fp < :fm THEN :fp ELSE :fm + 8 END
+                WHEN :z >= 0 THEN :turn ELSE :turn + 8 END""",
+        "cx": f"CASE WHEN :belt THEN :b WHEN :z >= 0 THEN {n} - :b - 1 ELSE :a END",
+        "cy": f"CASE WHEN :belt OR :z >= 0 THEN {n} - :a - 1 ELSE :b END",
+        **_nest_steps(n, ":cx", ":cy", ":f"),
+    }
+    return compute(df, steps, {out: ":nest"})
 
 
 def with_ang2pix(
@@ -440,7 +330,7 @@ def with_xyf(df: DataFrame, nside, ordering: str, pix="pix", out=("ix", "iy", "f
     if ordering == RING:
         return with_ring2xyf(df, nside, pix, out)
     require_power_of_two(nside)
-    return df.withColumns(dict(zip(out, nest2xyf(nside, pix))))
+    return with_nest2xyf(df, nside, pix, out)
 
 
 def with_pix_of_xyf(
@@ -450,7 +340,7 @@ def with_pix_of_xyf(
     if ordering == RING:
         return with_xyf2ring(df, nside, ix, iy, face, out)
     require_power_of_two(nside)
-    return df.withColumn(out, xyf2nest(nside, ix, iy, face))
+    return with_xyf2nest(df, nside, ix, iy, face, out)
 
 
 # ------------------------------------------------------------ angular distance

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skymap.functions.frames import sph_to_vec
 from skymap.functions.pixels import with_pix2ang
-from skymap.functions.staging import finish, step, t
+from skymap.functions.staging import compute
 from skymap.plans.sizing import small_side
 
 AXES = ("one", "x", "y", "z")
@@ -45,62 +45,37 @@ def fit_sums(df: DataFrame, nside: int, ordering: str, mask: DataFrame | None =
 def solve_fit(sums: DataFrame) -> DataFrame:
     """(map_id, m, dx, dy, dz) from the sums; zeros when the system is singular.
 
-    The 4x4 symmetric system is reduced by the 2x2 minors of its row pairs, as
-    plain columns on one row per map. Sums are divided by the pixel count first.
+    The 4x4 symmetric system is solved by the 2x2 minors of its row pairs (0, 1)
+    and (2, 3), as plain columns on one row per map. Sums are divided by the pixel
+    count first.
     """
-    n = F.col("a_one_one")
-    at = {}
+    steps = {}
     for i, a in enumerate(AXES):
-        for j, b in enumerate(AXES):
-            first, second = (a, b) if i <= j else (b, a)
-            at[i, j] = f"m{min(i, j)}{max(i, j)}"
-            if i <= j:
-                sums = step(sums, {at[i, j]: F.col(f"a_{first}_{second}") / n})
-    sums = step(sums, {f"r{i}": F.col(f"b_{a}") / n for i, a in enumerate(AXES)})
-    m = lambda i, j: t(at[i, j])
-    pairs = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    minors = {}
-    for tag, (r0, r1) in (("s", (0, 1)), ("c", (2, 3))):
+        for j, b in enumerate(AXES[i:], i):
+            steps[f"m{i}{j}"] = steps[f"m{j}{i}"] = f"a_{a}_{b} / a_one_one"
+        steps[f"r{i}"] = f"b_{a} / a_one_one"
+    pairs = [(p, q) for p in range(4) for q in range(p + 1, 4)]
+    for tag, top, low in (("s", 0, 1), ("c", 2, 3)):
         for p, q in pairs:
-            minors[f"{tag}{p}{q}"] = m(r0, p) * m(r1, q) - m(r1, p) * m(r0, q)
-    sums = step(sums, minors)
-    s = lambda p, q: t(f"s{p}{q}")
-    c = lambda p, q: t(f"c{p}{q}")
-    det = (
-        s(0, 1) * c(2, 3) - s(0, 2) * c(1, 3) + s(0, 3) * c(1, 2)
-        + s(1, 2) * c(0, 3) - s(1, 3) * c(0, 2) + s(2, 3) * c(0, 1)
+            steps[f"{tag}{p}{q}"] = f":m{top}{p} * :m{low}{q} - :m{low}{p} * :m{top}{q}"
+    steps["det"] = (
+        ":s01 * :c23 - :s02 * :c13 + :s03 * :c12 + :s12 * :c03 - :s13 * :c02 + :s23 * :c01"
     )
-    sums = step(sums, {"det": det})
-
-    def solution(col: int) -> Column:
-        """Row ``col`` of the adjugate times the right-hand side."""
+    out = {}
+    for col, name in enumerate(("m", "dx", "dy", "dz")):
         rest = [k for k in range(4) if k != col]
-        total = None
+        terms = []
         for row in range(4):
             # Cofactor of (row, col), expanded along the row paired with `row`: the
             # other two rows are then one pair, whose 2x2 minors are at hand.
-            mate = row ^ 1
-            other = c if row < 2 else s
-            cof = None
+            mate, other = row ^ 1, "c" if row < 2 else "s"
+            parts = []
             for pos, k in enumerate(rest):
-                two = [x for x in rest if x != k]
-                term = m(mate, k) * other(*two)
-                term = -term if pos % 2 else term
-                cof = term if cof is None else cof + term
-            cof = -cof if (row + col) % 2 else cof
-            term = cof * t(f"r{row}")
-            total = term if total is None else total + term
-        return total
-
-    fine = F.abs(t("det")) >= F.lit(SINGULAR)
-    names = ("m", "dx", "dy", "dz")
-    return finish(
-        sums,
-        {
-            name: F.when(fine, solution(i) / t("det")).otherwise(F.lit(0.0))
-            for i, name in enumerate(names)
-        },
-    ).select("map_id", *names)
+                p, q = [x for x in rest if x != k]
+                parts.append(f"{'-' if pos % 2 else '+'} :m{mate}{k} * :{other}{p}{q}")
+            terms.append(f"{'-' if (row + col) % 2 else '+'} ({' '.join(parts)}) * :r{row}")
+        out[name] = f"CASE WHEN abs(:det) >= {SINGULAR}D THEN ({' '.join(terms)}) / :det ELSE 0.0D END"
+    return compute(sums, steps, out).select("map_id", *out)
 
 
 def fit_mono_dipole(
