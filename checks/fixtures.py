@@ -150,7 +150,7 @@ def mask_parts(spark: SparkSession, d: str, npix: int) -> DataFrame:
     """Mask from parts; several parts on a pixel: valid when all are."""
     return (
         table(spark, d, "part")
-        .select((F.col("p_partkey") * SPREAD % npix).alias("pix"), (F.col("p_size") > 10).alias("ok"))
+        .select((F.col("p_partkey") * 104729 % npix).alias("pix"), (F.col("p_size") > 10).alias("ok"))
         .groupBy("pix")
         .agg(F.min("ok").alias("valid"))
     )
