@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from skymap.functions.frames import IDENTITY, Matrix, grid_transform, rotate, vec_to_lonlat
@@ -26,10 +27,22 @@ FIRST_JUMP, LEAST_JUMP, GROWTH = 0.15, 0.05, 3.0
 CELL_JUMP = 50.0
 
 KEYS = ["track_id", "chunk"]
-IN_CHUNK = W.partitionBy(*KEYS).orderBy("seq")
-SO_FAR = IN_CHUNK.rowsBetween(W.unboundedPreceding, W.currentRow)
-BY_CHUNK = W.partitionBy("track_id").orderBy("chunk")
-EARLIER = BY_CHUNK.rowsBetween(W.unboundedPreceding, -1)
+
+
+def _in_chunk() -> WindowSpec:
+    return W.partitionBy(*KEYS).orderBy("seq")
+
+
+def _so_far() -> WindowSpec:
+    return _in_chunk().rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _by_chunk() -> WindowSpec:
+    return W.partitionBy("track_id").orderBy("chunk")
+
+
+def _earlier() -> WindowSpec:
+    return _by_chunk().rowsBetween(W.unboundedPreceding, -1)
 
 
 def _chunk_of(span: int) -> Column:
@@ -43,9 +56,9 @@ def dense_seq(df: DataFrame, span: int = SPAN) -> DataFrame:
     """
     rows = df.withColumn("chunk", _chunk_of(span))
     counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cnt"))
-    start = F.coalesce(F.sum("cnt").over(EARLIER), F.lit(0))
+    start = F.coalesce(F.sum("cnt").over(_earlier()), F.lit(0))
     starts = small_side(materialize(counts.select(*KEYS, start.alias("__start"))))
-    numbered = rows.withColumn("__at", F.row_number().over(IN_CHUNK) - 1).join(starts, KEYS)
+    numbered = rows.withColumn("__at", F.row_number().over(_in_chunk()) - 1).join(starts, KEYS)
     return numbered.withColumn("seq", F.col("__start") + F.col("__at")).drop("chunk", "__start", "__at")
 
 
@@ -117,11 +130,11 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
     """
     rows = with_halo(df.select("track_id", "seq", "u", "v"), span, before=2, after=1)
     jump = _distance(
-        F.col("u") - F.lag("u").over(IN_CHUNK), F.col("v") - F.lag("v").over(IN_CHUNK)
+        F.col("u") - F.lag("u").over(_in_chunk()), F.col("v") - F.lag("v").over(_in_chunk())
     )
     rows = rows.withColumn("jump", jump)
     rows = rows.withColumns(
-        {"prev": F.lag("jump").over(IN_CHUNK), "next": F.lead("jump").over(IN_CHUNK)}
+        {"prev": F.lag("jump").over(_in_chunk()), "next": F.lead("jump").over(_in_chunk())}
     ).filter("own")
     j = F.col("jump")
     from_one = F.coalesce(j > FIRST_JUMP, F.lit(True))
@@ -133,9 +146,9 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
             "fixed": F.when(from_one & from_two, F.lit(1)).when(~from_one & ~from_two, F.lit(2)),
             "swap": F.when(~from_one & from_two, F.lit(1)).otherwise(F.lit(0)),
         }
-    ).withColumn("turns", F.sum("swap").over(SO_FAR))
+    ).withColumn("turns", F.sum("swap").over(_so_far()))
     anchor = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns"))
-    rows = rows.withColumn("anchor", F.last(anchor, ignorenulls=True).over(SO_FAR))
+    rows = rows.withColumn("anchor", F.last(anchor, ignorenulls=True).over(_so_far()))
 
     def state(entering: Column) -> Column:
         since = F.col("turns") - F.coalesce(F.col("anchor.turns"), F.lit(0))
@@ -151,13 +164,13 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
         starts(2).alias("starts2"),
     )
     turned = chunks.withColumn(
-        "turns", F.sum(F.coalesce("turns", F.lit(0))).over(BY_CHUNK.rowsBetween(W.unboundedPreceding, W.currentRow))
+        "turns", F.sum(F.coalesce("turns", F.lit(0))).over(_by_chunk().rowsBetween(W.unboundedPreceding, W.currentRow))
     )
     anchor = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns"))
     entered = turned.withColumns(
         {
-            "anchor": F.last(anchor, ignorenulls=True).over(EARLIER),
-            "before": F.coalesce(F.lag("turns").over(BY_CHUNK), F.lit(0)),
+            "anchor": F.last(anchor, ignorenulls=True).over(_earlier()),
+            "before": F.coalesce(F.lag("turns").over(_by_chunk()), F.lit(0)),
         }
     )
     since = F.col("before") - F.coalesce(F.col("anchor.turns"), F.lit(0))
@@ -167,12 +180,12 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
     )
     opened = F.when(F.col("enter") == 1, F.col("starts1")).otherwise(F.col("starts2"))
     heads = entered.withColumn("opened", opened).select(
-        *KEYS, "enter", F.coalesce(F.sum("opened").over(EARLIER), F.lit(0)).alias("opened")
+        *KEYS, "enter", F.coalesce(F.sum("opened").over(_earlier()), F.lit(0)).alias("opened")
     )
     out = rows.join(heads, KEYS)
     start = here & (state(F.col("enter")) == 1)
     out = out.withColumn("start", start.cast("int"))
-    out = out.withColumn("seg_id", F.col("opened") + F.sum("start").over(SO_FAR) - 1)
+    out = out.withColumn("seg_id", F.col("opened") + F.sum("start").over(_so_far()) - 1)
     alone = (F.col("start") == 1) & ~F.coalesce(F.col("next") <= FIRST_JUMP, F.lit(False))
     return out.filter(here & ~alone).select(
         "track_id", F.col("seg_id").cast("long").alias("seg_id"), "seq", "u", "v"
@@ -185,14 +198,14 @@ def track_breaks_px(df: DataFrame, span: int = SPAN) -> DataFrame:
     kept = dense_seq(kept.select("track_id", "seq", "px", "py"), span)
     rows = with_halo(kept, span, before=1)
     far = _distance(
-        F.col("px") - F.lag("px").over(IN_CHUNK), F.col("py") - F.lag("py").over(IN_CHUNK)
+        F.col("px") - F.lag("px").over(_in_chunk()), F.col("py") - F.lag("py").over(_in_chunk())
     )
     rows = rows.withColumn("start", F.coalesce(far > CELL_JUMP, F.lit(True)).cast("int"))
     rows = rows.filter("own")
     totals = rows.groupBy(*KEYS).agg(F.sum("start").alias("opened"))
-    heads = totals.select(*KEYS, F.coalesce(F.sum("opened").over(EARLIER), F.lit(0)).alias("opened"))
+    heads = totals.select(*KEYS, F.coalesce(F.sum("opened").over(_earlier()), F.lit(0)).alias("opened"))
     out = rows.join(heads, KEYS).withColumn(
-        "seg_id", F.col("opened") + F.sum("start").over(SO_FAR) - 1
+        "seg_id", F.col("opened") + F.sum("start").over(_so_far()) - 1
     )
     return out.select("track_id", F.col("seg_id").cast("long").alias("seg_id"), "seq", "px", "py")
 
@@ -200,7 +213,7 @@ def track_breaks_px(df: DataFrame, span: int = SPAN) -> DataFrame:
 def track_segments(df: DataFrame, a: str = "u", b: str = "v", span: int = SPAN) -> DataFrame:
     """Consecutive point pairs of each segment: (track_id, seg_id, seq, a0, b0, a1, b1)."""
     rows = with_halo(df.select("track_id", "seg_id", "seq", a, b), span, after=1)
-    nxt = lambda c: F.lead(c).over(IN_CHUNK)
+    nxt = lambda c: F.lead(c).over(_in_chunk())
     rows = rows.withColumns(
         {"__s": nxt("seg_id"), "a1": nxt(a), "b1": nxt(b)}
     ).filter(F.col("own") & (F.col("__s") == F.col("seg_id")))
@@ -258,8 +271,8 @@ def track_raster_bres(segs: DataFrame, width: int, height: int) -> DataFrame:
     ends = ends.withColumns(
         {
             "__flat": F.abs(dx) >= F.abs(dy),
-            "__M": F.greatest(F.abs(dx), F.abs(dy)),
-            "__m": F.least(F.abs(dx), F.abs(dy)),
+            "__long": F.greatest(F.abs(dx), F.abs(dy)),
+            "__short": F.least(F.abs(dx), F.abs(dy)),
             "__sx": F.when(dx > 0, F.lit(1)).otherwise(F.lit(-1)),
             "__sy": F.when(dy > 0, F.lit(1)).otherwise(F.lit(-1)),
         }
@@ -270,10 +283,10 @@ def track_raster_bres(segs: DataFrame, width: int, height: int) -> DataFrame:
     side = F.when(flat, F.lit(width)).otherwise(F.lit(height)).cast("long")
     zero = F.lit(0).cast("long")
     first = F.greatest(zero, F.when(ahead, -origin).otherwise(origin - side + 1))
-    last = F.least(F.col("__M"), F.when(ahead, side - 1 - origin).otherwise(origin))
+    last = F.least(F.col("__long"), F.when(ahead, side - 1 - origin).otherwise(origin))
     ends = ends.withColumns({"__i0": first, "__i1": last}).filter(F.col("__i0") <= F.col("__i1"))
     walk = ends.withColumn("__i", F.explode(F.sequence(F.col("__i0"), F.col("__i1"))))
-    i, big, small = F.col("__i"), F.col("__M"), F.col("__m")
+    i, big, small = F.col("__i"), F.col("__long"), F.col("__short")
     over = (i * 2 + 1) * small - big
     minor = F.when((i == 0) | (over <= 0), zero).otherwise(
         idiv(over + big * 2 - 1, F.greatest(big * 2, F.lit(1)))
