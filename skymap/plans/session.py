@@ -16,6 +16,7 @@ def local_session(cpus: str = "*", partitions: int = 8, **extra: str) -> SparkSe
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SKYMAP_DRIVER_MEMORY", "8g"))
         .config("spark.local.dir", tmp)
         .config("spark.sql.warehouse.dir", f"{tmp}/warehouse")
