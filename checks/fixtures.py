@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,18 @@ from pyspark.sql import functions as F
 from skymap.functions.frames import camera_matrix, view_matrix
 from skymap.functions.pixels import npix_of
 from skymap.functions.values import UNSEEN
-from skymap.plans.sizing import shared_dir
+from skymap.plans.sizing import materialize, shared_dir, spread
 
 SPREAD = 7919
 VIEW = view_matrix("G", "C", camera_matrix(0.3, 0.2, 0.1))
 
 
+@lru_cache
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@lru_cache
 def nside_of(spark: SparkSession, d: str, name: str) -> int:
     """Smallest 2^k with 12 nside^2 >= rows (row counts come from file footers)."""
     rows = table(spark, d, name).count()
@@ -39,9 +42,9 @@ def nside_of(spark: SparkSession, d: str, name: str) -> int:
 
 
 def r6(c: Column | str) -> Column:
-    """Six decimals; the tiny shift keeps exact halves away from the rounding edge."""
+    """Six decimals; the shift keeps exact halves away from the rounding edge."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.lit(3.3e-8), 6) + F.lit(0.0)
+    return F.rint(c * F.lit(1e6) + F.lit(0.033)) / F.lit(1e6) + F.lit(0.0)
 
 
 def sky_orders(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -100,6 +103,12 @@ def sky_multi(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     return df.groupBy("map_id", "pix").agg(F.avg("value").alias("value")), n
 
 
+def stored_multi(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The same as a stored pixel table, for operators that read it several times."""
+    df, n = sky_multi(spark, d)
+    return materialize(df), n
+
+
 def multi_maps(spark: SparkSession, d: str, n: int) -> DataFrame:
     """Metadata of the line-item maps."""
     ids = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("map_id"))
@@ -133,9 +142,12 @@ def tracks_users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tracks_grid(spark: SparkSession, d: str) -> DataFrame:
-    """One smooth parallel per supplier: 720 points, half a degree apart."""
+    """One smooth parallel per supplier: 720 points, half a degree apart.
+
+    Suppliers are spread over tasks before their points are generated.
+    """
     k = F.col("s_suppkey")
-    return table(spark, d, "supplier").select(
+    return spread(table(spark, d, "supplier").select("s_suppkey")).select(
         k.alias("track_id"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("seq"),
     ).select(

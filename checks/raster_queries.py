@@ -102,7 +102,7 @@ _OUT = f"map_id, x, y, k.pix, {S.r6('value')} AS value, cls, {S.r6('t')} AS t, i
     + f"SELECT {_OUT}, CASE WHEN coalesce(valid, true) THEN r ELSE 1 END AS r, CASE WHEN coalesce(valid, true) THEN 255 ELSE 4 END AS alpha FROM k LEFT JOIN mk ON mk.pix = k.pix",
 )
 def reproject(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     maps = X.multi_maps(spark, d, n)
     lim = materialize(limits.auto_limits(df, npix_of(n)))
     out = raster.reproject(

@@ -358,7 +358,7 @@ def _fwd(name: str, body: str, f):
         name,
         f"WITH {S.POINTS}, q AS (SELECT point_id, {LL} FROM pts), r AS (SELECT *, {body} FROM q), s AS (SELECT *, ok AND u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 AS inside FROM r) "
         f"SELECT point_id, CASE WHEN inside THEN {S.r6('u')} END AS u, CASE WHEN inside THEN {S.r6('v')} END AS v FROM s",
-    )(lambda spark, d: _lonlat(spark, d).select("point_id", *[r6(c).alias(n) for c, n in zip(f("lon", "lat"), ("u", "v"))]))
+    )(lambda spark, d: f(_lonlat(spark, d)).select("point_id", r6("u").alias("u"), r6("v").alias("v")))
 
 
 def mollweide_forward_sql(lon: str = "lon", lat: str = "lat") -> str:
@@ -377,12 +377,12 @@ def hammer_forward_sql(lon: str = "lon", lat: str = "lat") -> str:
     CASE WHEN ok THEN ({s2} - {s2}*sin({lat})/hd)/(2*{s2}) END AS v"""
 
 
-_fwd("mollweide_forward", mollweide_forward_sql(), projections.mollweide_forward)
-_fwd("hammer_forward", hammer_forward_sql(), projections.hammer_forward)
+_fwd("mollweide_forward", mollweide_forward_sql(), projections.with_mollweide_forward)
+_fwd("hammer_forward", hammer_forward_sql(), lambda df: df.withColumns(dict(zip("uv", projections.hammer_forward("lon", "lat")))))
 _fwd(
     "gnomonic_forward",
     "cos(lat)*cos(lon) AS zz, zz > 0 AS ok, CASE WHEN ok THEN 0.5::DOUBLE*(cos(lat)*sin(lon)/zz + 1) END AS u, CASE WHEN ok THEN 0.5::DOUBLE*(sin(lat)/zz + 1) END AS v",
-    projections.gnomonic_forward,
+    lambda df: df.withColumns(dict(zip("uv", projections.gnomonic_forward("lon", "lat")))),
 )
 
 

@@ -8,6 +8,7 @@ from checks import fixtures as X
 from checks import sql as S
 from checks.registry import query
 from skymap.functions.pixels import npix_of
+from skymap.functions.stretch import knot_share, with_knot_position
 from skymap.functions.values import seen_or_null
 from skymap.operators import compare, degrade, fit, histogram, limits, masks, order
 from skymap.operators.clean import clean_map
@@ -230,7 +231,7 @@ _PCT = {"p5": 5.0, "p33": 33.3, "p50": 50.0, "p95": 95.0}
 )
 def percentile_exact(spark, d):
     """Takes the large-map path (8 buckets) whatever the table size."""
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     out = limits.percentile_exact(df, _PCT, npix_of(n), buckets=8)
     return out.select("map_id", *[r6(k).alias(k) for k in _PCT])
 
@@ -252,7 +253,7 @@ def percentile_sampled(spark, d):
     f"{S.r6('min(value)')} AS hmin, {S.r6('max(value)')} AS hmax FROM m GROUP BY 1",
 )
 def auto_limits(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     a = limits.auto_limits(df, npix_of(n), minv=3.0)
     h = limits.auto_limits(df, npix_of(n), "histogram").select("map_id", F.col("minv").alias("hmin"), F.col("maxv").alias("hmax"))
     return a.join(h, "map_id").select("map_id", *[r6(c).alias(c) for c in ("minv", "maxv", "hmin", "hmax")])
@@ -328,7 +329,7 @@ def fit_mono_dipole(spark, d):
     "FROM m LEFT JOIN v USING (map_id, pix) LEFT JOIN e USING (map_id)",
 )
 def subtract_mono_dipole(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     out = fit.subtract_mono_dipole(df, n, "RING", mask=X.mask_parts(spark, d, npix_of(n)))
     return out.select("map_id", "pix", F.round("value", 4).alias("value"))
 
@@ -372,7 +373,7 @@ def map_coverage(spark, d):
     "any_value(tp) - count(va) AS unseen_a, any_value(tp) - count(vb) AS unseen_b FROM dd GROUP BY 1",
 )
 def map_compare(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     a, b = degrade.degrade_best(df, n, n // 4, "RING"), degrade.degrade_fast(df, n, n // 4, "RING")
     out = compare.map_compare(a, b, npix_of(n // 4))
     return out.withColumn("rmse", F.round(F.col("rmse") / 1e24, 6))
@@ -391,7 +392,7 @@ BINS = 64
 def value_rank(spark, d):
     """Takes the large-map path (8 buckets) whatever the table size."""
     df, n = X.sky_lines(spark, d)
-    one = df.groupBy("map_id", "pix").agg(F.min("value").alias("value"))
+    one = materialize(df.groupBy("map_id", "pix").agg(F.min("value").alias("value")))
     return order.value_rank(one, npix_of(n), buckets=8).select("map_id", "pix", "value", F.col("rn").cast("long").alias("rn"))
 
 
@@ -405,7 +406,7 @@ lim AS (SELECT map_id, min(value) AS minv, max(value) AS maxv FROM m GROUP BY 1)
 
 @query("hist_knots", f"{RANKED} SELECT map_id, k, {S.r6('value')} AS value, {S.r6('cdf')} AS cdf FROM kn")
 def hist_knots(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     out = histogram.hist_knots(df, npix_of(n), BINS, buckets=8)
     return out.select("map_id", "k", r6("value").alias("value"), r6("cdf").alias("cdf"))
 
@@ -416,14 +417,14 @@ def hist_knots(spark, d):
     f"{S.r6('max(CASE WHEN i = CAST(round((n-1)*0.9::DOUBLE) AS BIGINT) THEN value END)')} AS maxv, {S.r6('min(value)')} AS fmin, {S.r6('max(value)')} AS fmax FROM st GROUP BY 1",
 )
 def hist_range(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     p = histogram.hist_range(df, histogram.HistogramRange("percentile", 0.1, 0.9), npix_of(n), buckets=8)
     f = histogram.hist_range(df, histogram.HistogramRange(), npix_of(n)).select("map_id", F.col("minv").alias("fmin"), F.col("maxv").alias("fmax"))
     return p.join(f, "map_id").select("map_id", *[r6(c).alias(c) for c in ("minv", "maxv", "fmin", "fmax")])
 
 
 def _hists(spark, d):
-    df, n = X.sky_multi(spark, d)
+    df, n = X.stored_multi(spark, d)
     knots = histogram.knot_arrays(histogram.hist_knots(df, npix_of(n), BINS))
     lim = histogram.hist_range(df, histogram.HistogramRange(), npix_of(n))
     return df, materialize(knots), lim
@@ -437,11 +438,9 @@ _SHARE = "CASE WHEN x0 IS NULL THEN 0.0 WHEN x0 = v THEN p0 WHEN x1 IS NULL THEN
 
 @query("hist_lookup", f"{_LOCATED} SELECT map_id, pix, {S.r6(_SHARE)} AS share FROM pr")
 def hist_lookup(spark, d):
-    from skymap.functions.stretch import knot_share
-
     df, knots, _ = _hists(spark, d)
-    joined = histogram.with_knots(df, knots)
-    return joined.select("map_id", "pix", r6(knot_share(F.col("value"), F.col("xs"), F.col("ps"))).alias("share"))
+    joined = with_knot_position(histogram.with_knots(df, knots))
+    return joined.select("map_id", "pix", r6(knot_share("value", "xs", "ps", "at")).alias("share"))
 
 
 @query(
@@ -459,8 +458,8 @@ def scale_histogram(spark, d):
 )
 def cdf_step(spark, d):
     df, knots, _ = _hists(spark, d)
-    joined = histogram.with_knots(df, knots)
-    return joined.select("map_id", "pix", r6(histogram.cdf_step("value", "xs", "ps")).alias("share"))
+    joined = histogram.with_cdf_step(histogram.with_knots(df, knots))
+    return joined.select("map_id", "pix", r6("share").alias("share"))
 
 
 _QS = f"""{RANKED}, q AS (SELECT map_id, minv, maxv, i, i/97.0::DOUBLE AS q FROM lim, (SELECT unnest(range(0, 98)) AS i)),
@@ -479,8 +478,8 @@ def _hist_rows(spark, d):
 @query("cdf_inverse", f"{_QS} SELECT map_id, i, {S.r6('step_value')} AS value FROM vq")
 def cdf_inverse(spark, d):
     rows = _hist_rows(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(97).cast("long"))))
-    rows = rows.withColumn("q", F.col("i") / 97.0)
-    return rows.select("map_id", "i", r6(histogram.cdf_inverse("q", "xs", "ps")).alias("value"))
+    rows = histogram.with_cdf_inverse(rows.withColumn("q", F.col("i") / 97.0))
+    return rows.select("map_id", "i", r6("value").alias("value"))
 
 
 @query("value_at_quantile", f"{_QS} SELECT map_id, i, {S.r6('q')} AS q, {S.r6('value')} AS value FROM vq")

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skymap.functions.frames import Matrix, matmul, rotate, vec_to_lonlat
-from skymap.functions.staging import as_col
+from skymap.functions.staging import as_col, as_sql, compute
 
 PI = math.pi
 SQRT2 = math.sqrt(2.0)
@@ -70,24 +70,21 @@ def mollweide_cell(x, y, width: int, height: int) -> LonLat:
     return _mollweide_from_plane(px, py, px * px + py * py * 4.0 <= 4.0, False)
 
 
-def mollweide_forward(lon, lat) -> LonLat:
-    """(u, v) of a sky point.
+def with_mollweide_forward(df: DataFrame, lon="lon", lat="lat", out=("u", "v")) -> DataFrame:
+    """Add the (u, v) of a sky point: ten Newton steps from the latitude.
 
-    Ten Newton steps from the latitude, as one fold inside the expression. At a
-    pole the slope vanishes; the step is then NULL and so is the point.
+    At a pole the slope vanishes; the step is then NULL and so is the point.
     """
-    lo, la = as_col(lon), as_col(lat)
-    goal = F.sin(la) * F.lit(PI)
-
-    def newton(th: Column, _k: Column) -> Column:
-        f = th * 2.0 + F.sin(th * 2.0) - goal
-        return th - F.try_divide(f, F.lit(2.0) + F.cos(th * 2.0) * 2.0)
-
-    aux = F.aggregate(F.sequence(F.lit(1), F.lit(10)), la.cast("double"), newton)
-    u = (F.lit(2.0) - lo * F.lit(2.0 / PI) * F.cos(aux)) * 0.25
-    v = (F.lit(1.0) - F.sin(aux)) * 0.5
-    ok = _in_unit(u, v)
-    return F.when(ok, u), F.when(ok, v)
+    lo, la = as_sql(lon), as_sql(lat)
+    steps, last = {"goal": f"sin({la}) * {PI!r}D"}, f"CAST({la} AS DOUBLE)"
+    for k in range(10):
+        steps[f"s{k}"] = f"{last} * 2.0D"
+        steps[f"n{k}"] = f"{last} - try_divide(:s{k} + sin(:s{k}) - :goal, 2.0D + cos(:s{k}) * 2.0D)"
+        last = f":n{k}"
+    steps["u"] = f"(2.0D - {lo} * {2.0 / PI!r}D * cos({last})) * 0.25D"
+    steps["v"] = f"(1.0D - sin({last})) * 0.5D"
+    steps["in"] = ":u BETWEEN 0.0D AND 1.0D AND :v BETWEEN 0.0D AND 1.0D"
+    return compute(df, steps, {out[0]: "CASE WHEN :in THEN :u END", out[1]: "CASE WHEN :in THEN :v END"})
 
 
 # --------------------------------------------------------------------- Hammer

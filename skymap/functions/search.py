@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from skymap.functions.staging import as_sql, compute
 
-def count_below(arr: Column, key: Column, longest: int, inclusive: bool = True) -> Column:
-    """How many elements of an ascending array are <= key (or < key).
 
-    Binary descent over fixed powers of two: about log2(longest) comparisons per
-    row and no range join. ``longest`` is the known upper bound of the size.
-    """
-    steps = [1 << k for k in reversed(range(max(1, longest).bit_length()))]
-
-    def advance(acc: Column, stride: Column) -> Column:
-        probe = F.get(arr, acc + stride - 1)
-        hit = probe <= key if inclusive else probe < key
-        return F.when(hit, acc + stride).otherwise(acc)
+def with_count_below(
+    df: DataFrame, arr: str, key: str, longest: int, out: str, inclusive: bool = True
+) -> DataFrame:
+    """Add how many elements of an ascending array are <= key (or < key).
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+    Binary descent over fixed powers of two, one generated-code step each: about
+    log2(longest) comparisons per row and no range join. ``longest`` is the known
+    upper bound of the array size.
+    """
+    a, k = as_sql(arr), as_sql(key)
+    sign = "<=" if inclusive else "<"
+    steps, last = {}, "0"
+    for bit in reversed(range(max(1, longest).bit_length())):
+        name = f"at{bit}"
+        steps[name] = (
+            f"CASE WHEN get({a}, {last} + {(1 << bit) - 1}) {sign} {k} THEN {last} + {1 << bit} ELSE {last} END"
+        )
+        last = f":{name}"
+    return compute(df, steps, {out: last})

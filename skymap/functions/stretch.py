@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skymap.functions.search import count_below
+from skymap.functions.search import with_count_below
 from skymap.functions.staging import as_col
 from skymap.functions.values import NAN, clamp01, ieee_div, ieee_ln, is_seen, odd_asinh
 
@@ -146,33 +146,35 @@ def scale_asinh_norm(value, lo, hi, scale: float) -> Column:
 # -------------------------------------------------------------------- histogram
 
 
-def scale_histogram(value, values, cdf, minv, maxv) -> Column:
-    """Equi-depth stretch: cumulative share, interpolated between knots.
+def with_knot_position(df: DataFrame, value: str = "value", xs: str = "xs", out: str = "at") -> DataFrame:
+    """Add the number of knots at or below a value (arrays of at most 1024)."""
+    return with_count_below(df, xs, value, MAX_KNOTS, out)
 
-    ``values`` and ``cdf`` are array columns of at most 1024 knots. Among equal
-    knots the last one counts.
-    """
-    v, xs, ps = as_col(value), as_col(values), as_col(cdf)
-    low, high = as_col(minv), as_col(maxv)
-    return F.when(
-        is_seen(v),
-        F.when(v <= low, F.lit(0.0))
-        .when(v >= high, F.lit(1.0))
-        .otherwise(knot_share(v, xs, ps)),
-    )
 
+def knot_share(value, xs, ps, at) -> Column:
+    """Cumulative share of a value by linear interpolation between its knots.
 
-def knot_share(v: Column, xs: Column, ps: Column) -> Column:
-    """Cumulative share of ``v`` by linear interpolation between knots."""
-    at = count_below(xs, v, MAX_KNOTS)
-    x0, x1 = F.get(xs, at - 1), F.get(xs, at)
-    p0, p1 = F.get(ps, at - 1), F.get(ps, at)
-    inner = p0 + (v - x0) / (x1 - x0) * (p1 - p0)
+    ``at`` comes from ``with_knot_position``. Among equal knots the last one counts.
+    """
+    v, x, p, k = as_col(value), as_col(xs), as_col(ps), as_col(at)
+    x0, x1 = F.get(x, k - 1), F.get(x, k)
+    p0, p1 = F.get(p, k - 1), F.get(p, k)
     return (
-        F.when(at == 0, F.lit(0.0))
+        F.when(k == 0, F.lit(0.0))
         .when(x0 == v, p0)
-        .when(at >= F.size(xs), F.lit(1.0))
-        .otherwise(clamp01(inner))
+        .when(k >= F.size(x), F.lit(1.0))
+        .otherwise(clamp01(p0 + (v - x0) / (x1 - x0) * (p1 - p0)))
+    )
+
+
+def scale_histogram(value, xs, ps, at, lo, hi) -> Column:
+    """Equi-depth stretch: 0 and 1 at the limits, the cumulative share between."""
+    v = as_col(value)
+    return F.when(
+        is_seen(v),
+        F.when(v <= as_col(lo), F.lit(0.0))
+        .when(v >= as_col(hi), F.lit(1.0))
+        .otherwise(knot_share(v, xs, ps, at)),
     )
 
 
@@ -212,21 +214,26 @@ def value_to_t(value, lo, hi, scale: Scale) -> Column:
     return ieee_div(f(v) - f(a), f(b) - f(a))
 
 
-def raster_stretch(value, lo, hi, scale: Scale, knots: tuple | None = None) -> Column:
-    """The stretch a raster applies: ``*_norm``, or the histogram stretch."""
+def with_raster_stretch(df: DataFrame, scale: Scale, out: str = "t") -> DataFrame:
+    """Add the stretch a raster applies: ``*_norm``, or the histogram stretch.
+
+    Reads value, minv, maxv and, for the histogram, the knot arrays xs and ps.
+    """
+    v, lo, hi = "value", "minv", "maxv"
     if scale.kind == "linear":
-        return scale_linear_norm(value, lo, hi)
-    if scale.kind == "log":
-        return scale_log_norm(value, lo, hi)
-    if scale.kind == "asinh":
-        return scale_asinh_norm(value, lo, hi, scale.param)
-    if scale.kind == "symlog":
-        return scale_symlog_norm(value, lo, hi, scale.param)
-    if scale.kind == "plancklog":
-        return scale_plancklog_norm(value, lo, hi, scale.param)
-    if knots is None:
-        raise ValueError("the histogram stretch needs knots")
-    return scale_histogram(value, knots[0], knots[1], lo, hi)
+        t = scale_linear_norm(v, lo, hi)
+    elif scale.kind == "log":
+        t = scale_log_norm(v, lo, hi)
+    elif scale.kind == "asinh":
+        t = scale_asinh_norm(v, lo, hi, scale.param)
+    elif scale.kind == "symlog":
+        t = scale_symlog_norm(v, lo, hi, scale.param)
+    elif scale.kind == "plancklog":
+        t = scale_plancklog_norm(v, lo, hi, scale.param)
+    else:
+        df = with_knot_position(df)
+        return df.withColumn(out, scale_histogram(v, "xs", "ps", "at", lo, hi)).drop("at")
+    return df.withColumn(out, t)
 
 
 # ---------------------------------------------------------------- class, colour

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skymap.functions.pixels import idiv
-from skymap.functions.search import count_below
-from skymap.functions.staging import as_col
-from skymap.functions.stretch import MAX_KNOTS, scale_histogram
+from skymap.functions.search import with_count_below
+from skymap.functions.stretch import MAX_KNOTS, scale_histogram, with_knot_position
 from skymap.operators.order import exact_quantiles, ranked_values
 from skymap.plans.sizing import small_side
 
@@ -103,54 +102,57 @@ def stretch_by_histogram(
 ) -> DataFrame:
     """Add ``t``: each value located between the knots of its map."""
     joined = with_knots(df, arrays.join(limits, "map_id"), n_maps)
-    t = scale_histogram("value", "xs", "ps", "minv", "maxv")
-    return joined.withColumn("t", t).drop("xs", "ps", "minv", "maxv")
+    t = scale_histogram("value", "xs", "ps", "at", "minv", "maxv")
+    return with_knot_position(joined).withColumn("t", t).drop("at", "xs", "ps", "minv", "maxv")
 
 
 # ------------------------------------------------------------ lookups in knots
 
 
-def cdf_step(value, xs, ps) -> Column:
-    """Step share: exact hit, else the next knot; 0 below all, 1 above all."""
-    v, x, p = as_col(value), as_col(xs), as_col(ps)
-    at = count_below(x, v, MAX_KNOTS)
-    return (
+def with_cdf_step(df: DataFrame, value: str = "value", out: str = "share") -> DataFrame:
+    """Step share: exact hit, else the next knot; 0 below all, 1 above all.
+
+    Reads the arrays ``xs`` and ``ps`` of the row.
+    """
+    x, p, at = F.col("xs"), F.col("ps"), F.col("__at")
+    share = (
         F.when(F.size(x) == 0, F.lit(None).cast("double"))
         .when(at == 0, F.lit(0.0))
-        .when(F.get(x, at - 1) == v, F.get(p, at - 1))
+        .when(F.get(x, at - 1) == F.col(value), F.get(p, at - 1))
         .when(at >= F.size(x), F.lit(1.0))
         .otherwise(F.get(p, at))
     )
+    return with_count_below(df, "xs", value, MAX_KNOTS, "__at").withColumn(out, share).drop("__at")
 
 
-def cdf_inverse(q, xs, ps) -> Column:
+def with_cdf_inverse(df: DataFrame, q: str = "q", out: str = "value") -> DataFrame:
     """Value at a share: exact hit, else the next knot; clamped at the ends."""
-    s, x, p = as_col(q), as_col(xs), as_col(ps)
-    at = count_below(p, s, MAX_KNOTS)
-    return (
+    x, p, at = F.col("xs"), F.col("ps"), F.col("__at")
+    value = (
         F.when(F.size(x) == 0, F.lit(None).cast("double"))
         .when(at == 0, F.get(x, F.lit(0)))
-        .when(F.get(p, at - 1) == s, F.get(x, at - 1))
+        .when(F.get(p, at - 1) == F.col(q), F.get(x, at - 1))
         .when(at >= F.size(x), F.get(x, F.size(x) - 1))
         .otherwise(F.get(x, at))
     )
+    return with_count_below(df, "ps", q, MAX_KNOTS, "__at").withColumn(out, value).drop("__at")
 
 
-def value_at_quantile(q, xs, ps, minv, maxv) -> Column:
+def with_value_at_quantile(df: DataFrame, q: str = "q", out: str = "value") -> DataFrame:
     """Value at a share with linear interpolation; limits at the ends; 0 if empty."""
-    s, x, p = as_col(q), as_col(xs), as_col(ps)
-    at = count_below(p, s, MAX_KNOTS)
+    x, p, at, s = F.col("xs"), F.col("ps"), F.col("__at"), F.col(q)
     p0, p1 = F.get(p, at - 1), F.get(p, at)
     x0, x1 = F.get(x, at - 1), F.get(x, at)
-    return (
+    value = (
         F.when(F.size(x) == 0, F.lit(0.0))
-        .when(s <= 0, as_col(minv))
-        .when(s >= 1, as_col(maxv))
+        .when(s <= 0, F.col("minv"))
+        .when(s >= 1, F.col("maxv"))
         .when(at == 0, F.get(x, F.lit(0)))
         .when(p0 == s, x0)
         .when(at >= F.size(x), F.get(x, F.size(x) - 1))
         .otherwise(x0 + (s - p0) / (p1 - p0) * (x1 - x0))
     )
+    return with_count_below(df, "ps", q, MAX_KNOTS, "__at").withColumn(out, value).drop("__at")
 
 
 def quantile_table(hists: DataFrame, count: int) -> DataFrame:
@@ -159,8 +161,7 @@ def quantile_table(hists: DataFrame, count: int) -> DataFrame:
         raise ValueError("at least two quantiles")
     grid = hists.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     grid = grid.withColumn("q", F.col("i") / F.lit(float(count - 1)))
-    value = value_at_quantile("q", "xs", "ps", "minv", "maxv")
-    return grid.select("map_id", "i", "q", value.alias("value"))
+    return with_value_at_quantile(grid).select("map_id", "i", "q", "value")
 
 
 def distortion_profile(hists: DataFrame, count: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skymap.functions.search import count_below
+from skymap.functions.search import with_count_below
 from skymap.plans.sizing import materialize, small_side
 
 ROWS_PER_BUCKET = 1_000_000
@@ -38,7 +38,7 @@ def _cut(df: DataFrame, key: str, col: str, buckets: int) -> DataFrame:
         df.groupBy(key).agg(F.array_distinct(F.percentile_approx(col, qs, 10_000)).alias("cuts"))
     )
     joined = df.join(small_side(cuts, limit=BROADCAST_CUTS // buckets), key)
-    placed = joined.withColumn("bkt", count_below(F.col("cuts"), F.col(col), buckets, inclusive=False))
+    placed = with_count_below(joined, "cuts", col, buckets, "bkt", inclusive=False)
     return placed.withColumn(
         "top", F.coalesce(F.get("cuts", F.col("bkt")) == F.col(col), F.lit(False))
     ).drop("cuts")

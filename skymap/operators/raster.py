@@ -13,9 +13,9 @@ from skymap.functions import projections as P
 from skymap.functions.frames import IDENTITY, Matrix, rotate_inverse, sph_to_vec, vec_to_sph
 from skymap.functions.pixels import TWO_PI, with_ang2pix
 from skymap.functions.staging import as_col
-from skymap.functions.stretch import Scale, classify, cmap_index, gamma, raster_stretch
+from skymap.functions.stretch import Scale, classify, cmap_index, gamma, with_raster_stretch
 from skymap.operators.histogram import with_knots
-from skymap.plans.sizing import BROADCAST_ROWS, small_side
+from skymap.plans.sizing import small_side, spread
 
 RGBA = tuple[int, int, int, int]
 GRAY: RGBA = (128, 128, 128, 255)
@@ -54,14 +54,12 @@ class Projection:
             return P.gnomonic_cell(x, y, self.width, self.res, self.lon, self.lat, self.roll)
         raise ValueError(f"unknown projection {self.kind!r}")
 
-    def forward(self, lon, lat) -> tuple[Column, Column]:
-        """(u, v) of a sky point."""
-        f = {
-            P.MOLLWEIDE: P.mollweide_forward,
-            P.HAMMER: P.hammer_forward,
-            P.GNOMONIC: P.gnomonic_forward,
-        }
-        return f[self.kind](lon, lat)
+    def with_forward(self, df: DataFrame, lon: str, lat: str, out=("u", "v")) -> DataFrame:
+        """Add the (u, v) of a sky point."""
+        if self.kind == P.MOLLWEIDE:
+            return P.with_mollweide_forward(df, lon, lat, out)
+        f = P.hammer_forward if self.kind == P.HAMMER else P.gnomonic_forward
+        return df.withColumns(dict(zip(out, f(lon, lat))))
 
 
 # --------------------------------------------------------------------- sampling
@@ -135,8 +133,7 @@ def raster_index(
 def cells_of_maps(maps: DataFrame, width: int, height: int) -> DataFrame:
     """(map_id, x, y) for every map. Rows are spread before they are multiplied by x."""
     rows = maps.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
-    rows = rows.repartition("map_id", "y")
-    return rows.select("map_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y")
+    return spread(rows, "map_id", "y").select("map_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y")
 
 
 def raster_values(
@@ -219,14 +216,11 @@ def reproject(
         index = raster_index(pixels.sparkSession, proj, nside, ordering, view)
     cells = raster_values(pixels, maps, index, proj)
     cells = cells.join(small_side(limits, n_maps), "map_id", "left")
-    arrays = None
     if scale.kind == "histogram":
         if knots is None:
             raise ValueError("the histogram stretch needs knots")
         cells = with_knots(cells, knots, n_maps)
-        arrays = (F.col("xs"), F.col("ps"))
-    cells = cells.withColumn("t", raster_stretch("value", "minv", "maxv", scale, arrays))
-    cells = cells.drop("minv", "maxv", "xs", "ps")
+    cells = with_raster_stretch(cells, scale).drop("minv", "maxv", "xs", "ps")
     if lut is not None:
         cells = colorize(cells, lut, g, bad)
     else:

@@ -90,8 +90,7 @@ def track_project(
     df = df.withColumns({"__x": x, "__y": y, "__z": z})
     lon, lat = vec_to_lonlat("__x", "__y", "__z")
     df = df.withColumns({"__lon": lon, "__lat": lat})
-    u, v = proj.forward("__lon", "__lat")
-    return df.withColumns({"u": u, "v": v}).drop("__x", "__y", "__z", "__lon", "__lat")
+    return proj.with_forward(df, "__lon", "__lat").drop("__x", "__y", "__z", "__lon", "__lat")
 
 
 def track_project_gnomonic(

@@ -52,3 +52,16 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     if rows is None:
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """Distribute few small rows that each stand for much work.
+
+    The number of partitions is explicit: adaptive execution would merge them
+    again, because it sees only the small rows and not what is made of them.
+    """
+    if tasks is None:
+        spark = df.sparkSession
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(shuffle, spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

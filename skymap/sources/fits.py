@@ -22,8 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skymap.plans.sizing import spread
+
 BLOCK_BYTES = 64 << 20
-FILES_PER_TASK = 16
+BLOCKS_PER_TASK = 16
 
 # Fixed values of the format: header unit, card size, bytes per type code.
 UNIT, CARD = 2880, 80
@@ -220,8 +222,11 @@ def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_byt
 
     ``value_cols`` is a list of 0-based value columns read from every file, or a
     DataFrame (path, value_col). Blocks are whole rows of about ``block_bytes``
-    and are spread evenly, so one huge file is read by many tasks.
+    and are spread evenly, so one huge file is read by many tasks. The blocks are
+    counted to choose the number of tasks: store ``columns`` first when the header
+    pass is expensive.
     """
+    spark = columns.sparkSession
     table = _first_table(columns).withColumn("explicit", (F.col("indxschm") == "EXPLICIT") & (F.col("nside") > 0))
     table = table.withColumn(
         "value_col", F.when(F.col("explicit"), F.col("col") - 1).otherwise(F.col("col"))
@@ -244,7 +249,10 @@ def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_byt
         "path", "tform", "type", "repeat", "col_offset", "row_bytes", "data_start", "explicit",
         "index_type", "index_offset", "first_row",
         F.least("per_block", F.col("n_rows") - F.col("first_row")).alias("rows"),
-    ).repartition("path", "first_row", "map_id")
+    )
+    blocks = cut.count()
+    least = min(blocks, spark.sparkContext.defaultParallelism)
+    cut = spread(cut, "path", "first_row", "map_id", tasks=max(1, least, -(-blocks // BLOCKS_PER_TASK)))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skymap.functions.pixels import npix_of
+from skymap.plans.sizing import spread
 
 
 def index_map(spark: SparkSession, nside: int, map_id: str = "index") -> DataFrame:
@@ -27,7 +28,8 @@ def all_pixels(maps: DataFrame) -> DataFrame:
         "map_id",
         "nside",
         F.explode(F.sequence(F.col("face") * F.col("nside"), (F.col("face") + 1) * F.col("nside") - 1)).alias("row"),
-    ).repartition("map_id", "row")
+    )
+    rows = spread(rows, "map_id", "row")
     first = F.col("row") * F.col("nside")
     return rows.select("map_id", F.explode(F.sequence(first, first + F.col("nside") - 1)).alias("pix"))
 
