@@ -82,7 +82,7 @@ def _about_z(angle: float) -> Matrix:
 
 
 def camera_matrix(lon: float, lat: float, roll: float = 0.0) -> Matrix:
-    """Rotation that brings (lon, lat) to the front, then rolls (radians)."""
+    """Camera rotation Rz(roll) Ry(-lat) Rz(-lon), angles in radians."""
     return matmul(matmul(_about_z(roll), _about_y(-lat)), _about_z(-lon))
 
 
