@@ -119,7 +119,7 @@ def _render(f):
     def run(spark, d):
         df, n = X.sky_orders(spark, d)
         lim = materialize(limits.auto_limits(df, npix_of(n)))
-        out = f(df, X.one_map(spark, "orders", n), lim, 4 * n, n, "RING", lut=X.lut_gray(spark), view=X.VIEW)
+        out = f(df, X.one_map(spark, "orders", n), lim, 4 * n, n, "RING", lut=X.lut_gray(spark), view=X.VIEW, n_maps=1)
         return out.select(
             "map_id", *_long("x", "y"), "pix", r6("value").alias("value"), "cls", r6("t").alias("t"), *_long("idx"),
             F.col("rgba.r").cast("long").alias("r"),
@@ -178,7 +178,7 @@ def render_gnomonic(spark, d):
     index = materialize(raster.raster_index(spark, proj, n, "RING"))
     lim = materialize(limits.fov_limits(df, index, proj.width * proj.height, npix_of(n)))
     out = raster.render_gnomonic(
-        df, X.one_map(spark, "orders", n), lim, 2 * n * _RES, _RES, 266.4, -28.9, n, "RING", roll=0.25, index=index
+        df, X.one_map(spark, "orders", n), lim, 2 * n * _RES, _RES, 266.4, -28.9, n, "RING", roll=0.25, index=index, n_maps=1
     )
     return out.select(*_long("x", "y"), "pix", r6("value").alias("value"), r6("t").alias("t"))
 
@@ -218,7 +218,7 @@ def _gray_raster(spark, d, proj: str):
     """Cells (map_id, x, y, rgba, r, g, b) of the order map."""
     df, n = X.sky_orders(spark, d)
     lim = materialize(limits.auto_limits(df, npix_of(n)))
-    out = raster.reproject(df, X.one_map(spark, "orders", n), lim, _proj(proj, n), n, "RING", X.lut_gray(spark), X.VIEW)
+    out = raster.reproject(df, X.one_map(spark, "orders", n), lim, _proj(proj, n), n, "RING", X.lut_gray(spark), X.VIEW, n_maps=1)
     return out.select("map_id", "x", "y", "rgba", "rgba.r", "rgba.g", "rgba.b")
 
 

@@ -108,8 +108,8 @@ def subtract_mono_dipole(
 ) -> DataFrame:
     """Subtract the fitted monopole (and dipole) from the pixels that entered the fit.
 
-    Seen pixels outside the mask keep their value. ``n_maps`` (a known number of
-    maps) lets the coefficients be broadcast without counting them.
+    Seen pixels outside the mask keep their value. ``n_maps`` is a known number of
+    maps; without it the coefficients are stored and counted.
     """
     fit = solve_fit(fit_sums(df, nside, ordering, mask))
     rows = df.select("map_id", "pix", "value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skymap.functions.pixels import npix_of
 from skymap.functions.values import UNSEEN
 from skymap.operators.order import smallest_k
+from skymap.plans.sizing import small_side
 
 MAX_MASK_NSIDE = 1024
 
@@ -91,7 +92,7 @@ def mask_from_pixels(pixels: DataFrame, maps: DataFrame, coord: str | None = Non
     frame = maps.select("map_id", (F.lit(coord) if coord else F.coalesce("coord", F.lit("G"))).alias("coord"))
     per_mask = checked.join(frame, "map_id")
     return (
-        pixels.join(per_mask, "map_id")
+        pixels.join(small_side(per_mask), "map_id")
         .select(
             F.col("map_id").alias("mask_id"),
             "pix",

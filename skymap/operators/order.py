@@ -37,7 +37,7 @@ def _cut(df: DataFrame, key: str, col: str, buckets: int) -> DataFrame:
     cuts = materialize(
         df.groupBy(key).agg(F.array_distinct(F.percentile_approx(col, qs, 10_000)).alias("cuts"))
     )
-    joined = df.join(small_side(cuts, limit=BROADCAST_CUTS // buckets), key)
+    joined = df.join(small_side(cuts, limit=BROADCAST_CUTS // buckets, stored=True), key)
     placed = with_count_below(joined, "cuts", col, buckets, "bkt", inclusive=False)
     return placed.withColumn(
         "top", F.coalesce(F.get("cuts", F.col("bkt")) == F.col(col), F.lit(False))
@@ -87,7 +87,7 @@ def value_rank(
     cut = _cut(df, key, col, buckets)
     share = F.floor(F.col(tie) / F.lit(float(stride))) + 1
     cut = cut.withColumn("sub", F.when(F.col("top"), share).otherwise(F.lit(0).cast("long"))).drop("top")
-    offsets = small_side(_offsets(cut, key, ["bkt", "sub"]).drop("cnt", "n"))
+    offsets = small_side(_offsets(cut, key, ["bkt", "sub"]).drop("cnt", "n"), stored=True)
     inner = F.row_number().over(W.partitionBy(key, "bkt", "sub").orderBy(col, tie))
     return (
         cut.withColumn("__in", inner)
@@ -122,7 +122,7 @@ def ranked_values(
             }
         )
     cut = _cut(df, key, col, buckets).drop("top")
-    offsets = small_side(_offsets(cut, key, ["bkt"]).drop("cnt"))
+    offsets = small_side(_offsets(cut, key, ["bkt"]).drop("cnt"), stored=True)
     return _ranked_in_buckets(cut, offsets, key, col)
 
 
@@ -176,7 +176,7 @@ def exact_quantiles(
         for q in qs.values():
             for at in _target_ranks(q, method)[:2]:
                 wanted = wanted | ((at >= F.col("off")) & (at < F.col("off") + F.col("cnt")))
-        hit = small_side(materialize(offsets.filter(wanted).drop("cnt")))
+        hit = small_side(offsets.filter(wanted).drop("cnt"), stored=True)
         ranked = _ranked_in_buckets(cut.join(hit.select(key, "bkt"), [key, "bkt"]), hit, key, col)
     picks = []
     for name, q in qs.items():

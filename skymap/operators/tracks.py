@@ -19,7 +19,7 @@ from skymap.functions.pixels import idiv
 from skymap.functions.projections import arcmin, plane_about_pole, plane_of_local
 from skymap.functions.staging import as_col
 from skymap.operators.raster import Projection
-from skymap.plans.sizing import materialize, small_side
+from skymap.plans.sizing import small_side
 
 SPAN = 65_536
 # Fixed values of the break rules.
@@ -46,7 +46,10 @@ def _earlier() -> WindowSpec:
 
 
 def _chunk_of(span: int) -> Column:
-    return idiv(F.col("seq").cast("long"), F.lit(span).cast("long"))
+    """Chunk of a position. Never NULL: a join key that may be NULL would get its own
+    filter below the shuffle, and both sides of the join could not share it."""
+    chunk = idiv(F.col("seq").cast("long"), F.lit(span).cast("long"))
+    return F.coalesce(chunk, F.lit(0).cast("long"))
 
 
 def dense_seq(df: DataFrame, span: int = SPAN) -> DataFrame:
@@ -57,7 +60,7 @@ def dense_seq(df: DataFrame, span: int = SPAN) -> DataFrame:
     rows = df.withColumn("chunk", _chunk_of(span))
     counts = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cnt"))
     start = F.coalesce(F.sum("cnt").over(_earlier()), F.lit(0))
-    starts = small_side(materialize(counts.select(*KEYS, start.alias("__start"))))
+    starts = small_side(counts.select(*KEYS, start.alias("__start")))
     numbered = rows.withColumn("__at", F.row_number().over(_in_chunk()) - 1).join(starts, KEYS)
     return numbered.withColumn("seq", F.col("__start") + F.col("__at")).drop("chunk", "__start", "__at")
 
@@ -68,13 +71,12 @@ def with_halo(df: DataFrame, span: int, before: int = 0, after: int = 0) -> Data
     A narrow step: windows over (track_id, chunk) then see the true neighbours.
     """
     home = _chunk_of(span)
-    at = F.col("seq") % span
-    none = F.array().cast("array<bigint>")
+    at = F.coalesce(F.col("seq") % span, F.lit(0))
     copies = [F.array(home)]
     if before:
-        copies.append(F.when(at >= span - before, F.array(home + 1)).otherwise(none))
+        copies.append(F.array_repeat(home + 1, (at >= span - before).cast("int")))
     if after:
-        copies.append(F.when((at < after) & (home > 0), F.array(home - 1)).otherwise(none))
+        copies.append(F.array_repeat(home - 1, ((at < after) & (home > 0)).cast("int")))
     out = df.withColumn("chunk", F.explode(F.concat(*copies)))
     return out.withColumn("own", F.col("chunk") == home)
 

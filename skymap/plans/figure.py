@@ -63,8 +63,10 @@ def figure(
     if scale.kind == "histogram":
         given = lim if minv is not None and maxv is not None else None
         knots = materialize(knot_arrays(hist_knots(pixels, npix_of(n), MAX_KNOTS, given)))
+    n_maps = lim.count()
     drawn = maps.join(lim.select("map_id"), "map_id", "left_semi")
     return reproject(
         pixels, drawn, lim, proj, n, ordering, lut, view, scale, gamma, bad,
         mask=mask, mask_nside=n if mask is not None else None, fill=fill, knots=knots, index=index,
+        n_maps=n_maps,
     )

@@ -44,12 +44,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(
+    df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, stored: bool = False
+) -> DataFrame:
     """Broadcast hint for a side of proven or counted size; unchanged beyond the limit.
 
-    Count only what is cheap to read: a stored table or a materialized result.
+    ``rows`` is a proven bound. Without it the side is materialized (unless it is
+    ``stored`` already) and counted, so it is computed once.
     """
     if rows is None:
+        df = df if stored else materialize(df)
         rows = df.limit(limit + 1).count()
     return F.broadcast(df) if rows <= limit else df
 

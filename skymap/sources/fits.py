@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymap.plans.sizing import spread
+from skymap.plans.sizing import materialize, spread
 
 BLOCK_BYTES = 64 << 20
 BLOCKS_PER_TASK = 16
@@ -140,7 +140,10 @@ def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*.fit
 
 
 def describe_maps(files: DataFrame) -> DataFrame:
-    """One row per file column: name, type, layout and map keywords."""
+    """One row per file column: name, type, layout and map keywords.
+
+    The table is stored: every reader of the files uses it several times.
+    """
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in COLUMN_SCHEMA.split(", ")]
@@ -148,7 +151,7 @@ def describe_maps(files: DataFrame) -> DataFrame:
             rows = [r for p, m in zip(batch["path"], batch["mtime"]) for r in _columns_of(p, m)]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "mtime").mapInPandas(headers, COLUMN_SCHEMA)
+    return materialize(files.select("path", "mtime").mapInPandas(headers, COLUMN_SCHEMA))
 
 
 def map_name(path, col) -> Column:
@@ -214,7 +217,8 @@ def _decode(block) -> pd.DataFrame:
             pix = np.nan_to_num(index.ravel(), nan=0.0, posinf=2**62, neginf=-(2**62)).astype("i8")
         else:
             pix = np.full(len(values), -1, "i8")
-    return pd.DataFrame({"map_id": block.map_id, "row_no": row_no, "pix": pix, "value": values})
+    out = pd.DataFrame({"map_id": block.map_id, "row_no": row_no, "pix": pix, "value": values})
+    return out[(pix >= 0) & (pix < 12 * int(block.nside) ** 2)] if block.explicit else out
 
 
 def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -222,9 +226,8 @@ def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_byt
 
     ``value_cols`` is a list of 0-based value columns read from every file, or a
     DataFrame (path, value_col). Blocks are whole rows of about ``block_bytes``
-    and are spread evenly, so one huge file is read by many tasks. The blocks are
-    counted to choose the number of tasks: store ``columns`` first when the header
-    pass is expensive.
+    and are spread evenly, so one huge file is read by many tasks. Sparse rows
+    outside the map are dropped.
     """
     spark = columns.sparkSession
     table = _first_table(columns).withColumn("explicit", (F.col("indxschm") == "EXPLICIT") & (F.col("nside") > 0))
@@ -246,7 +249,7 @@ def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_byt
     )
     cut = cut.select(
         map_name(F.col("path"), F.col("value_col")).alias("map_id"),
-        "path", "tform", "type", "repeat", "col_offset", "row_bytes", "data_start", "explicit",
+        "path", "tform", "type", "repeat", "col_offset", "row_bytes", "data_start", "explicit", "nside",
         "index_type", "index_offset", "first_row",
         F.least("per_block", F.col("n_rows") - F.col("first_row")).alias("rows"),
     )
@@ -265,14 +268,12 @@ def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_byt
 def read_maps(columns: DataFrame, value_cols: DataFrame | list[int] = [0]) -> DataFrame:
     """Pixel table (map_id, pix, value) of map files, dense and sparse alike.
 
-    Dense pixels are numbered by position. Sparse rows outside 0..12 nside^2 - 1
-    are dropped and the last row of a repeated pixel wins.
+    Dense pixels are numbered by position. Of repeated sparse pixels the last row
+    wins.
     """
     sparse_cols = columns.filter("indxschm = 'EXPLICIT' and nside > 0")
     dense_cols = columns.filter("not (indxschm = 'EXPLICIT' and nside > 0)")
     dense = read_blocks(dense_cols, value_cols).select("map_id", "pix", "value")
-    sizes = map_metadata(sparse_cols).select("map_id", "nside")
-    rows = read_blocks(sparse_cols, value_cols).join(sizes, "map_id")
-    inside = F.col("pix").between(0, F.col("nside") * F.col("nside") * 12 - 1)
-    sparse = rows.filter(inside).groupBy("map_id", "pix").agg(F.max_by("value", "row_no").alias("value"))
+    rows = read_blocks(sparse_cols, value_cols)
+    sparse = rows.groupBy("map_id", "pix").agg(F.max_by("value", "row_no").alias("value"))
     return dense.unionByName(sparse)

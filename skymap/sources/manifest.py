@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymap.plans.sizing import materialize
+from skymap.plans.sizing import materialize, small_side
 from skymap.sources.fits import describe_maps, list_files, map_metadata, read_maps
 
 MANIFEST_KEYS = ["source", "col", "mtime"]
@@ -36,7 +36,7 @@ def ingest_incremental(
     manifest is appended after the pixels are written, so a lost job is simply
     repeated; its versions are overwritten, not doubled.
     """
-    columns = materialize(describe_maps(list_files(spark, source)))
+    columns = describe_maps(list_files(spark, source))
     version = F.concat_ws("@", "map_id", F.unix_micros("mtime").cast("string"))
     maps = map_metadata(columns).filter(F.col("col").isin(value_cols)).withColumn("version", version)
     manifest_path, pixel_path = f"{store}/manifest", f"{store}/pixels"
@@ -45,7 +45,8 @@ def ingest_incremental(
     maps = materialize(maps)
     wanted = maps.select(F.col("source").alias("path"), F.col("col").alias("value_col"))
     todo = columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi")
-    pixels = read_maps(todo, wanted).join(maps.select("map_id", "version"), "map_id")
+    versions = small_side(maps.select("map_id", "version"), stored=True)
+    pixels = read_maps(todo, wanted).join(versions, "map_id")
     pixels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "version"
     ).parquet(pixel_path)
