@@ -29,20 +29,23 @@ def percentile_exact(
 
 
 def percentile_sampled(
-    df: DataFrame, percents: dict[str, float], npix: int, sample_rows: int = SAMPLE_ROWS
+    df: DataFrame,
+    percents: dict[str, float],
+    npix: int,
+    sample_rows: int = SAMPLE_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Percentiles of every k-th pixel index; exact while the map is small.
 
-    A map without a sampled seen value gets 0.
+    A map without a sampled seen value gets 0. Large samples are selected like the
+    exact percentiles, not gathered per map.
     """
     k = -(-npix // sample_rows) if npix > sample_rows else 1
-    value = F.when(F.col("pix") % k == 0, F.col("value")) if k > 1 else F.col("value")
-    return df.groupBy("map_id").agg(
-        *[
-            F.coalesce(F.percentile(value, F.lit(p / 100.0)), F.lit(0.0)).alias(name)
-            for name, p in percents.items()
-        ]
-    )
+    sample = df.filter(F.col("pix") % k == 0) if k > 1 else df
+    found = percentile_exact(sample, percents, -(-npix // k), buckets)
+    ids = df.select("map_id").distinct()
+    names = [F.coalesce(name, F.lit(0.0)).alias(name) for name in percents]
+    return ids.join(found, "map_id", "left").select("map_id", *names)
 
 
 def _checked(minv: Column, maxv: Column, seen: Column) -> list[Column]:
@@ -107,7 +110,7 @@ def fov_limits(
     seen = df.filter(F.col("value").isNotNull())
     hits = seen.join(small_side(index.select("pix"), cells), "pix").select("map_id", "value")
     inside = auto_limits(hits, cells, kind, minv, maxv, buckets=buckets)
-    missed = seen.join(hits.select("map_id").distinct(), "map_id", "left_anti")
+    missed = seen.join(small_side(hits.select("map_id").distinct()), "map_id", "left_anti")
     return inside.unionByName(auto_limits(missed, rows_per_key, kind, minv, maxv, buckets=buckets))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,14 @@ def current(pixels: DataFrame, manifest: DataFrame) -> DataFrame:
     return pixels.join(newest.select("version"), "version", "left_semi")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None while it does not exist."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def ingest_incremental(
@@ -40,8 +46,9 @@ def ingest_incremental(
     version = F.concat_ws("@", "map_id", F.unix_micros("mtime").cast("string"))
     maps = map_metadata(columns).filter(F.col("col").isin(value_cols)).withColumn("version", version)
     manifest_path, pixel_path = f"{store}/manifest", f"{store}/pixels"
-    if _exists(spark, manifest_path):
-        maps = pending(maps, spark.read.parquet(manifest_path))
+    known = _stored(spark, manifest_path)
+    if known is not None:
+        maps = pending(maps, known)
     maps = materialize(maps)
     wanted = maps.select(F.col("source").alias("path"), F.col("col").alias("value_col"))
     todo = columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi")

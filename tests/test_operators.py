@@ -136,6 +136,16 @@ def test_limits_rules(spark, skewed):
         limits.auto_limits(df, 9000, minv=2.0, maxv=1.0).collect()
 
 
+def test_sampled_percentiles(spark, skewed):
+    df, pdf = skewed
+    df = df.unionByName(spark.createDataFrame([("none", 1, 2.0)], df.schema))
+    for buckets in (1, 8):
+        got = limits.percentile_sampled(df, {"p": 50.0}, 9000, 2000, buckets).toPandas().set_index("map_id").p
+        assert got["none"] == 0.0
+        big = pdf[(pdf.map_id == "big") & (pdf.pix % 5 == 0)].value
+        assert got["big"] == pytest.approx(np.quantile(big, 0.5))
+
+
 # ------------------------------------------------------------------------- tracks
 
 
