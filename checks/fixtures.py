@@ -8,9 +8,12 @@ spread over the sky by a multiplication modulo the pixel count.
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -205,8 +208,21 @@ def fits_bytes(rows: np.ndarray, forms: list[str], names: list[str], **keywords)
     return primary + _unit(cards) + data + b"\0" * (-len(data) % 2880)
 
 
+@lru_cache
+def ship_code(spark: SparkSession) -> None:
+    """Send the two packages to the Python workers, as a cluster job would."""
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "skymap_job.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for package in ("skymap", "checks"):
+            for file in sorted((root / package).rglob("*.py")):
+                z.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place all executors share."""
+    """A fresh folder in the place all executors share, for files the workers write."""
+    ship_code(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
