@@ -114,13 +114,15 @@ _COVERED = f"""aggregate(starts, named_struct('last', -{WINDOW}, 'sum', 0L),
     (a, i) -> named_struct('last', i, 'sum', a.sum + least({WINDOW}, i - a.last)), a -> a.sum)"""
 
 
-def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the base counts, both distances and the verdict.
+def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document: the base counts, both distances and the verdict; with ``carry`` also
+    the whole input row, as a struct ``row``.
 
     ``class_distance`` is the smallest over the languages; ``common_distance`` is that to the
     language of whose common words the document holds most.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row)
     base = base.withColumn("words", words_of(F.col("text")))
     base = base.withColumn("n_words", F.size("words").cast("long"))
     n = F.col("n_words").cast("int")
@@ -167,5 +169,10 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))).alias("kept"),
-        "class_distance", "common_distance",
+        "class_distance", "common_distance", *(["row"] if carry else []),
     )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return quality_counts(docs, id_col, text_col, carry=True).filter("kept").select("row.*")

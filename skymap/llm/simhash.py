@@ -98,18 +98,19 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed number."""
-    ship_code(docs.sparkSession)
+def with_fingerprints(texts: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The last column of ``texts``, the text, replaced by ``fp``, its fingerprint as a signed number."""
+    ship_code(texts.sparkSession)
+    *kept, _ = texts.schema.fields
+    names = [f.name for f in kept] + ["fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            *cols, text = batch.columns
+            fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in text), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fps.view(np.int64))], names)
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType
-    return slim.mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    return texts.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def spanning_links(members: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -224,17 +225,37 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def _rooted(prints: DataFrame, *aggregates: Column) -> DataFrame:
+    """(fp, root, ...): the root of each fingerprint's component, and aggregates over its rows."""
+    fps = stored(prints.groupBy("fp").agg(*aggregates))
+    roots = components(links(fps.select("fp")))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id that can be reached over links.
     """
-    prints = stored(with_fingerprints(docs, id_col, text_col))
-    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps.select("fp")))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = stored(with_fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))))
+    rooted = _rooted(prints, F.min("doc_id").alias("least"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group: that of the smallest doc_id (null last), then of the
+    smallest hash of the text; of rows equal in both, any one."""
+    text_hash = F.xxhash64(F.col(f"`{text_col}`"))
+    slim = docs.select(F.col(id_col).alias("id"), text_hash.alias("h"), F.col(text_col).alias("text"))
+    prints = stored(with_fingerprints(slim))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
+    rooted = _rooted(prints, first)
+    winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(row.alias("row"), F.col(id_col).alias("id"), text_hash.alias("h"))
+    kept = held.join(winners, held["id"].eqNullSafe(winners["w_id"]) & (held["h"] == winners["w_h"]), "left_semi")
+    return kept.groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
