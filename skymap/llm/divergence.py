@@ -175,4 +175,8 @@ def quality_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    return quality_counts(docs, id_col, text_col, carry=True).filter("kept").select("row.*")
+    judged = quality_counts(docs, id_col, text_col, carry=True)
+    # The verdict leaves through a one-element generator: a filter on the plain column would be
+    # pushed below the whole chain and each of its steps written out again and again.
+    once = judged.select("row", F.explode(F.array("kept")).alias("kept"))
+    return once.filter("kept").select("row.*")
