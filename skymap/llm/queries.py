@@ -14,7 +14,9 @@ from skymap.llm.divergence import quality_counts
 from skymap.llm.licenses import scan_licenses
 from skymap.llm.line_dedup import drop_common_lines
 from skymap.llm.mixing import mix
+from skymap.llm.phrase_automata import remove_phrases
 from skymap.llm.simhash import near_duplicates
+from skymap.llm.suffix_dedup import remove_repeats
 from skymap.llm.token_counts import count_tokens
 from skymap.llm.token_output import training_shards
 
@@ -32,6 +34,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
@@ -52,6 +59,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_shards(documents(spark, sf_dir))
 
 
+@query("op6_phrase_automata")
+def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_phrases(documents(spark, sf_dir))
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
