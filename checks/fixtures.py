@@ -224,7 +224,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the place all executors share, for files the workers write."""
     ship_code(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    # A path without a scheme belongs to the session's own default file system.
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def _save(path: str, data: bytes) -> None:

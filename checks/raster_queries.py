@@ -134,8 +134,15 @@ for _name, _kind, _f in (
 ):
     query(_name, _raster_sql(S.ORDERS, "a", _kind, 1.0) + f"SELECT {_OUT}, r FROM k")(_render(_f))
 
-_RES = 7.5
-_D = repr(P.arcmin(_RES))
+# A cut-out of 2 nside cells a side covers 40 degrees at every size of table.
+_SIDE = 1200.0
+_D = f"({P.arcmin(_SIDE)!r}/nside)"
+
+
+def _res(n: int) -> float:
+    return _SIDE / n
+
+
 _TAN = P.tangent_matrix(266.4, -28.9, 0.25)
 
 
@@ -148,7 +155,7 @@ def _gnomonic_index(w: str) -> str:
 
 
 def _gnomonic(n: int) -> raster.Projection:
-    return raster.Projection(P.GNOMONIC, 2 * n, 2 * n, _RES, 266.4, -28.9, 0.25)
+    return raster.Projection(P.GNOMONIC, 2 * n, 2 * n, _res(n), 266.4, -28.9, 0.25)
 
 
 _FOV = f"WITH {S.ORDERS}, {_gnomonic_index('(2*nside)')}, hit AS (SELECT map_id, value FROM ix JOIN a USING (pix))"
@@ -178,7 +185,7 @@ def render_gnomonic(spark, d):
     index = materialize(raster.raster_index(spark, proj, n, "RING"))
     lim = materialize(limits.fov_limits(df, index, proj.width * proj.height, npix_of(n)))
     out = raster.render_gnomonic(
-        df, X.one_map(spark, "orders", n), lim, 2 * n * _RES, _RES, 266.4, -28.9, n, "RING", roll=0.25, index=index, n_maps=1
+        df, X.one_map(spark, "orders", n), lim, 2 * n * _res(n), _res(n), 266.4, -28.9, n, "RING", roll=0.25, index=index, n_maps=1
     )
     return out.select(*_long("x", "y"), "pix", r6("value").alias("value"), r6("t").alias("t"))
 
@@ -329,7 +336,7 @@ _GN = (
 
 def _gnomonic_tracks(spark, d, kind: str):
     n = X.nside_of(spark, d, "orders")
-    return tracks.track_project_gnomonic(_tracks(spark, d, kind), 2 * n, _RES, "G", "G", X.VIEW), n
+    return tracks.track_project_gnomonic(_tracks(spark, d, kind), 2 * n, _res(n), "G", "G", X.VIEW), n
 
 
 @query(
@@ -348,7 +355,7 @@ def track_project_gnomonic(spark, d):
 )
 def track_project_tangent(spark, d):
     n = X.nside_of(spark, d, "orders")
-    df = tracks.track_project_tangent(X.tracks_grid(spark, d), 2 * n, _RES)
+    df = tracks.track_project_tangent(X.tracks_grid(spark, d), 2 * n, _res(n))
     return df.select("track_id", "seq", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
 
 

@@ -188,7 +188,8 @@ def _ang_sql(fact: int) -> str:
 
 
 query("degrade_ang", _ang_sql(4))(_down(degrade.degrade_ang, 4))
-query("degrade", _ang_sql(8))(_down(degrade.degrade, 8))
+query("degrade", f"{SRC}{_parents('all', 8)} {DOWN}")(_down(degrade.degrade, 8))
+query("degrade_by_size", _ang_sql(8))(_down(degrade.degrade_by_size, 8))
 
 _TWO = (
     f"{SRC}{_parents('all', 2)}, half AS (SELECT map_id, tp AS pix, value FROM k), p2 AS (SELECT nside//2 AS nside FROM p), "
@@ -243,7 +244,7 @@ def percentile_exact(spark, d):
 )
 def percentile_sampled(spark, d):
     df, n = X.sky_multi(spark, d)
-    out = limits.percentile_sampled(df, {"p5": 5.0, "p95": 95.0}, npix_of(n), npix_of(n) // 5)
+    out = limits.percentile_sampled(df, {"p5": 5.0, "p95": 95.0}, npix_of(n), -(-npix_of(n) // (npix_of(n) // 5)))
     return out.select("map_id", r6("p5").alias("p5"), r6("p95").alias("p95"))
 
 

@@ -36,20 +36,6 @@ ECL_TO_EQ: Matrix = (
 )
 IDENTITY: Matrix = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
 
-FRAME_NAMES = {
-    "g": "G", "gal": "G", "galactic": "G",
-    "c": "C", "eq": "C", "equatorial": "C",
-    "e": "E", "ecl": "E", "ecliptic": "E",
-}
-
-
-def parse_frame(name: str) -> str:
-    """Frame letter of a user-given name."""
-    try:
-        return FRAME_NAMES[name.lower()]
-    except KeyError:
-        raise ValueError("coord must be one of: gal, eq, ecl") from None
-
 
 def transpose(m: Matrix) -> Matrix:
     return tuple(zip(*m))

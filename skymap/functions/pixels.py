@@ -110,6 +110,13 @@ def with_nest2xyf(df: DataFrame, nside, pix="pix", out=("ix", "iy", "face")) ->
     return compute(df, _unnest_steps(as_sql(nside), as_sql(pix)), dict(zip(out, (":x", ":y", ":f"))))
 
 
+def is_ring(ordering: str) -> bool:
+    """Whether the numbering is RING; anything but RING and NESTED is refused."""
+    if ordering not in (RING, NESTED):
+        raise ValueError(f"unknown ordering {ordering!r}")
+    return ordering == RING
+
+
 def nest_parent(pix, levels: int) -> Column:
     """NESTED index ``levels`` resolution steps up."""
     return F.shiftright(as_col(pix), 2 * levels)
@@ -125,6 +132,15 @@ _FACE = {
 }
 
 
+def _belt_face(falling: str, rising: str) -> str:
+    """Base face from the numbers of the two diagonal stripes a place lies in.
+
+    The stripes cross at the faces: equal numbers on the middle row, a rising number
+    one ahead on the northern, one behind on the southern row.
+    """
+    return f"(4 * (1 + {falling} - {rising}) + (least({falling}, {rising}) & 3))"
+
+
 def _unring_steps(n: str, p: str) -> dict[str, str]:
     """Steps from a RING index to ``:x``, ``:y``, ``:f``.
 
@@ -140,8 +156,7 @@ def _unring_steps(n: str, p: str) -> dict[str, str]:
         "down": f"(:j - ({n} * 2 + 2 - :top) div 2 + {n} - 1) div {n}",
         "up": f"(:j - :top div 2 + {n} - 1) div {n}",
         "quarter": "(:j - 1) div :nr",
-        "f": """CASE WHEN :cap THEN CASE WHEN :south THEN :quarter + 8 ELSE :quarter END
-                WHEN :down = :up THEN :up | 4 WHEN :down < :up THEN :down ELSE :up + 8 END""",
+        "f": f"CASE WHEN :cap THEN :quarter + IF(:south, 8, 0) ELSE {_belt_face(':down', ':up')} END",
         **_FACE,
         "a": f":ring - :frow * {n} + 1",
         "b": ":j * 2 - :flon * :nr - :odd - 1",
@@ -299,9 +314,7 @@ def with_ang2pix_nest(df: DataFrame, nside, theta="theta", phi="phi", out="pix")
         "fm": f":jm div {n}",
         "a": f"CASE WHEN :belt THEN :jp & ({n} - 1) ELSE least(:jp, {n} - 1) END",
         "b": f"CASE WHEN :belt THEN :jm & ({n} - 1) ELSE least(:jm, {n} - 1) END",
-        "f": """CASE WHEN :belt THEN
-                  CASE WHEN :fp = :fm THEN :fp | 4 WHEN :fp < :fm THEN :fp ELSE :fm + 8 END
-                WHEN :z >= 0 THEN :turn ELSE :turn + 8 END""",
+        "f": f"CASE WHEN :belt THEN {_belt_face(':fp', ':fm')} ELSE :turn + IF(:z < 0, 8, 0) END",
         "cx": f"CASE WHEN :belt THEN :b WHEN :z >= 0 THEN {n} - :b - 1 ELSE :a END",
         "cy": f"CASE WHEN :belt OR :z >= 0 THEN {n} - :a - 1 ELSE :b END",
         **_nest_steps(n, ":cx", ":cy", ":f"),
@@ -313,7 +326,7 @@ def with_ang2pix(
     df: DataFrame, nside, ordering: str, theta="theta", phi="phi", out="pix"
 ) -> DataFrame:
     """Pixel of a direction in the given numbering."""
-    f = with_ang2pix_ring if ordering == RING else with_ang2pix_nest
+    f = with_ang2pix_ring if is_ring(ordering) else with_ang2pix_nest
     return f(df, nside, theta, phi, out)
 
 
@@ -321,13 +334,13 @@ def with_pix2ang(
     df: DataFrame, nside, ordering: str, pix="pix", out=("theta", "phi")
 ) -> DataFrame:
     """Centre of a pixel in the given numbering."""
-    f = with_pix2ang_ring if ordering == RING else with_pix2ang_nest
+    f = with_pix2ang_ring if is_ring(ordering) else with_pix2ang_nest
     return f(df, nside, pix, out)
 
 
 def with_xyf(df: DataFrame, nside, ordering: str, pix="pix", out=("ix", "iy", "face")) -> DataFrame:
     """Face coordinates of a pixel in the given numbering."""
-    if ordering == RING:
+    if is_ring(ordering):
         return with_ring2xyf(df, nside, pix, out)
     require_power_of_two(nside)
     return with_nest2xyf(df, nside, pix, out)
@@ -337,7 +350,7 @@ def with_pix_of_xyf(
     df: DataFrame, nside, ordering: str, ix="ix", iy="iy", face="face", out="pix"
 ) -> DataFrame:
     """Pixel of face coordinates in the given numbering."""
-    if ordering == RING:
+    if is_ring(ordering):
         return with_xyf2ring(df, nside, ix, iy, face, out)
     require_power_of_two(nside)
     return with_xyf2nest(df, nside, ix, iy, face, out)

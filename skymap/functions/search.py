@@ -14,12 +14,14 @@ def with_count_below(
 
     Binary descent over fixed powers of two, one generated-code step each: about
     log2(longest) comparisons per row and no range join. ``longest`` is the known
-    upper bound of the array size.
+    upper bound of the array size; a longer array fails the job.
     """
     a, k = as_sql(arr), as_sql(key)
+    longest = max(1, longest)
     sign = "<=" if inclusive else "<"
-    steps, last = {}, "0"
-    for bit in reversed(range(max(1, longest).bit_length())):
+    steps = {"from": f"CASE WHEN size({a}) > {longest} THEN CAST(raise_error('array longer than {longest}') AS INT) ELSE 0 END"}
+    last = ":from"
+    for bit in reversed(range(longest.bit_length())):
         name = f"at{bit}"
         steps[name] = (
             f"CASE WHEN get({a}, {last} + {(1 << bit) - 1}) {sign} {k} THEN {last} + {1 << bit} ELSE {last} END"

@@ -20,7 +20,8 @@ from skymap.functions.staging import as_col
 from skymap.functions.values import NAN, clamp01, ieee_div, ieee_ln, is_seen, odd_asinh
 
 KINDS = ("linear", "log", "asinh", "symlog", "plancklog", "histogram")
-MAX_KNOTS = 1024
+# Knots of a histogram where the caller asks for no other number.
+KNOTS = 1024
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class Scale:
     kind: str = "linear"
     param: float = 1.0  # asinh scale, or the linear threshold of the log-like ones
     negative: str = "unseen"  # plain log only: "unseen" or "zero"
+    bins: int = KNOTS  # histogram only: the most knots a map may have
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -146,9 +148,11 @@ def scale_asinh_norm(value, lo, hi, scale: float) -> Column:
 # -------------------------------------------------------------------- histogram
 
 
-def with_knot_position(df: DataFrame, value: str = "value", xs: str = "xs", out: str = "at") -> DataFrame:
-    """Add the number of knots at or below a value (arrays of at most 1024)."""
-    return with_count_below(df, xs, value, MAX_KNOTS, out)
+def with_knot_position(
+    df: DataFrame, value: str = "value", xs: str = "xs", out: str = "at", bins: int = KNOTS
+) -> DataFrame:
+    """Add the number of knots at or below a value; more than ``bins`` knots fail the job."""
+    return with_count_below(df, xs, value, bins, out)
 
 
 def knot_share(value, xs, ps, at) -> Column:
@@ -231,7 +235,7 @@ def with_raster_stretch(df: DataFrame, scale: Scale, out: str = "t") -> DataFram
     elif scale.kind == "plancklog":
         t = scale_plancklog_norm(v, lo, hi, scale.param)
     else:
-        df = with_knot_position(df)
+        df = with_knot_position(df, bins=scale.bins)
         return df.withColumn(out, scale_histogram(v, "xs", "ps", "at", lo, hi)).drop("at")
     return df.withColumn(out, t)
 
@@ -252,21 +256,10 @@ def classify(tcol) -> Column:
 
 
 def gamma(tcol, g: float) -> Column:
-    """t^g with the usual exponents in short form."""
+    """t to the power of g; 0.333 to three digits stands for the cube root."""
     if g <= 0:
         raise ValueError("gamma must be > 0")
-    x = as_col(tcol)
-    if abs(g - 1.0) < 1e-10:
-        return x
-    if abs(g - 2.0) < 1e-10:
-        return x * x
-    if abs(g - 0.5) < 1e-10:
-        return F.sqrt(x)
-    if abs(g - 3.0) < 1e-10:
-        return x * x * x
-    if abs(g - 0.333) < 1e-6:
-        return F.pow(x, F.lit(1.0 / 3.0))
-    return F.pow(x, F.lit(g))
+    return F.pow(as_col(tcol), F.lit(1.0 / 3.0 if round(g, 3) == 0.333 else float(g)))
 
 
 def cmap_index(tcol) -> Column:

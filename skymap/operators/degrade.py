@@ -21,6 +21,7 @@ from skymap.functions.pixels import (
 )
 
 ANGULAR_BELOW = 256
+# Resolution above which ``auto_degrade`` acts, where the caller gives no other.
 AUTO_ABOVE = 1024
 GNOMONIC_WIDTH = 32768
 
@@ -141,18 +142,35 @@ def degrade_ang(df: DataFrame, source: int, target: int, ordering: str) -> DataF
     return joined.groupBy("map_id", F.col("target_pix").alias("pix")).agg(mean.alias("value"))
 
 
-def degrade(df: DataFrame, source: int, target: int, ordering: str) -> DataFrame:
-    """Angular sampling below nside 256, full means from there on."""
+def degrade_two_phase(df: DataFrame, source: int, target: int, ordering: str) -> DataFrame:
+    """Full mean to half resolution, then the checkerboard; for ratios of 8 and more."""
+    if _check_ratio(source, target) < 8:
+        raise ValueError("two phases need a ratio of at least 8")
+    middle = source // 2
+    return degrade_fast(degrade_best(df, source, middle, ordering), middle, target, ordering)
+
+
+def degrade_by_size(df: DataFrame, source: int, target: int, ordering: str) -> DataFrame:
+    """Angular sampling for targets below nside 256, full means from there on."""
     f = degrade_ang if target < ANGULAR_BELOW else degrade_best
     return f(df, source, target, ordering)
 
 
-def degrade_two_phase(df: DataFrame, source: int, target: int, ordering: str) -> DataFrame:
-    """Full mean to half resolution, then the checkerboard (for ratios >= 8)."""
-    if source // target < 8:
-        return degrade_best(df, source, target, ordering)
-    middle = max(source // 2, target)
-    return degrade_fast(degrade_best(df, source, middle, ordering), middle, target, ordering)
+POLICIES = {
+    "angular": degrade_ang,
+    "balanced": degrade_balanced,
+    "best": degrade_best,
+    "by_size": degrade_by_size,
+    "fast": degrade_fast,
+    "two_phase": degrade_two_phase,
+}
+
+
+def degrade(df: DataFrame, source: int, target: int, ordering: str, policy: str = "best") -> DataFrame:
+    """Lower the resolution by a named policy; the full mean when none is named."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}")
+    return POLICIES[policy](df, source, target, ordering)
 
 
 def target_nside(width: int, height: int) -> int:
@@ -181,10 +199,10 @@ def auto_degrade(
 ) -> tuple[DataFrame, int]:
     """Lower the resolution to what a raster needs; returns pixels and nside.
 
-    Planned on the driver from metadata alone. An unknown quality means 'best'.
+    Planned on the driver from metadata alone. ``quality`` names a policy; an unknown
+    one means 'best'.
     """
     target = auto_target(nside, width, enabled, threshold)
     if target >= nside:
         return df.select("map_id", "pix", "value"), nside
-    f = {"balanced": degrade_balanced, "fast": degrade_fast}.get(quality, degrade)
-    return f(df, nside, target, ordering), target
+    return degrade(df, nside, target, ordering, quality if quality in POLICIES else "best"), target

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skymap.functions.frames import sph_to_vec
 from skymap.functions.pixels import with_pix2ang
 from skymap.functions.staging import compute
+from skymap.operators.masks import one_mask
 from skymap.plans.sizing import small_side
 
 AXES = ("one", "x", "y", "z")
@@ -32,7 +33,8 @@ def fit_sums(df: DataFrame, nside: int, ordering: str, mask: DataFrame | None =
     """
     seen = df.filter(F.col("value").isNotNull())
     if mask is not None:
-        seen = seen.join(mask.filter("valid").select("pix"), "pix", "left_semi")
+        own, keys = one_mask(mask, df)
+        seen = seen.join(own.filter("valid").select(*keys), keys, "left_semi")
     rows = _with_axes(seen.select("map_id", "pix", "value"), nside, ordering)
     sums = []
     for i, a in enumerate(AXES):
@@ -112,10 +114,11 @@ def subtract_mono_dipole(
     maps; without it the coefficients are stored and counted.
     """
     fit = solve_fit(fit_sums(df, nside, ordering, mask))
-    rows = df.select("map_id", "pix", "value")
+    rows = df
     if mask is not None:
-        good = mask.filter("valid").select("pix", F.lit(True).alias("__good"))
-        rows = rows.join(good, "pix", "left")
+        own, keys = one_mask(mask, df)
+        good = own.filter("valid").select(*keys, F.lit(True).alias("__good"))
+        rows = rows.join(good, keys, "left")
     else:
         rows = rows.withColumn("__good", F.lit(True))
     rows = _with_axes(rows, nside, ordering)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skymap.functions.pixels import idiv
 from skymap.functions.search import with_count_below
-from skymap.functions.stretch import MAX_KNOTS, scale_histogram, with_knot_position
+from skymap.functions.stretch import KNOTS, scale_histogram, with_knot_position
 from skymap.operators.order import exact_quantiles, ranked_values
 from skymap.plans.sizing import small_side
 
@@ -42,7 +42,7 @@ def hist_range(
 def hist_knots(
     df: DataFrame,
     rows_per_key: int,
-    bins: int = MAX_KNOTS,
+    bins: int = KNOTS,
     limits: DataFrame | None = None,
     n_maps: int | None = None,
     buckets: int | None = None,
@@ -54,7 +54,7 @@ def hist_knots(
     in the middle follows from its rank range by arithmetic alone.
     """
     if limits is not None:
-        df = df.join(small_side(limits, n_maps), "map_id").filter(
+        df = df.join(small_side(limits.select("map_id", "minv", "maxv"), n_maps), "map_id").filter(
             F.col("value").between(F.col("minv"), F.col("maxv"))
         )
     ranked = ranked_values(df, rows_per_key, buckets=buckets)
@@ -87,29 +87,32 @@ def knot_arrays(knots: DataFrame) -> DataFrame:
     return packed.select("map_id", F.col("kn.value").alias("xs"), F.col("kn.cdf").alias("ps"))
 
 
-def with_knots(df: DataFrame, arrays: DataFrame, n_maps: int | None = None) -> DataFrame:
+def with_knots(
+    df: DataFrame, arrays: DataFrame, n_maps: int | None = None, bins: int = KNOTS
+) -> DataFrame:
     """Attach the knot arrays of each row's map.
 
     Broadcast while maps x knots fits; otherwise a join on map_id, where adaptive
     execution splits a large map.
     """
-    limit = 4_000_000 // MAX_KNOTS
+    limit = 4_000_000 // bins
     return df.join(small_side(arrays, n_maps, limit), "map_id", "left")
 
 
 def stretch_by_histogram(
-    df: DataFrame, arrays: DataFrame, limits: DataFrame, n_maps: int | None = None
+    df: DataFrame, arrays: DataFrame, limits: DataFrame, n_maps: int | None = None, bins: int = KNOTS
 ) -> DataFrame:
     """Add ``t``: each value located between the knots of its map."""
-    joined = with_knots(df, arrays.join(limits, "map_id"), n_maps)
+    bounds = limits.select("map_id", "minv", "maxv")
+    joined = with_knots(df, arrays.join(bounds, "map_id"), n_maps, bins)
     t = scale_histogram("value", "xs", "ps", "at", "minv", "maxv")
-    return with_knot_position(joined).withColumn("t", t).drop("at", "xs", "ps", "minv", "maxv")
+    return with_knot_position(joined, bins=bins).withColumn("t", t).drop("at", "xs", "ps", "minv", "maxv")
 
 
 # ------------------------------------------------------------ lookups in knots
 
 
-def with_cdf_step(df: DataFrame, value: str = "value", out: str = "share") -> DataFrame:
+def with_cdf_step(df: DataFrame, value: str = "value", out: str = "share", bins: int = KNOTS) -> DataFrame:
     """Step share: exact hit, else the next knot; 0 below all, 1 above all.
 
     Reads the arrays ``xs`` and ``ps`` of the row.
@@ -122,10 +125,10 @@ def with_cdf_step(df: DataFrame, value: str = "value", out: str = "share") -> Da
         .when(at >= F.size(x), F.lit(1.0))
         .otherwise(F.get(p, at))
     )
-    return with_count_below(df, "xs", value, MAX_KNOTS, "__at").withColumn(out, share).drop("__at")
+    return with_count_below(df, "xs", value, bins, "__at").withColumn(out, share).drop("__at")
 
 
-def with_cdf_inverse(df: DataFrame, q: str = "q", out: str = "value") -> DataFrame:
+def with_cdf_inverse(df: DataFrame, q: str = "q", out: str = "value", bins: int = KNOTS) -> DataFrame:
     """Value at a share: exact hit, else the next knot; clamped at the ends."""
     x, p, at = F.col("xs"), F.col("ps"), F.col("__at")
     value = (
@@ -135,10 +138,10 @@ def with_cdf_inverse(df: DataFrame, q: str = "q", out: str = "value") -> DataFra
         .when(at >= F.size(x), F.get(x, F.size(x) - 1))
         .otherwise(F.get(x, at))
     )
-    return with_count_below(df, "ps", q, MAX_KNOTS, "__at").withColumn(out, value).drop("__at")
+    return with_count_below(df, "ps", q, bins, "__at").withColumn(out, value).drop("__at")
 
 
-def with_value_at_quantile(df: DataFrame, q: str = "q", out: str = "value") -> DataFrame:
+def with_value_at_quantile(df: DataFrame, q: str = "q", out: str = "value", bins: int = KNOTS) -> DataFrame:
     """Value at a share with linear interpolation; limits at the ends; 0 if empty."""
     x, p, at, s = F.col("xs"), F.col("ps"), F.col("__at"), F.col(q)
     p0, p1 = F.get(p, at - 1), F.get(p, at)
@@ -152,24 +155,24 @@ def with_value_at_quantile(df: DataFrame, q: str = "q", out: str = "value") -> D
         .when(at >= F.size(x), F.get(x, F.size(x) - 1))
         .otherwise(x0 + (s - p0) / (p1 - p0) * (x1 - x0))
     )
-    return with_count_below(df, "ps", q, MAX_KNOTS, "__at").withColumn(out, value).drop("__at")
+    return with_count_below(df, "ps", q, bins, "__at").withColumn(out, value).drop("__at")
 
 
-def quantile_table(hists: DataFrame, count: int) -> DataFrame:
+def quantile_table(hists: DataFrame, count: int, bins: int = KNOTS) -> DataFrame:
     """``count`` uniform quantiles of each map: (map_id, i, q, value)."""
     if count < 2:
         raise ValueError("at least two quantiles")
     grid = hists.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     grid = grid.withColumn("q", F.col("i") / F.lit(float(count - 1)))
-    return with_value_at_quantile(grid).select("map_id", "i", "q", "value")
+    return with_value_at_quantile(grid, bins=bins).select("map_id", "i", "q", "value")
 
 
-def distortion_profile(hists: DataFrame, count: int) -> DataFrame:
+def distortion_profile(hists: DataFrame, count: int, bins: int = KNOTS) -> DataFrame:
     """Slope of the inverse cumulative share at ``count`` points, log-compressed.
 
     Windows run over ``count`` rows per map.
     """
-    points = quantile_table(hists, count)
+    points = quantile_table(hists, count, bins)
     by = W.partitionBy("map_id").orderBy("i")
     before, after = F.lag("value").over(by), F.lead("value").over(by)
     dt = 1.0 / (count - 1)

@@ -9,7 +9,6 @@ from skymap.operators.order import bucket_count, exact_quantiles
 from skymap.plans.sizing import small_side
 
 LOW, HIGH = 0.05, 0.95
-SAMPLE_ROWS = 10_000_000
 
 
 def map_min_max(df: DataFrame) -> DataFrame:
@@ -32,28 +31,36 @@ def percentile_sampled(
     df: DataFrame,
     percents: dict[str, float],
     npix: int,
-    sample_rows: int = SAMPLE_ROWS,
+    every: int,
     buckets: int | None = None,
 ) -> DataFrame:
-    """Percentiles of every k-th pixel index; exact while the map is small.
+    """Percentiles of every ``every``-th pixel index, at any size of map.
 
     A map without a sampled seen value gets 0. Large samples are selected like the
     exact percentiles, not gathered per map.
     """
-    k = -(-npix // sample_rows) if npix > sample_rows else 1
-    sample = df.filter(F.col("pix") % k == 0) if k > 1 else df
-    found = percentile_exact(sample, percents, -(-npix // k), buckets)
+    if every < 1:
+        raise ValueError("every must be at least 1")
+    sample = df.filter(F.col("pix") % every == 0)
+    found = percentile_exact(sample, percents, -(-npix // every), buckets)
     ids = df.select("map_id").distinct()
     names = [F.coalesce(name, F.lit(0.0)).alias(name) for name in percents]
     return ids.join(found, "map_id", "left").select("map_id", *names)
 
 
-def _checked(minv: Column, maxv: Column, seen: Column) -> list[Column]:
-    """Fail the job for a map without values or with swapped limits."""
-    none = F.raise_error(F.lit("map contains no valid pixel values")).cast("double")
-    swapped = F.raise_error(F.lit("invalid colour scale: minimum above maximum")).cast("double")
-    ok_min = F.when(seen.isNull(), none).when(minv > maxv, swapped).otherwise(minv)
-    return [ok_min.alias("minv"), maxv.alias("maxv")]
+def _checked(minv: Column, maxv: Column, seen: Column, strict: bool) -> list[Column]:
+    """Limits and status: 'ok', 'empty' (no values) or 'swapped'; limits only when ok.
+
+    With ``strict`` a map that is not ok fails the job.
+    """
+    status = F.when(seen.isNull(), F.lit("empty")).when(minv > maxv, F.lit("swapped")).otherwise(F.lit("ok"))
+    if strict:
+        text = F.when(status == "empty", F.lit("map contains no valid pixel values")).otherwise(
+            F.lit("invalid colour scale: minimum above maximum")
+        )
+        status = F.when(status == "ok", status).otherwise(F.raise_error(text).cast("string"))
+    good = status == "ok"
+    return [F.when(good, minv).alias("minv"), F.when(good, maxv).alias("maxv"), status.alias("status")]
 
 
 def auto_limits(
@@ -64,8 +71,12 @@ def auto_limits(
     maxv: float | None = None,
     strict_limits: bool = False,
     buckets: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """(map_id, minv, maxv): p5/p95, or min/max for the histogram stretch.
+    """(map_id, minv, maxv, status): p5/p95, or min/max for the histogram stretch.
+
+    Every map of the input has a row: one without values, or with swapped limits,
+    has none and says so in ``status`` (with ``strict`` it fails the job).
 
     User limits count only when both are given; with ``strict_limits`` a single
     one is honoured. Small maps take one aggregate. Large ones select the two
@@ -82,13 +93,14 @@ def auto_limits(
         )
         low, high = F.get("__p", F.lit(0)), F.get("__p", F.lit(1))
     else:
-        found = exact_quantiles(df, {"__lo": LOW, "__hi": HIGH}, rows_per_key, buckets=buckets)
+        chosen = exact_quantiles(df, {"__lo": LOW, "__hi": HIGH}, rows_per_key, buckets=buckets)
+        found = df.select("map_id").distinct().join(chosen, "map_id", "left")
         low, high = F.col("__lo"), F.col("__hi")
     if user or (strict_limits and minv is not None):
         low = F.lit(float(minv))
     if user or (strict_limits and maxv is not None):
         high = F.lit(float(maxv))
-    return found.select("map_id", *_checked(low, high, F.col("__lo")))
+    return found.select("map_id", *_checked(low, high, F.col("__lo"), strict))
 
 
 def fov_limits(
@@ -105,12 +117,12 @@ def fov_limits(
 
     ``index`` is a raster index (x, y, pix) of at most ``cells`` rows, so the map
     is cut by it before anything is aggregated. A map without a hit falls back to
-    its whole-map limits.
+    its whole-map limits, and one without any value keeps a row without limits.
     """
     seen = df.filter(F.col("value").isNotNull())
     hits = seen.join(small_side(index.select("pix"), cells), "pix").select("map_id", "value")
     inside = auto_limits(hits, cells, kind, minv, maxv, buckets=buckets)
-    missed = seen.join(small_side(hits.select("map_id").distinct()), "map_id", "left_anti")
+    missed = df.join(small_side(hits.select("map_id").distinct()), "map_id", "left_anti")
     return inside.unionByName(auto_limits(missed, rows_per_key, kind, minv, maxv, buckets=buckets))
 
 

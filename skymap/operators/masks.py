@@ -10,8 +10,6 @@ from skymap.functions.values import UNSEEN
 from skymap.operators.order import smallest_k
 from skymap.plans.sizing import small_side
 
-MAX_MASK_NSIDE = 1024
-
 
 def mask_range(df: DataFrame, below: float | None = None, above: float | None = None) -> DataFrame:
     """valid = within the given inclusive bounds, on raw values.
@@ -77,12 +75,11 @@ def mask_random(spark: SparkSession, nside: int, fraction: float = 0.1, seed: in
 def mask_from_pixels(pixels: DataFrame, maps: DataFrame, coord: str | None = None) -> DataFrame:
     """Mask tables from ingested pixels: valid = value > 0.5.
 
-    The size must be 12 nside^2 with nside in 1..1024; anything else fails the
-    job. The check is one small aggregate per mask.
+    The size must be 12 nside^2; anything else fails the job. The check is one small aggregate per mask.
     """
     sizes = pixels.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
     nside = F.floor(F.sqrt(F.col("n") / 12.0)).cast("long")
-    exact = (nside * nside * 12 == F.col("n")) & nside.between(1, MAX_MASK_NSIDE)
+    exact = (nside * nside * 12 == F.col("n")) & (nside >= 1)
     checked = sizes.select(
         "map_id",
         F.when(exact, nside)
@@ -103,11 +100,27 @@ def mask_from_pixels(pixels: DataFrame, maps: DataFrame, coord: str | None = Non
     )
 
 
-def mask_apply(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Add ``valid`` by a left join on pix; a pixel the mask lacks is valid."""
-    side = mask.select("pix", F.col("valid").alias("__v"))
+def one_mask(mask: DataFrame, pixels: DataFrame, mask_id: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The mask rows that concern ``pixels``, and the columns to join them on.
+
+    A table of several masks is either cut to ``mask_id`` or joined by the pixels'
+    own ``mask_id``; anything else would mix masks and is refused.
+    """
+    if "mask_id" not in mask.columns:
+        return mask, ["pix"]
+    if mask_id is not None:
+        return mask.filter(F.col("mask_id") == mask_id), ["pix"]
+    if "mask_id" in pixels.columns:
+        return mask, ["mask_id", "pix"]
+    raise ValueError("the mask table has mask_id: name one, or give the pixels a mask_id")
+
+
+def mask_apply(pixels: DataFrame, mask: DataFrame, mask_id: str | None = None) -> DataFrame:
+    """Add ``valid`` by a left join on the pixel; a pixel the mask lacks is valid."""
+    own, keys = one_mask(mask, pixels, mask_id)
+    side = own.select(*keys, F.col("valid").alias("__v"))
     return (
-        pixels.join(side, "pix", "left")
+        pixels.join(side, keys, "left")
         .withColumn("valid", F.coalesce(F.col("__v"), F.lit(True)))
         .drop("__v")
     )

@@ -18,14 +18,13 @@ from skymap.functions.search import with_count_below
 from skymap.plans.sizing import materialize, small_side
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
 # Cut points one broadcast may hold.
 BROADCAST_CUTS = 8_000_000
 
 
 def bucket_count(rows_per_key: int) -> int:
     """Buckets for the largest key; 1 means a key fits one task as it is."""
-    return max(1, min(MAX_BUCKETS, -(-rows_per_key // ROWS_PER_BUCKET)))
+    return max(1, -(-rows_per_key // ROWS_PER_BUCKET))
 
 
 def _cut(df: DataFrame, key: str, col: str, buckets: int) -> DataFrame:

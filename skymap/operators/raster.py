@@ -15,6 +15,7 @@ from skymap.functions.pixels import TWO_PI, with_ang2pix
 from skymap.functions.staging import as_col
 from skymap.functions.stretch import Scale, classify, cmap_index, gamma, with_raster_stretch
 from skymap.operators.histogram import with_knots
+from skymap.operators.masks import one_mask
 from skymap.plans.sizing import small_side, spread
 
 RGBA = tuple[int, int, int, int]
@@ -157,13 +158,25 @@ def raster_values(
 # ----------------------------------------------------------------------- colour
 
 
-def with_colour(df: DataFrame, lut: DataFrame, bad: RGBA = GRAY, out: str = "rgba") -> DataFrame:
-    """Add ``rgba`` from ``cls`` and ``idx``. ``lut`` is one table of 256 rows."""
-    table = F.broadcast(
-        lut.select(
-            F.col("idx").alias("__i"), F.struct("r", "g", "b", F.lit(255).alias("a")).alias("__c")
-        )
+def colour_table(lut: DataFrame, cmap: str | None = None) -> DataFrame:
+    """(__i, __c): one colour for each row 0..255, so at most 256 rows.
+
+    Of several tables ``cmap`` names one; a row given twice, as by two tables, fails the job.
+    """
+    if cmap is not None:
+        lut = lut.filter(F.col("cmap") == cmap)
+    twice = F.raise_error(F.lit("colour row given twice")).cast("int")
+    one = lut.filter(F.col("idx").between(0, 255)).groupBy("idx").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("r", "g", "b", F.lit(255).alias("a"))).alias("__c")
     )
+    return one.select(F.when(F.col("n") == 1, F.col("idx")).otherwise(twice).alias("__i"), "__c")
+
+
+def with_colour(
+    df: DataFrame, lut: DataFrame, bad: RGBA = GRAY, out: str = "rgba", cmap: str | None = None
+) -> DataFrame:
+    """Add ``rgba`` from ``cls`` and ``idx``."""
+    table = F.broadcast(colour_table(lut, cmap))
     row = (
         F.when(F.col("cls") == "Underflow", F.lit(0))
         .when(F.col("cls") == "Overflow", F.lit(255))
@@ -178,11 +191,13 @@ def with_colour(df: DataFrame, lut: DataFrame, bad: RGBA = GRAY, out: str = "rgb
     )
 
 
-def colorize(df: DataFrame, lut: DataFrame, g: float = 1.0, bad: RGBA = GRAY) -> DataFrame:
+def colorize(
+    df: DataFrame, lut: DataFrame, g: float = 1.0, bad: RGBA = GRAY, cmap: str | None = None
+) -> DataFrame:
     """Class, gamma, colour row and colour of a stretched value ``t``."""
     df = df.withColumn("cls", classify("t"))
     df = df.withColumn("idx", F.when(F.col("cls") != "Bad", cmap_index(gamma("t", g))))
-    return with_colour(df, lut, bad)
+    return with_colour(df, lut, bad, cmap=cmap)
 
 
 def reproject(
@@ -203,6 +218,8 @@ def reproject(
     knots: DataFrame | None = None,
     index: DataFrame | None = None,
     n_maps: int | None = None,
+    mask_id: str | None = None,
+    cmap: str | None = None,
 ) -> DataFrame:
     """Full raster of every map: value, class, stretch, colour row, colour.
 
@@ -215,21 +232,23 @@ def reproject(
     if index is None:
         index = raster_index(pixels.sparkSession, proj, nside, ordering, view)
     cells = raster_values(pixels, maps, index, proj)
-    cells = cells.join(small_side(limits, n_maps), "map_id", "left")
+    bounds = limits.select("map_id", "minv", "maxv")
+    cells = cells.join(small_side(bounds, n_maps), "map_id", "left")
     if scale.kind == "histogram":
         if knots is None:
             raise ValueError("the histogram stretch needs knots")
-        cells = with_knots(cells, knots, n_maps)
+        cells = with_knots(cells, knots, n_maps, scale.bins)
     cells = with_raster_stretch(cells, scale).drop("minv", "maxv", "xs", "ps")
     if lut is not None:
-        cells = colorize(cells, lut, g, bad)
+        cells = colorize(cells, lut, g, bad, cmap)
     else:
         cells = cells.withColumn("cls", classify("t"))
         cells = cells.withColumn("idx", F.when(F.col("cls") != "Bad", cmap_index(gamma("t", g))))
     if mask is None:
         return cells
-    side = mask.select("pix", F.col("valid").alias("__ok"))
-    cells = cells.join(side, "pix", "left").withColumn("__ok", F.coalesce("__ok", F.lit(True)))
+    own, keys = one_mask(mask, cells, mask_id)
+    side = own.select(*keys, F.col("valid").alias("__ok"))
+    cells = cells.join(side, keys, "left").withColumn("__ok", F.coalesce("__ok", F.lit(True)))
     if fill is None:
         return cells.filter("__ok").drop("__ok")
     if lut is not None:

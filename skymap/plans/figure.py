@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from skymap.functions.frames import IDENTITY, Matrix
 from skymap.functions.pixels import npix_of
 from skymap.functions.projections import GNOMONIC, HAMMER, MOLLWEIDE
-from skymap.functions.stretch import MAX_KNOTS, Scale
+from skymap.functions.stretch import Scale
 from skymap.operators.clean import clean_map
 from skymap.operators.degrade import GNOMONIC_WIDTH, auto_degrade
 from skymap.operators.histogram import hist_knots, knot_arrays
@@ -31,20 +31,30 @@ def figure(
     gamma: float = 1.0,
     factor: float = 1.0,
     quality: str = "best",
-    downgrade: bool = True,
+    downgrade: bool = False,
     bad: RGBA = GRAY,
     mask: DataFrame | None = None,
     fill: RGBA | None = None,
     gnomonic: Projection | None = None,
+    mask_nside: int | None = None,
+    mask_id: str | None = None,
+    cmap: str | None = None,
 ) -> DataFrame:
     """Clean, lower the resolution, find limits and draw maps of one resolution.
 
     ``raw`` is (map_id, pix, value) of any number of maps; ``maps`` lists them.
     What several steps read again is stored once: the lowered pixels, the raster
     index and the limits. Limits of a gnomonic cut-out come from its field of view.
+    With ``downgrade`` large maps are lowered to what the raster needs. A mask comes
+    with its own ``mask_nside``, which must be that of the maps as drawn. A map without
+    values is drawn as bad cells.
     """
     if projection not in (MOLLWEIDE, HAMMER, GNOMONIC):
         raise ValueError(f"unknown projection {projection!r}")
+    if projection == GNOMONIC and gnomonic is None:
+        raise ValueError("a gnomonic figure needs its projection in ``gnomonic``")
+    if mask is not None and mask_nside is None:
+        raise ValueError("a mask needs its mask_nside")
     if gamma <= 0:
         raise ValueError("gamma must be > 0")
     pixels = clean_map(raw, factor)
@@ -62,11 +72,11 @@ def figure(
     knots = None
     if scale.kind == "histogram":
         given = lim if minv is not None and maxv is not None else None
-        knots = materialize(knot_arrays(hist_knots(pixels, npix_of(n), MAX_KNOTS, given)))
+        knots = materialize(knot_arrays(hist_knots(pixels, npix_of(n), scale.bins, given)))
     n_maps = lim.count()
     drawn = maps.join(lim.select("map_id"), "map_id", "left_semi")
     return reproject(
         pixels, drawn, lim, proj, n, ordering, lut, view, scale, gamma, bad,
-        mask=mask, mask_nside=n if mask is not None else None, fill=fill, knots=knots, index=index,
-        n_maps=n_maps,
+        mask=mask, mask_nside=mask_nside, fill=fill, knots=knots, index=index,
+        n_maps=n_maps, mask_id=mask_id, cmap=cmap,
     )

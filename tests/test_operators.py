@@ -130,17 +130,61 @@ def test_limits_rules(spark, skewed):
     row = limits.auto_limits(df, 9000, minv=-9.0).first()
     assert row.minv == pytest.approx(np.quantile(s, 0.05))
     assert limits.auto_limits(df, 9000, minv=-9.0, strict_limits=True).first().minv == -9.0
+    empty = df.withColumn("value", F.lit(None).cast("double"))
+    for buckets in (1, 16):
+        row = limits.auto_limits(empty, 9000, buckets=buckets).first()
+        assert (row.map_id, row.minv, row.maxv, row.status) == ("big", None, None, "empty")
+    assert limits.auto_limits(df, 9000, minv=2.0, maxv=1.0).first().status == "swapped"
     with pytest.raises(Exception, match="no valid pixel"):
-        limits.auto_limits(df.withColumn("value", F.lit(None).cast("double")), 9000).collect()
+        limits.auto_limits(empty, 9000, strict=True).collect()
     with pytest.raises(Exception, match="minimum above maximum"):
-        limits.auto_limits(df, 9000, minv=2.0, maxv=1.0).collect()
+        limits.auto_limits(df, 9000, minv=2.0, maxv=1.0, strict=True).collect()
+
+
+def test_many_knots(spark):
+    squares = spark.range(20_000).select(F.lit("m").alias("map_id"), F.col("id").alias("pix"), (F.col("id") * F.col("id")).cast("double").alias("value"))
+    arrays = histogram.knot_arrays(histogram.hist_knots(squares, 20_000, 4096))
+    bounds = limits.map_min_max(squares)
+    t = histogram.stretch_by_histogram(squares, arrays, bounds, 1, bins=4096).toPandas().set_index("pix").t
+    assert t[12_000] == pytest.approx(0.6, abs=1e-3) and t[18_000] == pytest.approx(0.9, abs=1e-3)
+    with pytest.raises(Exception, match="array longer than 1024"):
+        histogram.stretch_by_histogram(squares, arrays, bounds, 1).collect()
+
+
+def test_one_mask_of_several(spark):
+    df = generated.index_map(spark, 2)
+    two = spark.createDataFrame([("a", p, p < 24) for p in range(48)] + [("b", p, p < 12) for p in range(48)], "mask_id string, pix long, valid boolean")
+    assert masks.mask_apply(df, two, "b").filter("valid").count() == 12
+    own = df.withColumn("mask_id", F.lit("a"))
+    assert masks.mask_apply(own, two).filter("valid").count() == 24 and masks.mask_apply(own, two).count() == 48
+    with pytest.raises(ValueError, match="mask_id"):
+        masks.mask_apply(df, two)
+
+
+def test_one_colour_table_of_several(spark):
+    lut = _lut(spark).withColumn("cmap", F.lit("a"))
+    both = lut.unionByName(lut.withColumn("cmap", F.lit("b")))
+    cells = spark.range(5).select((F.col("id") / 4).alias("t"))
+    assert raster.colorize(cells, both, cmap="b").count() == 5
+    with pytest.raises(Exception, match="given twice"):
+        raster.colorize(cells, both).collect()
+
+
+def test_refusals(spark):
+    df = generated.index_map(spark, 4)
+    with pytest.raises(ValueError, match="ordering"):
+        degrade.degrade_ang(df, 4, 2, "ring")
+    with pytest.raises(ValueError, match="ratio"):
+        degrade.degrade(df, 4, 2, "RING", "two_phase")
+    with pytest.raises(ValueError, match="policy"):
+        degrade.degrade(df, 4, 2, "RING", "other")
 
 
 def test_sampled_percentiles(spark, skewed):
     df, pdf = skewed
     df = df.unionByName(spark.createDataFrame([("none", 1, 2.0)], df.schema))
     for buckets in (1, 8):
-        got = limits.percentile_sampled(df, {"p": 50.0}, 9000, 2000, buckets).toPandas().set_index("map_id").p
+        got = limits.percentile_sampled(df, {"p": 50.0}, 9000, 5, buckets).toPandas().set_index("map_id").p
         assert got["none"] == 0.0
         big = pdf[(pdf.map_id == "big") & (pdf.pix % 5 == 0)].value
         assert got["big"] == pytest.approx(np.quantile(big, 0.5))
