@@ -188,6 +188,7 @@ def _keyed(fps: DataFrame, masks: Column) -> DataFrame:
 
 
 def _buckets(keyed: DataFrame, bucket: int, max_bits: int) -> DataFrame:
+    ship_code(keyed.sparkSession)
     n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(n, "mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(_search(bucket, max_bits), _FOUND)
@@ -202,12 +203,13 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     found = stored(_buckets(_keyed(fps, F.array(*[F.lit(m) for m in first])), bucket, MAX_BITS))
     over = found.filter(F.col("mask").isNotNull()).select(F.col("u").alias("fp"), F.col("mask").alias("first"))
     again = F.create_map(*[x for m in first for x in (F.lit(m), F.array(*[F.lit(k) for k in second_masks(m)]))])
-    split = _buckets(_keyed(over, F.element_at(again, F.col("first"))), max(bucket, 1 << 12), MAX_BITS)
+    # Twelve free bits bound these buckets, so no limit is needed.
+    split = _buckets(_keyed(over, F.element_at(again, F.col("first"))), 1 << 62, MAX_BITS)
     return found.filter(F.col("mask").isNull()).select("u", "v").unionByName(split.select("u", "v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node each linked node can reach."""
+    """(node, root): the smallest node each linked node can reach; a root has no row of its own."""
     edges = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
