@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from skymap.llm.common import ship_code, stored
 
 CHUNK_BYTES = 4 << 20
-# Shuffled buckets for each shuffle partition.
-BUCKETS = 4
+# Shuffled buckets for each shuffle partition; a chunk sends at most one row to each.
+BUCKETS = 1
 # Lines that short tell little of a document.
 SKETCH_LINE = 100
 
@@ -104,7 +104,8 @@ class Chunk:
 
 
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    """Bucket of each key, in the narrowest type: short numbers are sorted by counting."""
+    return ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.uint16 if n <= 1 << 16 else np.int64)
 
 
 def send(chunks: DataFrame, keys_of: Callable[[dict], tuple], n_buckets: int) -> DataFrame:
