@@ -24,7 +24,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,40 +50,46 @@ BREAK = "\n"
 
 
 class Words(dict):
-    """word -> row of ``table``: hash of the plain form, kind, capitalised, ends a sentence."""
+    """word -> row of the tables: hash of the plain form, kind, capitalised, ends a sentence."""
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.tables = tuple(np.zeros(1 << 16, t) for t in (np.uint64, np.int8, bool, bool))
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         plain = word.strip(_AROUND)
         low = plain.lower()
-        kind = NUMBER if _NUMBER.fullmatch(low) else UNIT if low in UNITS else LITERAL
-        self[word] = len(self.rows)
-        hashed = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
-        self.rows.append((hashed, kind, plain[:1].isupper(), word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")))
-        return self[word]
+        kind = UNIT if low in UNITS else LITERAL
+        if not low.isalpha() and _NUMBER.fullmatch(low):
+            kind = NUMBER
+        self[word] = at = len(self)
+        if at == len(self.tables[0]):
+            self.tables = tuple(np.concatenate((t, np.zeros_like(t))) for t in self.tables)
+        codes, kinds, upper, ends = self.tables
+        codes[at] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
+        kinds[at] = kind
+        upper[at] = plain[:1].isupper()
+        ends[at] = word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")
+        return at
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """The four columns for these words."""
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return tuple(t[at] for t in self.tables)
 
 
 def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, kinds, words): one entry per word; codes of placeholders are their kind."""
-    lines = (text or "").split(BREAK)
     words: list[str] = []
     first: list[int] = []
-    for line in lines:
+    for line in (text or "").split(BREAK):
         first.append(len(words))
         words += line.split()
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int8), words
-    at = [memo[w] for w in words]
-    rows = [memo.rows[i] for i in at]
-    codes = np.array([r[0] for r in rows], dtype=np.uint64)
-    kinds = np.array([r[1] for r in rows], dtype=np.int8)
-    upper = np.array([r[2] for r in rows])
-    ends = np.array([r[3] for r in rows])
+    codes, kinds, upper, ends = memo.rows(words)
     starts = np.zeros(len(words) + 1, dtype=bool)
     starts[first] = True
     starts[1:] |= ends
@@ -94,18 +99,31 @@ def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, lis
     return codes, kinds, words
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for two side by side."""
+    h = (a ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = ((h ^ (h >> np.uint64(31))) + b) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def window_hashes(codes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window of ``size`` words, whether it has enough literal words)."""
+    """(hash of each window of ``size`` words, whether it has enough literal words).
+
+    Runs of one, two, four and eight words are hashed once and put together.
+    """
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, bool)
-    h = np.full(n, size, dtype=np.uint64)
-    literals = np.zeros(n, dtype=np.int64)
-    for k in range(size):
-        h = (h ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        literals += kinds[k : k + n] == LITERAL
-    return h.view(np.int64), literals >= MIN_LITERALS
+    whole, at, width, runs = np.full(n, size, dtype=np.uint64), 0, 1, codes
+    while width <= size:
+        if size & width:
+            whole = _pair(whole, runs[at : at + n])
+            at += width
+        if 2 * width <= size:
+            runs = _pair(runs[:-width], runs[width:])
+        width *= 2
+    literals = np.concatenate(([0], np.cumsum(kinds == LITERAL)))
+    return whole.view(np.int64), literals[size:] - literals[:-size] >= MIN_LITERALS
 
 
 def _slots(kinds: np.ndarray, words: list[str], at: int, size: int) -> list[str]:
@@ -113,7 +131,7 @@ def _slots(kinds: np.ndarray, words: list[str], at: int, size: int) -> list[str]
 
 
 def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | None, whole_short: bool) -> DataFrame:
-    """Windows of the last column, the text: the other columns and (hash, pos, slots, n_windows).
+    """Windows of the last column, the text: the other columns and (hash, pos, slots, n_windows, size).
 
     With ``whole_short`` a text is cut into windows of its own size only (the benchmark's side),
     else into windows of all ``sizes``.
@@ -126,7 +144,7 @@ def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
-            rows, hashes, places, slots, totals = [], [], [], [], []
+            rows, hashes, places, slots, totals, widths = [], [], [], [], [], []
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 codes, kinds, words = template(text.as_py(), memo)
                 own = [min(WINDOW, len(codes))] if whole_short else sizes
@@ -143,13 +161,14 @@ def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | Non
                         places.append(int(p))
                         slots.append(_slots(kinds, words, p, size))
                         totals.append(int(good.sum()))
+                        widths.append(size)
             if len(memo) > _MEMO_WORDS:
                 memo = Words()
             taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
-            made = [pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(totals, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*taken, *made], [*names, "hash", "pos", "slots", "n_windows"])
+            made = [pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(totals, pa.int64()), pa.array(widths, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*taken, *made], [*names, "hash", "pos", "slots", "n_windows", "size"])
 
-    made = [("hash", T.LongType()), ("pos", T.LongType()), ("slots", T.ArrayType(T.StringType())), ("n_windows", T.LongType())]
+    made = [("hash", T.LongType()), ("pos", T.LongType()), ("slots", T.ArrayType(T.StringType())), ("n_windows", T.LongType()), ("size", T.LongType())]
     return texts.mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in made]]))
 
 
@@ -166,9 +185,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: dict, item_id: str = "ite
     if wanted is not None and not len(wanted):
         wanted = np.array([np.iinfo(np.int64).min], dtype=np.int64)
     texts = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"))
-    found = _windows(texts, list(range(MIN_LITERALS, WINDOW + 1)), wanted, whole_short=False)
+    # At most five sizes, those that items have.
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    found = _windows(texts, sizes, wanted, whole_short=False)
     found = found.select(*keys, "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
-    met = found.join(F.broadcast(items) if few else items, "hash").withColumn("shift", F.col("d_pos") - F.col("pos"))
+    side = F.broadcast(items) if few else items
+    # Read twice below: stored, so that texts are gone through once.
+    met = stored(found.join(side, "hash").withColumn("shift", F.col("d_pos") - F.col("pos")))
     ids = [*keys, "item_id"]
     # One pair of values per slot; an item value with two document values breaks its alignment.
     pairs = met.select(*ids, "shift", F.explode(F.arrays_zip("slots", "d_slots")).alias("p"))
