@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skymap.llm import minhash
 from skymap.llm.common import ship_code, stored
 
 SHINGLE = 3
@@ -249,13 +250,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group: that of the smallest doc_id (null last), then of the
-    smallest hash of the text; of rows equal in both, any one."""
+    """One row of ``docs`` for each group of near copies (see ``minhash``): that of the smallest
+    doc_id (null last), then of the smallest hash of the text; of rows equal in both, any one."""
     text_hash = F.xxhash64(F.col(f"`{text_col}`"))
     slim = docs.select(F.col(id_col).alias("id"), text_hash.alias("h"), F.col(text_col).alias("text"))
-    prints = stored(with_fingerprints(slim))
+    prints = minhash.with_sets(slim)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
-    rooted = _rooted(prints, first)
+    # Texts of equal sets are one row from here on; any of their bands are the same.
+    sets = stored(prints.groupBy("fp").agg(first, F.any_value("bands").alias("bands")))
+    near = stored(components(minhash.candidates(sets)))
+    grouped = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    reps = sets.join(grouped, sets["fp"] == grouped["node"]).select("fp", "root", F.col("first.id").alias("r_id"), F.col("first.h").alias("r_h"))
+    met = reps.join(slim, slim["id"].eqNullSafe(reps["r_id"]) & (slim["h"] == reps["r_h"]))
+    # Rows equal in id and text come once.
+    texts = stored(met.groupBy("fp").agg(F.any_value("root").alias("root"), F.any_value("text").alias("text")).select("root", "fp", "text"))
+    roots = components(minhash.exact_links(texts))
+    rooted = sets.select("fp", "first").join(roots, sets["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
     winners = rooted.groupBy("root").agg(F.min("first").alias("w")).select(F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("row"), F.col(id_col).alias("id"), text_hash.alias("h"))

@@ -85,3 +85,34 @@ def near_duplicates(rows):
         if i is not None:
             least[roots[f]] = min(least.get(roots[f], i), i)
     return [(i, f"{f:016x}", least.get(roots[f])) for i, f in prints]
+
+
+def shingle_sets(rows, size=5):
+    out = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(size, len(w))
+        out.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set())
+    return out
+
+
+def near_copies(rows, least=0.8):
+    """Groups of places of ``rows`` over all pairs of similarity ``least`` or more."""
+    sets = shingle_sets(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or len(a & b) >= least * len(a | b):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())

@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from checks.compare import connect, difference  # noqa: E402
-from skymap.llm import decontaminate, divergence, licenses, line_dedup, mixing, packed, phrase_automata, simhash, suffix_dedup, token_counts, token_output  # noqa: E402
+from skymap.llm import decontaminate, divergence, licenses, line_dedup, minhash, mixing, packed, phrase_automata, simhash, suffix_dedup, token_counts, token_output  # noqa: E402
 from skymap.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -143,6 +143,25 @@ def test_keep_one(spark):
     same(simhash.keep_one(table(spark, rows)), ["doc_id", "text"], [(1, "a b c d"), (2, "e f g h i"), (None, None)])
 
 
+@pytest.mark.parametrize("group", [None, 7])
+def test_keep_one_of_near_copies(spark, monkeypatch, group):
+    """Copies with changed words: about 0.97 to 0.6 of the shingles are the same."""
+    monkeypatch.setattr(minhash, "GROUP", group or minhash.GROUP)
+    rnd = random.Random(11)
+    rows = []
+    for k in range(12):
+        base = words(rnd, rnd.randint(60, 400)).split()
+        rows.append((len(rows), " ".join(base)))
+        for changed in (1, 2, 3, 4, 6, 8, 12, 20):
+            w = list(base)
+            for _ in range(changed):
+                w[rnd.randrange(len(w))] = "w%d" % rnd.randrange(10**6)
+            rows.append((len(rows), " ".join(w)))
+    want = [(min(rows[i][0] for i in g),) for g in brute.near_copies(rows)]
+    assert 12 < len(want) < len(rows) - 40
+    same(simhash.keep_one(table(spark, rows)), ["doc_id"], want)
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
