@@ -214,6 +214,70 @@ def test_licenses(spark):
     assert got == {1: "BSD-2-Clause,all-rights-reserved", 2: "all-rights-reserved", 3: "", 4: "MIT", 5: ""}
 
 
+MIT_WRAPPED = """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_WRAPPED = """/* Copyright (c) 2020 A. Body
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice, this
+ *    list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright notice,
+ *    this list of conditions and the following disclaimer in the documentation
+ *    and/or other materials provided with the distribution.
+ */"""
+APACHE_WRAPPED = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+GPL_WRAPPED = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_wrapped_licenses(spark):
+    texts = {
+        MIT_WRAPPED: "MIT",
+        BSD_WRAPPED: "BSD-2-Clause",
+        APACHE_WRAPPED: "Apache-2.0",
+        GPL_WRAPPED: "GPL-3.0-or-later",
+        GPL_WRAPPED.replace("\n", "\r\n"): "GPL-3.0-or-later",
+        GPL_WRAPPED.replace("GNU General", "GNU Affero General"): "AGPL-3.0-or-later",
+        "x\nLicensed under the MIT License.\ny": "MIT",
+        "This work is licensed under\nCC BY 4.0": "CC-BY-4.0",
+        "// SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1-or-later",
+        " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy": "MPL-2.0",
+        "All rights\n\nreserved": "",
+        "Not all rights\nreserved": "",
+    }
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(table(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_quality_cases(spark):
     rows = [(1, None), (2, ""), (3, "the cat sat on the mat and looked at the dog for a long while in the sun of that day"), (4, "a b c d e f g h " * 9), (None, "x")]
     got = {r.doc_id: r for r in divergence.quality_counts(table(spark, rows)).collect()}
