@@ -5,16 +5,19 @@ Words are brought to a template: numbers, names (capitalised words inside a sent
 around it. Windows of eight template words are hashed; documents and benchmark items are joined
 on the hash. A question with other numbers or names has the same template, so the values in the
 slots are compared next: within one alignment of item and document every value of the item must
-stand for one value of the document, else the alignment does not count. A document is
-contaminated by an item when at least half of the item's windows are found in it.
+stand for one value of the document, else the alignment does not count. Every window is also
+hashed by its plain words, values kept; so exact copies are found whatever their words are, and
+windows with fewer than four literal words, whose templates match too much, are found this way
+only. A document is contaminated by an item when at least half of all the item's windows are found
+in it.
 
 Documents emit only windows whose hash the benchmark has, as long as the benchmark's hashes fit
 ``FILTER_HASHES`` (32 MB, counted); beyond that all windows go to the join, with equal results.
 A passage in very many documents gives one row for each occurrence, summed before the shuffle.
 
 Cases: a null or empty text has no windows. An item with fewer than eight words is one window of
-its own length; windows with fewer than four literal words match too much and are left out, so an
-item with no other windows matches nothing. Repeated rows are equal in every result. Null ids are
+its own length; of fewer than three words, it is found only in a document that holds nothing else.
+An item without words matches nothing. Repeated rows are equal in every result. Null ids are
 values like any other. Empty tables give empty tables. Other columns are ignored.
 """
 
@@ -33,6 +36,7 @@ from skymap.llm.common import ship_code, stored
 
 WINDOW = 8
 MIN_LITERALS = 4
+MIN_WORDS = 3
 MIN_SHARE = 0.5
 FILTER_HASHES = 4_000_000
 
@@ -46,6 +50,8 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[-+$€£#]*\d[\d.,:/-]*[a-z%°]{0,3}")
 _AROUND = "\"'`.,;:!?()[]{}<>*#|_“”‘’«»…"
 _MEMO_WORDS = 500_000
+# Keeps plain windows apart from templates without placeholders.
+PLAIN = 0x5851F42D4C957F2D
 BREAK = "\n"
 
 
@@ -80,23 +86,24 @@ class Words(dict):
         return tuple(t[at] for t in self.tables)
 
 
-def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes, kinds, words): one entry per word; codes of placeholders are their kind."""
+def template(text: str | None, memo: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(codes, plain, kinds, words): one entry per word; codes of placeholders are their kind."""
     words: list[str] = []
     first: list[int] = []
     for line in (text or "").split(BREAK):
         first.append(len(words))
         words += line.split()
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), words
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), words
     codes, kinds, upper, ends = memo.rows(words)
     starts = np.zeros(len(words) + 1, dtype=bool)
     starts[first] = True
     starts[1:] |= ends
     kinds[(kinds == UNIT) & (np.concatenate(([0], kinds[:-1])) != NUMBER)] = LITERAL
     kinds[(kinds == LITERAL) & upper & ~starts[:-1]] = NAME
+    plain = codes ^ np.uint64(PLAIN)
     codes[kinds != LITERAL] = kinds[kinds != LITERAL]
-    return codes, kinds, words
+    return codes, plain, kinds, words
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -146,22 +153,24 @@ def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | Non
         for batch in batches:
             rows, hashes, places, slots, totals, widths = [], [], [], [], [], []
             for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                codes, kinds, words = template(text.as_py(), memo)
+                codes, plain, kinds, words = template(text.as_py(), memo)
                 own = [min(WINDOW, len(codes))] if whole_short else sizes
                 for size in own:
-                    if size < MIN_LITERALS:
+                    if not size or (size < MIN_WORDS and size != len(codes)):
                         continue
                     h, good = window_hashes(codes, kinds, size)
-                    if wanted is not None:
-                        at = np.searchsorted(wanted.value, h)
-                        good &= wanted.value[np.minimum(at, len(wanted.value) - 1)] == h
-                    for p in np.flatnonzero(good):
-                        rows.append(i)
-                        hashes.append(int(h[p]))
-                        places.append(int(p))
-                        slots.append(_slots(kinds, words, p, size))
-                        totals.append(int(good.sum()))
-                        widths.append(size)
+                    exact, _ = window_hashes(plain, kinds, size)
+                    for found, use, with_slots in ((h, good, True), (exact, np.ones(len(h), dtype=bool), False)):
+                        if wanted is not None:
+                            at = np.searchsorted(wanted.value, found)
+                            use = use & (wanted.value[np.minimum(at, len(wanted.value) - 1)] == found)
+                        for p in np.flatnonzero(use):
+                            rows.append(i)
+                            hashes.append(int(found[p]))
+                            places.append(int(p))
+                            slots.append(_slots(kinds, words, p, size) if with_slots else [])
+                            totals.append(len(h))
+                            widths.append(size)
             if len(memo) > _MEMO_WORDS:
                 memo = Words()
             taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
@@ -185,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: dict, item_id: str = "ite
     if wanted is not None and not len(wanted):
         wanted = np.array([np.iinfo(np.int64).min], dtype=np.int64)
     texts = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(text_col).alias("text"))
-    # At most five sizes, those that items have.
+    # At most eight sizes, those that items have.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     found = _windows(texts, sizes, wanted, whole_short=False)
     found = found.select(*keys, "hash", F.col("pos").alias("d_pos"), F.col("slots").alias("d_slots"))
