@@ -4,8 +4,10 @@ Words are brought to a template: numbers, names (capitalised words inside a sent
 (after a number) become typed placeholders, everything else is lower-cased without the marks
 around it. Windows of eight template words are hashed; documents and benchmark items are joined
 on the hash. A question with other numbers or names has the same template, so the values in the
-slots are compared next: within one alignment of item and document every value of the item must
-stand for one value of the document, else the alignment does not count. Every window is also
+slots are compared next: within one alignment of item and document a value of the item stands for
+the value of the document that it has in over half of its slots, and windows with another one do
+not count. A name without such a value agrees with nothing; equal numbers may be independent and
+then agree with all. Windows whose values are the item's own always count. Every window is also
 hashed by its plain words, values kept; so exact copies are found whatever their words are, and
 windows with fewer than four literal words, whose templates match too much, are found this way
 only. A document is contaminated by an item when at least half of all the item's windows are found
@@ -25,10 +27,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,7 +138,8 @@ def window_hashes(codes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.n
 
 
 def _slots(kinds: np.ndarray, words: list[str], at: int, size: int) -> list[str]:
-    return [words[i].strip(_AROUND).lower() for i in range(at, at + size) if kinds[i] != LITERAL]
+    """Offset, kind and value of each slot."""
+    return [f"{i - at} {kinds[i]} {words[i].strip(_AROUND).lower()}" for i in range(at, at + size) if kinds[i] != LITERAL]
 
 
 def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | None, whole_short: bool) -> DataFrame:
@@ -181,6 +186,29 @@ def _windows(texts: DataFrame, sizes: list[int], filter_hashes: np.ndarray | Non
     return texts.mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in made]]))
 
 
+def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+    return reduce(and_, [a[c].eqNullSafe(b[c]) for c in cols])
+
+
+def _conflicts(met: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids..., shift, pos): windows with a slot that differs from what its value stands for."""
+    own = [*ids, "shift"]
+    pairs = met.select(*own, "pos", (F.col("slots") == F.col("d_slots")).alias("equal"), F.explode(F.arrays_zip("slots", "d_slots")).alias("p"))
+    offset, kind = (F.substring_index(F.col("p.slots"), " ", k) for k in (1, 2))
+    # The value with its kind; a slot comes in up to eight windows and counts once.
+    pairs = pairs.select(
+        *own, "pos", "equal", (F.col("pos") + offset.cast("long")).alias("at"), F.substring_index(kind, " ", -1).cast("int").alias("kind"),
+        F.expr("substring(p.slots, locate(' ', p.slots) + 1)").alias("v"), F.expr("substring(p.d_slots, locate(' ', p.d_slots) + 1)").alias("d"),
+    )
+    counted = pairs.select(*own, "at", "kind", "v", "d").distinct().groupBy(*own, "kind", "v", "d").agg(F.count("*").alias("n"))
+    split = counted.groupBy(*own, "kind", "v").agg(F.count("*").alias("values"), F.max_by("d", "n").alias("best"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    major = F.col("most") * 2 > F.col("total")
+    split = split.filter((F.col("values") > 1) & (major | (F.col("kind") != NUMBER))).select(*own, "v", F.when(major, F.col("best")).alias("best"))
+    other = pairs.filter(~F.col("equal"))
+    met_split = other.join(split, _same(other, split, [*own, "v"]))
+    return met_split.filter(~other["d"].eqNullSafe(split["best"])).select(*[other[c] for c in own], other["pos"]).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, keys: dict, item_id: str = "item_id", text_col: str = "text", share: float = MIN_SHARE) -> DataFrame:
     """(keys..., item_id, n_matched, n_windows): documents with at least ``share`` of an item's windows.
 
@@ -202,15 +230,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keys: dict, item_id: str = "ite
     # Read twice below: stored, so that texts are gone through once.
     met = stored(found.join(side, "hash").withColumn("shift", F.col("d_pos") - F.col("pos")))
     ids = [*keys, "item_id"]
-    # One pair of values per slot; an item value with two document values breaks its alignment.
-    pairs = met.select(*ids, "shift", F.explode(F.arrays_zip("slots", "d_slots")).alias("p"))
-    broken = pairs.groupBy(*ids, "shift", F.col("p.slots").alias("v")).agg(F.min("p.d_slots").alias("a"), F.max("p.d_slots").alias("b"))
-    broken = broken.filter("a <> b").select(*ids, "shift").distinct()
-    same = [met[c].eqNullSafe(broken[c]) for c in (*ids, "shift")]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    sound = met.join(broken, condition, "left_anti")
+    bad = _conflicts(met, ids)
+    sound = met.join(bad, _same(met, bad, [*ids, "shift", "pos"]), "left_anti")
     windows = sound.groupBy(*ids, "pos").agg(F.first("n_windows").alias("n_windows"))
     counted = windows.groupBy(*ids).agg(F.count("*").alias("n_matched"), F.first("n_windows").alias("n_windows"))
     return counted.filter(F.col("n_matched") >= share * F.col("n_windows"))

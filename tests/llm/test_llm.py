@@ -210,6 +210,20 @@ def test_decontamination_of_windows_poor_in_literals(spark):
     assert got == {(10, 0), (10, 1), (11, 0), (11, 1), (12, 2), (13, 3), (20, 4), (22, 5)}
 
 
+def test_decontamination_with_one_inconsistent_slot(spark):
+    rnd = random.Random(17)
+    start, end = words(rnd, 20), words(rnd, 20)
+    name = f"{start} then Boston was seen by all of them and again old Boston {end}"
+    number = "how many days do 3 boxes of weight 3 kg last when each of the men eats one"
+    bench = spark.createDataFrame([(1, name), (2, number)], "item_id long, text string")
+    altered = "old Paris".join(name.rsplit("old Boston", 1))
+    rows = [(10, words(rnd, 9) + "\n" + altered), (11, words(rnd, 9) + "\n" + number.replace("3 boxes", "4 boxes").replace("3 kg", "5 kg"))]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert set(got) == {(10, 1), (11, 2)}
+    # Eight windows hold the altered name, and no others are lost.
+    assert got[10, 1].n_windows - got[10, 1].n_matched == 8
+
+
 def test_decontamination_without_filter(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
     a = as_set(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "n_matched")
