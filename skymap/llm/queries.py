@@ -13,6 +13,7 @@ from skymap.llm.decontaminate import contaminated
 from skymap.llm.divergence import quality_counts
 from skymap.llm.licenses import scan_licenses
 from skymap.llm.line_dedup import drop_common_lines
+from skymap.llm.merkle import verify_documents
 from skymap.llm.mixing import mix
 from skymap.llm.phrase_automata import remove_phrases
 from skymap.llm.simhash import near_duplicates
@@ -84,3 +85,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_common_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_merkle", sql.merkle())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_documents(documents(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from skymap.llm import divergence as dv
 from skymap.llm import licenses as lc
 from skymap.llm import line_dedup as ld
+from skymap.llm import merkle as mk
 
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -109,3 +110,74 @@ v AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND NOT odd_classes AND NOT odd_words) AS kept FROM v"""
+
+
+def merkle(levels: int = 5) -> str:
+    """Trees of up to 16^levels leaves a source, and of up to 16^levels sources."""
+    fold = mk.FAN_OUT
+    upper = "".join(map(chr, range(65, 91)))
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR)::VARCHAR || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+    def tree(prefix: str) -> str:
+        """Tables prefix0 (t, i, h, f) to prefix{levels}: f is the folded hash of leaf ``id`` at that level."""
+        parts = []
+        for k in range(levels):
+            parts.append(
+                f"{prefix}{k + 1} AS MATERIALIZED (SELECT t, i // {fold} AS i, "
+                f"CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, "
+                f"list(h ORDER BY i) AS hs, (any_value(n) + {fold - 1}) // {fold} AS n, any_value(n) AS below "
+                f"FROM {prefix}{k} GROUP BY t, i // {fold})"
+            )
+        return ",\n".join(parts)
+
+    def climb(prefix: str, start: str, tree_id: str, place: str) -> str:
+        """Tables {prefix}c1 ... of the leaves' folded hashes and proofs, level by level."""
+        parts, before = [], start
+        for k in range(levels):
+            at = f"({place} // {fold ** k}) % {fold} + 1"
+            parts.append(
+                f"{prefix}c{k + 1} AS (SELECT b.* REPLACE (CASE WHEN p.below = 1 THEN b.f ELSE "
+                f"sha256(array_to_string(p.hs[:{at} - 1] || [b.f] || p.hs[{at} + 1:], '')) END AS f, "
+                f"b.proof || CASE WHEN p.below = 1 THEN '' ELSE array_to_string(p.hs[:{at} - 1] || p.hs[{at} + 1:], '') END AS proof) "
+                f"FROM {before} b JOIN {prefix}{k + 1} p ON p.t = {tree_id} AND p.i = {place} // {fold ** (k + 1)})"
+            )
+            before = f"{prefix}c{k + 1}"
+        return ",\n".join(parts)
+
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT range, range::BIGINT, 0 FROM range(256) UNION ALL SELECT b, {bit}, k + 1 FROM bits WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+steps(id, c, k) AS (
+  SELECT DISTINCT doc_id, 4294967295::BIGINT, 1 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT id, xor(c >> 8, t[xor(c & 255, ascii(substr(id::VARCHAR, k, 1))::BIGINT) + 1]), k + 1
+  FROM steps, crc WHERE k <= length(id::VARCHAR)
+),
+hit AS (SELECT id FROM steps WHERE k = length(id::VARCHAR) + 1 AND xor(c, 4294967295) % 5 = 0),
+leaves AS (
+  SELECT doc_id, source, {leaf('text')} AS h,
+         CASE WHEN doc_id IN (SELECT id FROM hit) THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {leaf('text')} END AS f
+  FROM documents
+),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM leaves
+),
+s0 AS (SELECT t, i, h, n FROM placed),
+{tree('s')},
+r0 AS (SELECT 0 AS t, t AS i, h, (SELECT count(*) FROM s{levels}) AS n FROM s{levels}),
+{tree('r')},
+s_start AS (SELECT *, '' AS proof FROM placed),
+{climb('s', 's_start', 'b.t', 'b.i')},
+{climb('r', f'sc{levels}', '0', 'b.t')}
+SELECT b.doc_id, b.h AS leaf, s.h AS subroot, r.h AS root, sha256(b.proof) AS proof_sha256,
+       b.f AS folded_root, b.f = r.h AS verified, b.source
+FROM rc{levels} b JOIN s{levels} s ON s.t = b.t CROSS JOIN r{levels} r"""
