@@ -15,7 +15,9 @@ from skymap.llm.licenses import scan_licenses
 from skymap.llm.line_dedup import drop_common_lines
 from skymap.llm.merkle import verify_documents
 from skymap.llm.mixing import mix
+from skymap.llm.periodic_runs import describe_runs, planted
 from skymap.llm.phrase_automata import remove_phrases
+from skymap.llm.sentence_pieces import round_trip
 from skymap.llm.simhash import near_duplicates
 from skymap.llm.suffix_dedup import remove_repeats
 from skymap.llm.token_counts import count_tokens
@@ -87,6 +89,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_runs(planted(documents(spark, sf_dir)))
+
+
+@query("op12_sentence_pieces")
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir))
+
+
 @query("op13_merkle", sql.merkle())
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_documents(documents(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -173,3 +174,59 @@ def merkle(rows, fan_out=16):
                 proof += "".join(before + after)
             out.append((row[0], leaf(row), subroot, root, digest(proof), folded, folded == root, row[1]))
     return out
+
+
+def planted_words(doc_id, text):
+    words = (text or "").encode().split()
+    n = len(words)
+    if doc_id is None or not n:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if h % 10:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def _least_period(w):
+    fail = [0] * (len(w) + 1)
+    k = 0
+    for i in range(1, len(w)):
+        while k and w[i] != w[k]:
+            k = fail[k]
+        k += w[i] == w[k]
+        fail[i + 1] = k
+    return len(w) - fail[len(w)]
+
+
+def runs_of(words, min_length=24):
+    """[(start, length, period)] by start, then period: every period at every place."""
+    n, out = len(words), []
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(min_length, 3 * q) and _least_period(words[i : i + length]) == q:
+                out.append((i, length, q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic(rows):
+    """[(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256)]"""
+    out = []
+    for i, text in rows:
+        words = planted_words(i, text)
+        runs = runs_of(words)
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else None
+        gone = {k for a, length, q in runs for k in range(a + q, a + length)}
+        facts = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        lines = "".join(f"{a},{length},{q}\n" for a, length, q in runs)
+        kept = b" ".join(w for k, w in enumerate(words) if k not in gone)
+        out.append((i, len(runs), *facts, sha(lines.encode()), sha(kept)))
+    return out
