@@ -159,7 +159,7 @@ class Model:
         firsts = sorted({k[0] for k in self.keys})
         found = ["[" + "".join(map(re.escape, firsts)) + "]"] if firsts else []
         if self.remove_extra:
-            found += ["^ ", "  ", " $"]
+            found += ["^ ", "  ", f"[ {MARK}]\\Z"]
         # A text without a match is copied as it is.
         self.special = re.compile("|".join(found)) if found else None
         crossing = re.compile(f"[^{MARK}]{MARK}")
@@ -179,25 +179,19 @@ class Model:
         if not len(data):
             return "", np.zeros(1, np.int64)
         wide = len(self.space.encode())
-        if self.special is None or not self.special.search(text):
-            out, sizes = text, None
-            if self.space != " ":
-                out = text.replace(" ", self.space)
-                sizes = np.where(data == 0x20, wide, 1)
-            origin = np.arange(len(data)) if sizes is None else np.repeat(np.arange(len(data)), sizes)
-            end = len(data)
-            if not len(out):
-                return "", np.zeros(1, np.int64)
-            first = 0
-        else:
-            out, origin, first, end = self._rewritten(text, wide)
-            if not out and not len(origin):
-                return "", np.full(1, end)
+        if self.special is not None and self.special.search(text):
+            return self._rewritten(text, wide)
+        out, sizes = text, None
+        if self.space != " ":
+            out = text.replace(" ", self.space)
+            sizes = np.where(data == 0x20, wide, 1)
+        origin = np.arange(len(data)) if sizes is None else np.repeat(np.arange(len(data)), sizes)
+        end = np.full(1, len(data))
+        if self.dummy and self.suffix:
+            return out + self.space, np.concatenate((origin, np.repeat(end, wide), end))
         if self.dummy:
-            out = out + self.space if self.suffix else self.space + out
-            own = np.full(wide, end if self.suffix else first)
-            origin = np.concatenate((origin, own) if self.suffix else (own, origin))
-        return out, np.append(origin, end)
+            return self.space + out, np.concatenate((np.zeros(wide, np.int64), origin, end))
+        return out, np.concatenate((origin, end))
 
     def _longest(self, text: str, at: int) -> tuple[str, int]:
         """(normalised form of the longest key at this place, its length); else the symbol itself."""
@@ -207,8 +201,8 @@ class Model:
                 return found, size
         return text[at], 1
 
-    def _rewritten(self, text: str, wide: int) -> tuple[str, np.ndarray, int, int]:
-        """(text without dummy blank, origins, where it begins, where it ends), place by place."""
+    def _rewritten(self, text: str, wide: int) -> tuple[str, np.ndarray]:
+        """As normalise, place by place."""
         parts: list[str] = []
         origins: list[int] = []
         at = done = 0
@@ -219,29 +213,34 @@ class Model:
                     break
                 done += len(text[at : at + size].encode())
                 at += size
-        if at == len(text):
-            return "", np.zeros(0, np.int64), done, done
-        first, after_space = done, self.remove_extra
+            if at == len(text):
+                return "", np.zeros(1, np.int64)
+
+        def add(c: str) -> None:
+            parts.append(c)
+            origins.extend([done] * len(c.encode()))
+
+        if self.dummy and not self.suffix:
+            add(self.space)
+        after_space = self.remove_extra
         while at < len(text):
             form, size = self._longest(text, at)
             if after_space:
                 form = form.lstrip(" ")
+            for c in form:
+                add(self.space if c == " " else c)
             if form:
-                for c in form:
-                    c = self.space if c == " " else c
-                    parts.append(c)
-                    origins += [done] * len(c.encode())
                 after_space = form.endswith(" ")
             done += len(text[at : at + size].encode())
             at += size
             after_space = after_space and self.remove_extra
-        end = done
-        if self.remove_extra:
-            while parts and parts[-1] == self.space:
-                parts.pop()
-                end = origins[-wide]
-                del origins[-wide:]
-        return "".join(parts), np.array(origins, dtype=np.int64), first, end
+        while self.remove_extra and parts and parts[-1] == self.space:
+            parts.pop()
+            done = origins[-wide]
+            del origins[-wide:]
+        if self.dummy and self.suffix:
+            add(self.space)
+        return "".join(parts), np.array([*origins, done], dtype=np.int64)
 
     def _merged(self, stretch: str) -> list[str]:
         """The pieces of one stretch: best-scored neighbours are joined until none are left."""
