@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,18 @@ def local_session(cpus: str = "*", partitions: int = 8, **extra: str) -> SparkSe
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+@lru_cache
+def _shipped(context) -> None:
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "skymap_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a session."""
+    _shipped(spark.sparkContext)

@@ -4,8 +4,8 @@ Three steps, none of which passes data through the driver:
 
 1. Spark lists the files (path, size, modification time; content is not read);
 2. a header pass reads each file's header blocks and yields one row per column;
-3. the chosen columns are cut into row blocks, the blocks are spread over tasks,
-   and each task reads only its byte ranges and decodes them with numpy.
+3. the files are cut into row blocks, stored as a table with the columns wanted of each, and read
+   by the data source in ``blocks``: a row's bytes once, whatever the number of columns.
 
 Files are opened through ``pyarrow.fs``, so local, HDFS and object-store paths
 work alike.
@@ -14,15 +14,18 @@ work alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymap.plans.sizing import materialize, spread
+from skymap.functions.pixels import NESTED, RING
+from skymap.plans.session import ship_package
+from skymap.plans.sizing import materialize, shared_dir, small_side
+from skymap.sources.blocks import NAME, BlockSource, open_file
 
 BLOCK_BYTES = 64 << 20
 BLOCKS_PER_TASK = 16
@@ -32,8 +35,6 @@ UNIT, CARD = 2880, 80
 TYPE_BYTES = {
     "L": 1, "B": 1, "A": 1, "I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16,
 }
-VALUE_TYPES = {"E": ">f4", "D": ">f8", "J": ">i4"}
-INDEX_TYPES = {"J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8"}
 FRAME_OF = {
     "C": "C", "CEL": "C", "CELESTIAL": "C",
     "G": "G", "GAL": "G", "GALACTIC": "G",
@@ -41,26 +42,12 @@ FRAME_OF = {
 }
 
 COLUMN_SCHEMA = (
-    "path string, mtime timestamp, hdu int, col int, name string, tform string, type string, "
+    "file_no long, path string, mtime timestamp, hdu int, col int, name string, tform string, type string, "
     "repeat long, col_offset long, row_bytes long, n_rows long, data_start long, "
     "nside long, ordering string, coord string, indxschm string"
 )
 
 
-def _open(path: str):
-    """Random-access handle of a path or URI as listed by Spark."""
-    from pyarrow import fs
-
-    path = unquote(path)
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_file("/" + rest.lstrip("/"))
-    if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    return system.open_input_file(inner)
-
-
 def _card_value(text: str):
     text = text.strip()
     if text.startswith("'"):
@@ -98,9 +85,9 @@ def _data_bytes(cards: dict) -> int:
     return -(-size // UNIT) * UNIT
 
 
-def _columns_of(path: str, mtime) -> Iterator[dict]:
+def _columns_of(file_no: int, path: str, mtime) -> Iterator[dict]:
     """One row per column of every binary table of a file."""
-    with _open(path) as handle:
+    with open_file(path) as handle:
         pos, hdu = 0, 0
         while (unit := _read_header(handle, pos)) is not None:
             cards, data = unit
@@ -114,7 +101,7 @@ def _columns_of(path: str, mtime) -> Iterator[dict]:
                     repeat = int(found[1] or 1) if found else 0
                     width = -(-repeat // 8) if code == "X" else repeat * TYPE_BYTES.get(code, 0)
                     yield {
-                        "path": path, "mtime": mtime, "hdu": hdu, "col": c,
+                        "file_no": file_no, "path": path, "mtime": mtime, "hdu": hdu, "col": c,
                         "name": str(cards.get(f"TTYPE{c + 1}", "")), "tform": form.strip(),
                         "type": code, "repeat": repeat, "col_offset": offset,
                         "row_bytes": cards.get("NAXIS1", 0), "n_rows": cards.get("NAXIS2", 0),
@@ -142,16 +129,18 @@ def list_files(spark: SparkSession, path: str | list[str], pattern: str = "*.fit
 def describe_maps(files: DataFrame) -> DataFrame:
     """One row per file column: name, type, layout and map keywords.
 
-    The table is stored: every reader of the files uses it several times.
+    The table is stored: every reader of the files uses it several times, and by it each file has its
+    number.
     """
 
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [part.split()[0] for part in COLUMN_SCHEMA.split(", ")]
         for batch in batches:
-            rows = [r for p, m in zip(batch["path"], batch["mtime"]) for r in _columns_of(p, m)]
-            yield pd.DataFrame(rows, columns=names)
+            files = zip(batch["file_no"], batch["path"], batch["mtime"])
+            yield pd.DataFrame([r for f in files for r in _columns_of(*f)], columns=names)
 
-    return materialize(files.select("path", "mtime").mapInPandas(headers, COLUMN_SCHEMA))
+    numbered = files.select(F.monotonically_increasing_id().alias("file_no"), "path", "mtime")
+    return materialize(numbered.mapInPandas(headers, COLUMN_SCHEMA))
 
 
 def map_name(path, col) -> Column:
@@ -169,16 +158,19 @@ def map_metadata(columns: DataFrame) -> DataFrame:
     """``maps`` table: one row per value column of each file that names an nside.
 
     In an EXPLICIT file column 0 holds the indices; value columns count from the
-    next one.
+    next one. A file that names an nside and an ordering other than RING or NESTED
+    fails the job.
     """
     explicit = F.col("indxschm") == "EXPLICIT"
     value_col = F.when(explicit, F.col("col") - 1).otherwise(F.col("col"))
     dtype = F.when(F.col("type") == "E", F.lit("float")).otherwise(F.lit("double"))
     rows = _first_table(columns).filter((F.col("nside") > 0) & (value_col >= 0))
+    wrong = F.raise_error(F.concat(F.lit("unknown ordering "), "ordering", F.lit(" in "), "path")).cast("string")
+    ordering = F.when(F.col("ordering").isin(RING, NESTED), F.col("ordering")).otherwise(wrong)
     return rows.select(
         map_name(F.col("path"), value_col).alias("map_id"),
         "nside",
-        "ordering",
+        ordering.alias("ordering"),
         "coord",
         "indxschm",
         dtype.alias("dtype"),
@@ -188,92 +180,74 @@ def map_metadata(columns: DataFrame) -> DataFrame:
     )
 
 
-PIXEL_SCHEMA = "map_id string, row_no long, pix long, value double"
-
-
-def _field(raw: np.ndarray, offset: int, code: str, repeat: int, types: dict) -> np.ndarray:
-    """(rows, repeat) values of one column inside a block of whole rows."""
-    dtype = np.dtype(types[code])
-    part = raw[:, offset : offset + repeat * dtype.itemsize]
-    return np.ascontiguousarray(part).view(dtype).reshape(len(raw), repeat)
-
-
-def _decode(block) -> pd.DataFrame:
-    """Pixels of one row block (the per-task helper)."""
-    if block.type not in VALUE_TYPES:
-        raise ValueError(f"unsupported column type {block.tform!r} in {block.path}")
-    with _open(block.path) as handle:
-        handle.seek(int(block.data_start + block.first_row * block.row_bytes))
-        data = handle.read(int(block.rows * block.row_bytes))
-    raw = np.frombuffer(data, np.uint8).reshape(int(block.rows), int(block.row_bytes))
-    values = _field(raw, int(block.col_offset), block.type, int(block.repeat), VALUE_TYPES)
-    values = values.astype("f8").ravel()
-    first = int(block.first_row) * int(block.repeat)
-    row_no = np.arange(first, first + len(values), dtype="i8")
-    pix = row_no
-    if block.explicit:
-        if block.index_type in INDEX_TYPES:
-            index = _field(raw, int(block.index_offset), block.index_type, int(block.repeat), INDEX_TYPES)
-            pix = np.nan_to_num(index.ravel(), nan=0.0, posinf=2**62, neginf=-(2**62)).astype("i8")
-        else:
-            pix = np.full(len(values), -1, "i8")
-    out = pd.DataFrame({"map_id": block.map_id, "row_no": row_no, "pix": pix, "value": values})
-    return out[(pix >= 0) & (pix < 12 * int(block.nside) ** 2)] if block.explicit else out
-
-
-def read_blocks(columns: DataFrame, value_cols: DataFrame | list[int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Raw rows (map_id, row_no, pix, value) of the chosen value columns.
+def block_table(columns: DataFrame, value_cols: DataFrame | list[int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Row blocks of about ``block_bytes``, each with the wanted columns of its file.
 
     ``value_cols`` is a list of 0-based value columns read from every file, or a
-    DataFrame (path, value_col). Blocks are whole rows of about ``block_bytes``
-    and are spread evenly, so one huge file is read by many tasks. Sparse rows
-    outside the map are dropped.
+    DataFrame (path, value_col).
     """
-    spark = columns.sparkSession
     table = _first_table(columns).withColumn("explicit", (F.col("indxschm") == "EXPLICIT") & (F.col("nside") > 0))
     table = table.withColumn(
-        "value_col", F.when(F.col("explicit"), F.col("col") - 1).otherwise(F.col("col"))
-    )
-    index = table.filter("explicit and col = 0").select(
-        "path", F.col("type").alias("index_type"), F.col("col_offset").alias("index_offset")
+        "value_col", F.when(F.col("explicit"), F.col("col") - 1).otherwise(F.col("col")).cast("int")
     )
     if isinstance(value_cols, DataFrame):
         wanted = table.join(value_cols.select("path", "value_col"), ["path", "value_col"], "left_semi")
     else:
         wanted = table.filter(F.col("value_col").isin(value_cols))
-    wanted = wanted.join(index, "path", "left")
+    index = table.filter("explicit and col = 0").select(
+        "file_no", F.col("type").alias("index_type"), F.col("col_offset").alias("index_offset")
+    )
+    file = ["file_no", "path", "row_bytes", "data_start", "n_rows", "explicit", "nside"]
+    own = F.struct("value_col", "tform", "type", "repeat", "col_offset")
+    files = wanted.groupBy(*file).agg(F.array_sort(F.collect_list(own)).alias("columns"))
+    files = files.join(index, "file_no", "left")
     per_block = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(block_bytes) / F.greatest("row_bytes", F.lit(1))))
-    cut = wanted.withColumn("per_block", per_block)
+    cut = files.withColumn("per_block", per_block)
     cut = cut.withColumn(
         "first_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_rows") - 1, F.col("per_block")))
     )
-    cut = cut.select(
-        map_name(F.col("path"), F.col("value_col")).alias("map_id"),
-        "path", "tform", "type", "repeat", "col_offset", "row_bytes", "data_start", "explicit", "nside",
-        "index_type", "index_offset", "first_row",
-        F.least("per_block", F.col("n_rows") - F.col("first_row")).alias("rows"),
-    )
-    blocks = cut.count()
-    least = min(blocks, spark.sparkContext.defaultParallelism)
-    cut = spread(cut, "path", "first_row", "map_id", tasks=max(1, least, -(-blocks // BLOCKS_PER_TASK)))
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block in batch.itertuples(index=False):
-                yield _decode(block)
+    return cut.withColumn("rows", F.least("per_block", F.col("n_rows") - F.col("first_row"))).drop("per_block", "n_rows")
 
-    return cut.mapInPandas(decode, PIXEL_SCHEMA)
 
+def read_blocks(
+    columns: DataFrame, value_cols: DataFrame | list[int], block_bytes: int = BLOCK_BYTES,
+    pix_range: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Raw rows (map_id, row_no, pix, value) of the chosen value columns.
 
-def read_maps(columns: DataFrame, value_cols: DataFrame | list[int] = [0]) -> DataFrame:
+    Blocks are spread over tasks, so one huge file is read by many. Sparse rows outside the map are
+    dropped. With ``pix_range`` (first, end) only those pixels are read; where the session has
+    ``spark.sql.python.filterPushdown.enabled``, filters on ``pix`` do the same by themselves.
+    """
+    spark = columns.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(BlockSource)
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex[:16]}"
+    block_table(columns, value_cols, block_bytes).write.parquet(path)
+    reader = spark.read.format(NAME).option("blocks", path).option("blocksPerTask", BLOCKS_PER_TASK)
+    reader = reader.option("tasks", spark.sparkContext.defaultParallelism)
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if pix_range is not None:
+        reader = reader.option("pixFrom", pix_range[0]).option("pixTo", pix_range[1] - 1)
+    names = small_side(columns.select("file_no", "path").distinct(), stored=True)
+    rows = reader.load().join(names, "file_no")
+    return rows.select(map_name(F.col("path"), F.col("value_col")).alias("map_id"), "row_no", "pix", "value")
+
+
+def read_maps(
+    columns: DataFrame, value_cols: DataFrame | list[int] = [0], pix_range: tuple[int, int] | None = None
+) -> DataFrame:
     """Pixel table (map_id, pix, value) of map files, dense and sparse alike.
 
     Dense pixels are numbered by position. Of repeated sparse pixels the last row
     wins.
     """
-    sparse_cols = columns.filter("indxschm = 'EXPLICIT' and nside > 0")
-    dense_cols = columns.filter("not (indxschm = 'EXPLICIT' and nside > 0)")
-    dense = read_blocks(dense_cols, value_cols).select("map_id", "pix", "value")
-    rows = read_blocks(sparse_cols, value_cols)
-    sparse = rows.groupBy("map_id", "pix").agg(F.max_by("value", "row_no").alias("value"))
-    return dense.unionByName(sparse)
+    explicit = F.expr("indxschm = 'EXPLICIT' and nside > 0")
+    kinds = {r[0] for r in columns.select(explicit).distinct().collect()} or {False}
+    parts = []
+    if False in kinds:
+        parts.append(read_blocks(columns.filter(~explicit), value_cols, pix_range=pix_range).select("map_id", "pix", "value"))
+    if True in kinds:
+        rows = read_blocks(columns.filter(explicit), value_cols, pix_range=pix_range)
+        parts.append(rows.groupBy("map_id", "pix").agg(F.max_by("value", "row_no").alias("value")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

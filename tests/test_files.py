@@ -4,10 +4,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks.fixtures import fits_bytes
 from skymap.operators.masks import mask_from_pixels
-from skymap.sources import fits, manifest
+from skymap.sources import blocks, fits, manifest
 
 
 def _write(path, rows, forms, names, **keys):
@@ -80,3 +81,90 @@ def test_incremental(spark, tmp_path):
     pixels = manifest.current(spark.read.parquet(f"{store}/pixels"), spark.read.parquet(f"{store}/manifest"))
     assert sorted(r[0] for r in pixels.select("value").distinct().collect()) == [1.0, 5.0]
     assert pixels.count() == 24
+
+
+def test_long_path_and_three_columns(spark, tmp_path, monkeypatch):
+    """A path of over 200 characters; bytes of a row are read once for all columns."""
+    folder = tmp_path / ("x" * 120) / ("y" * 120)
+    folder.mkdir(parents=True)
+    n = 64
+    npix = 12 * n * n
+    rows = np.zeros(npix // 1024, dtype=[("a", ">f4", 1024), ("b", ">f8", 1024), ("c", ">i4", 1024)])
+    for name in "abc":
+        rows[name] = np.arange(npix).reshape(-1, 1024)
+    _write(folder / "m.fits", rows, ["1024E", "1024D", "1024J"], ["A", "B", "C"], NSIDE=n, ORDERING="RING")
+    columns = _columns(spark, folder)
+    got = fits.read_maps(columns, [0, 1, 2])
+    found = got.groupBy("map_id").agg(F.count("*"), F.sum(F.abs(F.col("pix") - F.col("value"))), F.max("pix")).collect()
+    assert len(found) == 3 and all(tuple(r)[1:] == (npix, 0.0, npix - 1) for r in found)
+    (block,) = [r.asDict(recursive=True) for r in fits.block_table(columns, [0, 1, 2]).collect()]
+    read, opened = [], blocks.open_file
+
+    class Counted:
+        def __init__(self, path):
+            self.handle = opened(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.handle.close()
+
+        def seek(self, at):
+            self.handle.seek(at)
+
+        def read(self, size):
+            read.append(size)
+            return self.handle.read(size)
+
+    monkeypatch.setattr(blocks, "open_file", Counted)
+    batches = list(blocks.decode(block))
+    assert sum(read) == rows.nbytes and sum(b.num_rows for b in batches) == 3 * npix
+    assert max(b.num_rows for b in batches) <= blocks.SLICE_ROWS
+    read.clear()
+    part = list(blocks.decode(block, 2000, 2100))
+    assert sum(read) == 2 * rows.itemsize and sum(b.num_rows for b in part) == 3 * 101
+
+
+def test_wide_rows_are_sliced():
+    """One file row that holds all pixels."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/w.bin"
+        np.arange(300_000, dtype=">f8").tofile(path)
+        column = {"value_col": 0, "tform": "300000D", "type": "D", "repeat": 300_000, "col_offset": 0}
+        block = {
+            "file_no": 1, "path": path, "row_bytes": 2_400_000, "data_start": 0, "first_row": 0, "rows": 1,
+            "explicit": False, "nside": 0, "index_type": None, "index_offset": None, "columns": [column],
+        }
+        batches = list(blocks.decode(block))
+    assert [b.num_rows for b in batches] == [100_000] * 3
+    assert batches[2].column(3)[0].as_py() == 200_000
+
+
+def test_pixel_ranges(spark, tmp_path):
+    """A range, given or pushed, reads the same rows as a filter."""
+    rows = np.zeros(48, dtype=[("v", ">f4", 64)])
+    rows["v"] = np.arange(3072, dtype="f4").reshape(48, 64)
+    _write(tmp_path / "d.fits", rows, ["64E"], ["V"], NSIDE=16, ORDERING="NESTED")
+    sparse = np.array([(3, 99.0), (0, 1.0), (3, 2.0), (2000, 3.0)], dtype=[("p", ">i4"), ("v", ">f8")])
+    _write(tmp_path / "s.fits", sparse, ["J", "D"], ["P", "V"], NSIDE=16, ORDERING="RING", INDXSCHM="EXPLICIT")
+    columns = _columns(spark, tmp_path)
+    want = sorted((r.pix, r.value) for r in fits.read_maps(columns).collect() if 3 <= r.pix < 300)
+    got = fits.read_maps(columns, pix_range=(3, 300)).collect()
+    assert sorted((r.pix, r.value) for r in got) == want and len(want) == 298
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        pushed = fits.read_maps(columns).filter("pix >= 3 and pix < 300")
+        assert sorted((r.pix, r.value) for r in pushed.collect()) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_unknown_ordering_fails(spark, tmp_path):
+    _write(tmp_path / "o.fits", np.ones(12, dtype=[("v", ">f8")]), ["D"], ["V"], NSIDE=1, ORDERING="SPIRAL")
+    with pytest.raises(Exception, match="unknown ordering SPIRAL"):
+        fits.map_metadata(_columns(spark, tmp_path)).collect()
