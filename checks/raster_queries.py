@@ -44,13 +44,17 @@ def sample_points(spark, d):
 
 @query(
     "raster_cells",
-    f"WITH {S.params('orders')}, {S.cells('2*nside+1', 'nside+1')} "
-    f"SELECT x, y, {S.r6('x/(2.0::DOUBLE*nside)')} AS u, {S.r6('y/(1.0::DOUBLE*nside)')} AS v FROM c0",
+    "WITH r AS (SELECT s_name AS map_id, 11 + s_suppkey % 31 AS w, 6 + s_suppkey % 17 AS h FROM supplier), "
+    "c AS (SELECT map_id, w, h, unnest(range(0, w)) AS x FROM r), c2 AS (SELECT *, unnest(range(0, h)) AS y FROM c) "
+    f"SELECT map_id, x, y, {S.r6('x/(w - 1.0::DOUBLE)')} AS u, {S.r6('y/(h - 1.0::DOUBLE)')} AS v FROM c2",
 )
 def raster_cells(spark, d):
-    n = X.nside_of(spark, d, "orders")
-    c = raster.raster_cells(spark, 2 * n + 1, n + 1)
-    return c.select(*_long("x", "y"), r6("u").alias("u"), r6("v").alias("v"))
+    k = F.col("s_suppkey")
+    rasters = X.table(spark, d, "supplier").select(
+        F.col("s_name").alias("map_id"), (k % 31 + 11).cast("int").alias("width"), (k % 17 + 6).cast("int").alias("height")
+    )
+    c = raster.cells_of_rasters(rasters)
+    return c.select("map_id", *_long("x", "y"), r6("u").alias("u"), r6("v").alias("v"))
 
 
 def _index_sql(table: str, w: str, h: str, proj: str, view=_VIEW_SQL) -> str:
@@ -73,10 +77,16 @@ def _proj(kind: str, n: int) -> raster.Projection:
     return raster.Projection(kind, 4 * n, 2 * n)
 
 
-@query("raster_index", f"WITH {S.params('orders')}, {_index_sql('orders', W, H, 'mollweide')} SELECT x, y, pix FROM ix")
+@query(
+    "raster_index",
+    f"WITH {S.params('orders')}, {_index_sql('orders', W, H, 'mollweide')}, ids AS (SELECT DISTINCT l_returnflag || l_linestatus AS map_id FROM lineitem) "
+    "SELECT map_id, x, y, pix FROM ix, ids",
+)
 def raster_index(spark, d):
     n = X.nside_of(spark, d, "orders")
-    return raster.raster_index(spark, _proj(P.MOLLWEIDE, n), n, "RING", X.VIEW).select(*_long("x", "y"), "pix")
+    index = raster.raster_index(spark, _proj(P.MOLLWEIDE, n), n, "RING", X.VIEW)
+    out = raster.index_of_maps(X.multi_maps(spark, d, n), index, _proj(P.MOLLWEIDE, n))
+    return out.select("map_id", *_long("x", "y"), "pix")
 
 
 _LIM = "lim AS (SELECT map_id, quantile_cont(value, 0.05) AS minv, quantile_cont(value, 0.95) AS maxv FROM {t} GROUP BY 1)"
@@ -173,6 +183,30 @@ def fov_limits(spark, d):
     return out.select("map_id", r6("minv").alias("minv"), r6("maxv").alias("maxv"))
 
 
+# The middle of the grid is the centre itself, whatever the roll.
+_UNIT_AT = (266.513, -28.937, 0.21)
+_UNIT_TAN = P.tangent_matrix(*_UNIT_AT)
+_UNIT = (
+    f"WITH {S.ORDERS}, {S.cells('(2*nside)', '(2*nside)')}, c1 AS (SELECT *, 2*x/(2.0::DOUBLE*nside) - 1 AS dx, 2*y/(2.0::DOUBLE*nside) - 1 AS dy, "
+    f"{S.rotate(_UNIT_TAN, '1.0::DOUBLE', '-dx', '-dy', ('tx', 'ty', 'tz'))}, dx = 0 AND dy = 0 AS mid, CASE WHEN mid THEN radians({_UNIT_AT[0]}) ELSE atan2(ty, tx) END AS lon, "
+    f"{S.HALF} - CASE WHEN mid THEN radians({_UNIT_AT[1]}) ELSE asin(tz/sqrt(tx*tx+ty*ty+tz*tz)) END AS th0 FROM c0), "
+    f"c3 AS (SELECT *, {S.sample_angles(IDENTITY, 'th0', 'lon')} FROM c1), ix AS (SELECT *, {S.ang2pix_ring('nside', 'g_th', 'g_ph', 'pix')} FROM c3), "
+    "hit AS (SELECT map_id, value FROM ix JOIN a USING (pix))"
+)
+
+
+@query(
+    "fov_limits_unit",
+    f"{_UNIT} SELECT map_id, {S.r6('quantile_cont(value, 0.05)')} AS minv, {S.r6('quantile_cont(value, 0.95)')} AS maxv FROM hit GROUP BY 1",
+)
+def fov_limits_unit(spark, d):
+    df, n = X.sky_orders(spark, d)
+    proj = raster.Projection(P.GNOMONIC, 2 * n, 2 * n, _res(n), *_UNIT_AT)
+    hits = materialize(raster.unit_hits(spark, proj, n, "RING"))
+    out = limits.fov_limits(df, hits, proj.width * proj.width, npix_of(n))
+    return out.select("map_id", r6("minv").alias("minv"), r6("maxv").alias("maxv"))
+
+
 @query(
     "render_gnomonic",
     f"{_FOV}, lim AS (SELECT map_id, quantile_cont(value, 0.05) AS minv, quantile_cont(value, 0.95) AS maxv FROM hit GROUP BY 1), "
@@ -211,13 +245,14 @@ def colorize(spark, d):
 
 @query(
     "cmap_ends",
-    f"WITH {S.BIPOLAR} SELECT pix, CASE WHEN value < 1000 THEN 255 ELSE 0 END AS r FROM b WHERE value < 1000 OR value > 4000",
+    f"WITH {S.BIPOLAR}, t AS (SELECT pix, (value - 1000.0)/3000.0 AS t FROM b) SELECT pix, CASE WHEN t <= 0 THEN 255 WHEN t >= 1 THEN 0 "
+    "ELSE 255 - (pix % 200 + 20) END AS r FROM t",
 )
 def cmap_ends(spark, d):
+    """Both ends take the ends of the colour table, the rows between a colour of their own."""
     df, _ = X.sky_bipolar(spark, d)
-    out = df.filter("value < 1000 or value > 4000").select(
-        "pix", classify(scale_linear_norm("value", 1000.0, 4000.0)).alias("cls"), F.lit(None).cast("int").alias("idx")
-    )
+    own = (F.col("pix") % 200 + 20).cast("int")
+    out = df.select("pix", classify(scale_linear_norm("value", 1000.0, 4000.0)).alias("cls"), own.alias("idx"))
     return raster.with_colour(out, X.lut_gray(spark, "reversed")).select("pix", F.col("rgba.r").cast("long").alias("r"))
 
 

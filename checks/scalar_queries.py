@@ -250,6 +250,23 @@ def frame_transform(spark, d):
     return out
 
 
+@query(
+    "frame_transform_mixed",
+    f"WITH {S.POINTS}, v AS (SELECT point_id, {VEC} FROM pts), w AS (" + " UNION ALL ".join(_frame_sql(a, b) for a, b in _PAIRS)
+    + ") SELECT pair, point_id, x, y, z FROM w WHERE pair = substr('GCE', CAST(point_id % 3 AS INT) + 1, 1) || substr('GCE', CAST(point_id // 3 % 3 AS INT) + 1, 1)",
+)
+def frame_transform_mixed(spark, d):
+    """Each point in a frame of its own, turned to another of its own."""
+    x, y, z = frames.sph_to_vec("theta", "phi")
+    frame = lambda k: F.substring(F.lit("GCE"), (k % 3 + 1).cast("int"), F.lit(1))
+    k = F.col("point_id")
+    v = X.sky_points(spark, d).select(
+        "point_id", frame(k).alias("source"), frame(F.floor(k / 3)).alias("target"), x.alias("x"), y.alias("y"), z.alias("z")
+    )
+    out = frames.with_frames(v)
+    return out.select(F.concat("source", "target").alias("pair"), "point_id", *[r6(c).alias(c) for c in "xyz"])
+
+
 def _camera_sql(lon: float, lat: float, roll: float):
     """Camera matrix written out: Rz(roll) Ry(-lat) Rz(-lon)."""
     cl, sl, cb, sb, cr, sr = math.cos(lon), math.sin(lon), math.cos(lat), math.sin(lat), math.cos(roll), math.sin(roll)

@@ -12,7 +12,7 @@ from checks.raster_queries import _FOV, _TT, _VIEW_SQL, _gnomonic, _res
 from checks.registry import query
 from skymap.functions.frames import sph_to_vec
 from skymap.functions.pixels import npix_of, with_pix2ang_nest
-from skymap.operators import limits, raster, regions
+from skymap.operators import geometry, limits, pyramid, raster, regions
 from skymap.plans.sizing import materialize
 from skymap.sources import store
 
@@ -156,3 +156,68 @@ def cone_cells(spark, d):
     rows = with_pix2ang_nest(rows, 8, "cell", ("t", "p"))
     ax, ay, az = F.cos("lat") * F.cos("lon"), F.cos("lat") * F.sin("lon"), F.sin("lat")
     return rows.filter(x * ax + y * ay + z * az >= F.cos("radius")).select("cone_id", "cell")
+
+
+# ------------------------------------------------- all resolutions, mixed geometries
+
+
+@query(
+    "pyramid",
+    f"WITH {S.MULTI}, c AS (SELECT *, {S.ring2xyf('nside', 'pix', 'x', 'y', 'f')} FROM m, p), "
+    "lv AS (SELECT map_id, value, x, y, f, nside, unnest(range(1, 20)) AS k FROM c), "
+    "g AS (SELECT map_id, nside >> k AS nside, x >> k AS x, y >> k AS y, f, avg(value) AS value FROM lv WHERE nside >> k >= 1 GROUP BY ALL) "
+    f"SELECT map_id, CAST(nside AS BIGINT) AS nside, {S.xyf2nest('nside', 'x', 'y', 'f')} AS pix, {S.r6('value')} AS value FROM g",
+)
+def pyramid_levels(spark, d):
+    df, n = X.sky_multi(spark, d)
+    made = pyramid.build(df, n, "RING")
+    out = None
+    for size in made.levels:
+        part = pyramid.level(made, size).withColumn("nside", F.lit(size).cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("map_id", "nside", "pix", r6("value").alias("value"))
+
+
+def _mixed(spark, d):
+    """The order map (RING) and the balances' map (NESTED), of different resolutions."""
+    orders, n = X.sky_orders(spark, d)
+    balances, m = X.sky_bipolar(spark, d)
+    maps = X.one_map(spark, "orders", n).withColumn("ordering", F.lit("RING"))
+    maps = maps.unionByName(X.one_map(spark, "customer", m).withColumn("ordering", F.lit("NESTED")))
+    return orders.unionByName(balances), maps
+
+
+@query(
+    "degrade_maps",
+    f"WITH {S.ORDERS}, {S.params('customer', 'pc')}, c AS (SELECT *, {S.ring2xyf('nside', 'pix', 'x', 'y', 'f')} FROM a, p), "
+    "g AS (SELECT map_id, x//2 AS px, y//2 AS py, f, nside//2 AS tn, avg(value) AS value FROM c GROUP BY ALL), "
+    f"k AS (SELECT *, {S.xyf2ring('tn', 'px', 'py', 'f', 'tp')} FROM g), "
+    "b AS (SELECT nside//2 AS nside, (c_custkey*7919) % npix // 4 AS pix, avg(c_acctbal) AS value FROM customer, pc GROUP BY ALL) "
+    f"SELECT map_id, tn AS nside, 'RING' AS ordering, tp AS pix, {S.r6('value')} AS value FROM k UNION ALL "
+    f"SELECT 'customer', nside, 'NESTED', pix, {S.r6('value')} FROM b",
+)
+def degrade_maps(spark, d):
+    pixels, maps = _mixed(spark, d)
+    out = geometry.degrade_maps(pixels, maps)
+    return out.select("map_id", F.col("nside").cast("long").alias("nside"), "ordering", "pix", r6("value").alias("value"))
+
+
+@query(
+    "fit_maps",
+    f"WITH {S.ORDERS}, {S.params('customer', 'pc')}, o1 AS (SELECT *, {S.pix2ang_ring('nside', 'pix', 'th', 'ph')} FROM a, p), "
+    f"b1 AS (SELECT *, {S.nest2xyf('nside', 'pix', 'fx', 'fy', 'ff')} FROM (SELECT 'customer' AS map_id, nside, (c_custkey*7919) % npix AS pix, c_acctbal AS value FROM customer, pc)), "
+    f"b2 AS (SELECT *, {S.xyf2ring('nside', 'fx', 'fy', 'ff', 'rp')} FROM b1), b3 AS (SELECT *, {S.pix2ang_ring('nside', 'rp', 'th', 'ph', 'z_')} FROM b2), "
+    "u AS (SELECT map_id, nside, 'RING' AS ordering, value, th, ph FROM o1 UNION ALL SELECT map_id, nside, 'NESTED', value, th, ph FROM b3), "
+    "v AS (SELECT map_id, nside, ordering, value, sin(th)*cos(ph) AS x, sin(th)*sin(ph) AS y, cos(th) AS z FROM u), "
+    "s AS (SELECT map_id, nside, ordering, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS xx, sum(x*y) AS xy, sum(x*z) AS xz, sum(y*y) AS yy, sum(y*z) AS yz, sum(z*z) AS zz, "
+    "sum(value) AS b0, sum(value*x) AS bx, sum(value*y) AS by_, sum(value*z) AS bz FROM v GROUP BY ALL), "
+    # Elimination, one unknown after the other.
+    "e1 AS (SELECT *, xx - sx*sx/n AS a11, xy - sx*sy/n AS a12, xz - sx*sz/n AS a13, yy - sy*sy/n AS a22, yz - sy*sz/n AS a23, zz - sz*sz/n AS a33, bx - sx*b0/n AS r1, by_ - sy*b0/n AS r2, bz - sz*b0/n AS r3 FROM s), "
+    "e2 AS (SELECT *, a22 - a12*a12/a11 AS c22, a23 - a12*a13/a11 AS c23, a33 - a13*a13/a11 AS c33, r2 - a12*r1/a11 AS q2, r3 - a13*r1/a11 AS q3 FROM e1), "
+    "e3 AS (SELECT *, (q3 - c23*q2/c22)/(c33 - c23*c23/c22) AS dz, (q2 - c23*dz)/c22 AS dy, (r1 - a12*dy - a13*dz)/a11 AS dx, (b0 - sx*dx - sy*dy - sz*dz)/n AS m FROM e2) "
+    "SELECT map_id, nside, ordering, round(m, 3) AS m, round(dx, 3) AS dx, round(dy, 3) AS dy, round(dz, 3) AS dz FROM e3",
+)
+def fit_maps(spark, d):
+    pixels, maps = _mixed(spark, d)
+    out = geometry.fit_maps(pixels, maps)
+    return out.select("map_id", "nside", "ordering", *(F.round(c, 3).alias(c) for c in ("m", "dx", "dy", "dz")))

@@ -20,12 +20,27 @@ r6 = X.r6
 # ------------------------------------------------------------- generated maps (2.1)
 
 
+def supplier_specs(spark, d, amount):
+    """A map of nside 1 to 8 for each supplier, and an amount."""
+    k = F.col("s_suppkey")
+    nside = F.expr("shiftleft(1L, CAST(s_suppkey % 4 AS INT))")
+    return X.table(spark, d, "supplier").select(F.col("s_name").alias("mask_id"), nside.alias("nside"), amount(k).alias("amount"))
+
+
+def _specs_sql(amount: str) -> str:
+    return (
+        f"sp AS (SELECT s_name AS mask_id, CAST(1 << (s_suppkey % 4) AS BIGINT) AS nside, {amount} AS amount FROM supplier), "
+        "sx AS (SELECT *, 12*nside*nside AS npix FROM sp), ps AS (SELECT mask_id, nside, npix, amount, unnest(range(0, npix)) AS pix FROM sx)"
+    )
+
+
 @query(
     "src_index_map",
-    f"WITH {S.params('orders')} SELECT 'index' AS map_id, i AS pix, CAST(i AS DOUBLE) AS value FROM p, LATERAL (SELECT unnest(range(0, npix)) AS i)",
+    f"WITH {_specs_sql('0')} SELECT mask_id AS map_id, pix, CAST(pix AS DOUBLE) AS value FROM ps",
 )
 def src_index_map(spark, d):
-    return generated.index_map(spark, X.nside_of(spark, d, "orders"))
+    specs = supplier_specs(spark, d, lambda k: F.lit(0)).withColumnRenamed("mask_id", "map_id")
+    return generated.index_maps(specs)
 
 
 @query(
@@ -51,35 +66,47 @@ def src_sparse_dupes(spark, d):
 # -------------------------------------------------------------------- masks (2.1, 2.2)
 
 
-def _window(start: str, end: str) -> str:
+def _window(amount: str, size: str, centred: bool) -> str:
+    first = "greatest(0, npix//2 - k//2)" if centred else "npix - k"
     return (
-        f"WITH {S.params('orders')} SELECT i AS pix, NOT (i >= {start} AND i < {end}) AS valid "
-        "FROM p, LATERAL (SELECT unnest(range(0, npix)) AS i)"
+        f"WITH {_specs_sql(amount)}, sz AS (SELECT mask_id, pix, npix, CAST({size} AS BIGINT) AS k FROM ps) "
+        f"SELECT mask_id, pix, NOT (pix >= {first} AND pix < {first} + k) AS valid FROM sz"
     )
 
 
-_BAND = "CAST(floor(npix*12.5::DOUBLE/90) AS BIGINT)"
-_PATCH = "CAST(floor(npix*power(30.0::DOUBLE/180, 2)) AS BIGINT)"
-
-
-@query("mask_band", _window(f"(npix//2 - {_BAND}//2)", f"(npix//2 - {_BAND}//2 + {_BAND})"))
+@query("mask_band", _window("5.25::DOUBLE + s_suppkey % 40", "floor(npix*amount/90.0::DOUBLE)", True))
 def mask_band(spark, d):
-    return masks.mask_band(spark, X.nside_of(spark, d, "orders"), 12.5)
+    return masks.masks_of(supplier_specs(spark, d, lambda k: F.lit(5.25) + k % 40), masks.BAND)
 
 
-@query("mask_uniform", _window("CAST(floor(npix*(1-0.3::DOUBLE)) AS BIGINT)", "npix"))
+@query("mask_uniform", _window("(s_suppkey % 9)/10.0::DOUBLE", "npix - floor(npix*(1 - amount))", False))
 def mask_uniform(spark, d):
-    return masks.mask_uniform(spark, X.nside_of(spark, d, "orders"), 0.3)
+    return masks.masks_of(supplier_specs(spark, d, lambda k: (k % 9) / F.lit(10.0)), masks.UNIFORM)
 
 
-@query("mask_patch", _window(f"(npix//2 - {_PATCH}//2)", f"(npix//2 - {_PATCH}//2 + {_PATCH})"))
+@query("mask_patch", _window("20.5::DOUBLE + s_suppkey % 120", "floor(npix*power(amount/180.0::DOUBLE, 2))", True))
 def mask_patch(spark, d):
-    return masks.mask_patch(spark, X.nside_of(spark, d, "orders"), 30.0)
+    return masks.masks_of(supplier_specs(spark, d, lambda k: F.lit(20.5) + k % 120), masks.PATCH)
+
 
+def _permuted_sql(n: str, seed: int) -> str:
+    """Image of ``pix``: low and high part in turn moved by a scrambled value of the other."""
+    keys, steps = masks.round_keys(seed), [f"pix // (4*{n}) AS h0", f"pix % (4*{n}) AS l0"]
+    for r in range(len(keys) // 2):
+        steps.append(f"(h{r}*1103515245 + {keys[2 * r]}) % 2147483647 AS p{r}")
+        steps.append(f"(l{r} + p{r}*p{r} % 2147483647) % (4*{n}) AS l{r + 1}")
+        steps.append(f"(l{r + 1}*1103515245 + {keys[2 * r + 1]}) % 2147483647 AS q{r}")
+        steps.append(f"(h{r} + q{r}*q{r} % 2147483647) % (3*{n}) AS h{r + 1}")
+    return ", ".join(steps) + f", h{r + 1}*4*{n} + l{r + 1} AS image"
 
-@query("mask_random")
+
+@query(
+    "mask_random",
+    f"WITH {_specs_sql('(1 + s_suppkey % 9)/10.0::DOUBLE')}, im AS (SELECT *, {_permuted_sql('nside', 42)} FROM ps) "
+    "SELECT mask_id, pix, image >= CAST(floor(npix*amount) AS BIGINT) AS valid FROM im",
+)
 def mask_random(spark, d):
-    return masks.mask_random(spark, X.nside_of(spark, d, "orders"), 0.1, 42)
+    return masks.masks_of(supplier_specs(spark, d, lambda k: (F.lit(1) + k % 9) / F.lit(10.0)), masks.RANDOM, 42)
 
 
 @query(
@@ -98,7 +125,7 @@ def mask_range(spark, d):
 )
 def mask_apply(spark, d):
     df, n = X.sky_orders(spark, d)
-    out = masks.mask_apply(df, X.mask_parts(spark, d, npix_of(n)))
+    out = masks.mask_apply(df, X.mask_parts(spark, d, npix_of(n)), nside=n)
     black = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
     rgba = masks.mask_fill(black, F.col("valid"), (128, 128, 128, 255))
     return out.select("pix", "value", "valid", rgba["r"].cast("long").alias("r"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skymap.functions.staging import as_col
@@ -95,6 +95,28 @@ def rotate_inverse(m: Matrix, v: Vec) -> Vec:
     return rotate(transpose(m), v)
 
 
+def with_frames(
+    df: DataFrame, source: str = "source", target: str = "target", vec=("x", "y", "z"), out=("x", "y", "z")
+) -> DataFrame:
+    """Vectors of mixed frames: each row names the frame it is in and the one it goes to.
+
+    The nine matrices are a table of nine rows, broadcast: one scan, whatever the mix. A frame that
+    is not C, G or E gives NULL.
+    """
+    entries = [f"m{i}{j}" for i in range(3) for j in range(3)]
+    rows = []
+    for a in "CGE":
+        for b in "CGE":
+            flat = [float(v) for row in frame_matrix(a, b) for v in row]
+            rows.append(F.struct(F.lit(a).alias("__a"), F.lit(b).alias("__b"), *(F.lit(v).alias(f"__{n}") for n, v in zip(entries, flat))))
+    table = df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    met = df.join(F.broadcast(table), (df[source] == table["__a"]) & (df[target] == table["__b"]), "left")
+    x, y, z = (F.col(c) for c in vec)
+    turned = [F.col(f"__m{i}0") * x + F.col(f"__m{i}1") * y + F.col(f"__m{i}2") * z for i in range(3)]
+    keep = [c for c in df.columns if c not in out]
+    return met.select(*keep, *(t.alias(n) for t, n in zip(turned, out)))
+
+
 def sph_to_vec(theta, phi) -> Vec:
     """Unit vector of colatitude and longitude."""
     th, ph = as_col(theta), as_col(phi)

@@ -95,7 +95,7 @@ def _looked_up(pixels: DataFrame, packed: DataFrame, keys: list[str], out: str)
         "grp": f"shiftright(:word, {WORD_BITS})",
         "own": f"shiftleft(1L, :word & {low})",
         "some": "get(__mixed, :grp)",
-        "place": "get(__rank, :grp) + bit_count(:some & (:own - 1L))",
+        "place": f"get(__rank, :grp) + bit_count(:some & (shiftleft(-1L, :word & {low}) ^ -1L))",
         "bit": f"shiftright(get(__bits, :place), :at & {low}) & 1L",
     }
     found = "coalesce((get(__full, :grp) & :own) <> 0 OR ((:some & :own) <> 0 AND :bit = 1), false)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skymap.functions.frames import sph_to_vec
 from skymap.functions.pixels import with_pix2ang
 from skymap.functions.staging import compute
+from skymap.operators.bitmap import in_set
 from skymap.operators.masks import one_mask
 from skymap.plans.sizing import small_side
 
@@ -25,16 +26,21 @@ def _axis(name: str) -> Column:
     return F.lit(1.0) if name == "one" else F.col("__" + name)
 
 
+def _with_good(df: DataFrame, mask: DataFrame, nside: int) -> DataFrame:
+    """Add ``__good``: whether the mask lists the pixel as valid."""
+    own, keys = one_mask(mask, df)
+    return in_set(df, own, F.col("valid"), [k for k in keys if k != "pix"], nside, "__good")
+
+
 def fit_sums(df: DataFrame, nside: int, ordering: str, mask: DataFrame | None = None) -> DataFrame:
     """The 10 distinct products of [1, x, y, z] and the 4 moments, per map.
 
     One aggregate with map-side sums: a map of any size costs 14 numbers per
-    task. A mask keeps only its valid pixels.
+    task. A mask keeps only its valid pixels, which travel as a bitmap.
     """
     seen = df.filter(F.col("value").isNotNull())
     if mask is not None:
-        own, keys = one_mask(mask, df)
-        seen = seen.join(own.filter("valid").select(*keys), keys, "left_semi")
+        seen = _with_good(seen, mask, nside).filter("__good")
     rows = _with_axes(seen.select("map_id", "pix", "value"), nside, ordering)
     sums = []
     for i, a in enumerate(AXES):
@@ -116,9 +122,7 @@ def subtract_mono_dipole(
     fit = solve_fit(fit_sums(df, nside, ordering, mask))
     rows = df
     if mask is not None:
-        own, keys = one_mask(mask, df)
-        good = own.filter("valid").select(*keys, F.lit(True).alias("__good"))
-        rows = rows.join(good, keys, "left")
+        rows = _with_good(rows, mask, nside)
     else:
         rows = rows.withColumn("__good", F.lit(True))
     rows = _with_axes(rows, nside, ordering)

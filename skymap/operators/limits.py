@@ -103,6 +103,21 @@ def auto_limits(
     return found.select("map_id", *_checked(low, high, F.col("__lo"), strict))
 
 
+def _weighted_limits(
+    hits: DataFrame, cells: int, kind: str, minv: float | None, maxv: float | None, buckets: int | None
+) -> DataFrame:
+    """As ``auto_limits``, each value counted ``hits`` times. A map has at most ``cells`` hits: few are
+    counted in one aggregate, many are written out and selected by buckets."""
+    user = minv is not None and maxv is not None
+    many = (bucket_count(cells) if buckets is None else buckets) > 1
+    if kind == "histogram" or user or many:
+        each = hits if kind == "histogram" or user else hits.withColumn("hits", F.explode(F.sequence(F.lit(1).cast("long"), F.col("hits"))))
+        return auto_limits(each.select("map_id", "value"), cells, kind, minv, maxv, buckets=buckets)
+    share = F.percentile("value", F.array(F.lit(LOW), F.lit(HIGH)), F.col("hits"))
+    found = hits.groupBy("map_id").agg(F.min("value").alias("__lo"), share.alias("__p"))
+    return found.select("map_id", *_checked(F.get("__p", F.lit(0)), F.get("__p", F.lit(1)), F.col("__lo"), False))
+
+
 def fov_limits(
     df: DataFrame,
     index: DataFrame,
@@ -118,10 +133,15 @@ def fov_limits(
     ``index`` is a raster index (x, y, pix) of at most ``cells`` rows, so the map
     is cut by it before anything is aggregated. A map without a hit falls back to
     its whole-map limits, and one without any value keeps a row without limits.
+    An ``index`` of (pix, hits), as of ``raster.unit_hits``, weighs each value by its hits.
     """
     seen = df.filter(F.col("value").isNotNull())
-    hits = seen.join(small_side(index.select("pix"), cells), "pix").select("map_id", "value")
-    inside = auto_limits(hits, cells, kind, minv, maxv, buckets=buckets)
+    if "hits" in index.columns:
+        hits = seen.join(small_side(index.select("pix", "hits"), cells), "pix").select("map_id", "value", "hits")
+        inside = _weighted_limits(hits, cells, kind, minv, maxv, buckets)
+    else:
+        hits = seen.join(small_side(index.select("pix"), cells), "pix").select("map_id", "value")
+        inside = auto_limits(hits, cells, kind, minv, maxv, buckets=buckets)
     missed = df.join(small_side(hits.select("map_id").distinct()), "map_id", "left_anti")
     return inside.unionByName(auto_limits(missed, rows_per_key, kind, minv, maxv, buckets=buckets))
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skymap.functions.pixels import npix_of
+from skymap.functions.staging import as_sql, compute
 from skymap.functions.values import UNSEEN
-from skymap.operators.order import smallest_k
+from skymap.operators.bitmap import in_set
 from skymap.plans.sizing import small_side
+from skymap.sources.generated import all_pixels
 
 
 def mask_range(df: DataFrame, below: float | None = None, above: float | None = None) -> DataFrame:
@@ -55,21 +57,70 @@ def mask_patch(spark: SparkSession, nside: int, radius: float = 30.0) -> DataFra
     return _window_mask(spark, nside, start, min(npix, start + size))
 
 
+# A prime below 2^31 and a multiplier for the rounds of the permutation.
+_PRIME, _FACTOR, _ROUNDS = 2147483647, 1103515245, 4
+
+
+def round_keys(seed: int) -> list[int]:
+    """Two keys a round."""
+    return [(seed * 1000003 + k * 7368787 + 12345) % _PRIME for k in range(2 * _ROUNDS)]
+
+
+def with_permuted(df: DataFrame, nside, seed: int, pix: str = "pix", out: str = "image") -> DataFrame:
+    """Add the image of a pixel under a keyed permutation of 0 .. 12 nside^2 - 1.
+
+    A pixel is a pair of numbers below 3 nside and 4 nside; each in turn is moved, modulo its own
+    range, by a scrambled value of the other. Every round can be undone, so the whole is one to one.
+    """
+    n, last = as_sql(nside), ("high", "low")
+    steps = {"high": f"`{pix}` div ({n} * 4)", "low": f"`{pix}` % ({n} * 4)"}
+    for r in range(_ROUNDS):
+        keys = round_keys(seed)[2 * r : 2 * r + 2]
+        for part, other, side, key in ((1, 0, 4, keys[0]), (0, 1, 3, keys[1])):
+            name = f"{'low' if part else 'high'}{r}"
+            steps[f"s{name}"] = f"(:{last[other]} * {_FACTOR}L + {key}L) % {_PRIME}L"
+            steps[name] = f"(:{last[part]} + :s{name} * :s{name} % {_PRIME}L) % ({n} * {side})"
+            last = (last[0], name) if part else (name, last[1])
+    return compute(df, steps, {out: f":{last[0]} * {n} * 4 + :{last[1]}"})
+
+
 def mask_random(spark: SparkSession, nside: int, fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Hide exactly int(npix * fraction) random pixels.
+    """Hide exactly int(npix * fraction) random pixels: those whose image under a keyed permutation
+    is below that. A projection: nothing is sorted, selected or counted."""
+    k = int(npix_of(nside) * fraction)
+    pixels = spark.range(npix_of(nside)).select(F.col("id").alias("pix"))
+    return with_permuted(pixels, nside, seed).select("pix", (F.col("image") >= k).alias("valid"))
+
 
-    Each pixel gets a 64-bit hash without repeats (one long per hash); the k
-    smallest are hidden. The threshold comes from an exact selection, so nothing
-    is sorted globally and no row passes the driver.
+BAND, UNIFORM, PATCH, RANDOM = "band", "uniform", "patch", "random"
+
+
+def masks_of(specs: DataFrame, kind: str, seed: int = 0) -> DataFrame:
+    """(mask_id, pix, valid): a generated mask for each row (mask_id, nside, amount) of ``specs``.
+
+    ``amount`` is the degrees of a band, the share of a uniform or random mask, the radius of a patch.
     """
-    npix = npix_of(nside)
-    k = int(npix * fraction)
-    pixels = spark.range(npix).select(F.col("id").alias("pix"))
-    hashed = pixels.withColumn("h", F.xxhash64(F.col("pix") + F.lit(seed * 0x9E3779B1).cast("long")))
-    if k == 0:
-        return pixels.withColumn("valid", F.lit(True))
-    limit = smallest_k(hashed, "h", k, npix)
-    return hashed.select("pix", (F.col("h") > F.lit(limit)).alias("valid"))
+    npix = F.col("nside") * F.col("nside") * 12
+    amount, middle = F.col("amount"), F.expr("nside * nside * 6")
+    size = {
+        BAND: F.floor(npix * amount / 90.0),
+        PATCH: F.floor(npix * F.pow(amount / 180.0, F.lit(2.0))),
+        UNIFORM: npix - F.floor(npix * (1 - amount)),
+        RANDOM: F.floor(npix * amount),
+    }
+    if kind not in size:
+        raise ValueError(f"unknown kind of mask {kind!r}")
+    first = F.greatest(F.lit(0), middle - F.floor(size[kind] / 2)) if kind in (BAND, PATCH) else npix - size[kind]
+    sized = specs.select(
+        F.col("mask_id").alias("map_id"), "nside", F.col("nside").alias("side"), size[kind].alias("size"), first.alias("first")
+    )
+    rows = all_pixels(sized, "side", "size", "first")
+    if kind == RANDOM:
+        hidden = F.col("image") < F.col("size")
+        rows = with_permuted(rows, "side", seed)
+    else:
+        hidden = (F.col("pix") >= F.col("first")) & (F.col("pix") < F.col("first") + F.col("size"))
+    return rows.select(F.col("map_id").alias("mask_id"), "pix", (~hidden).alias("valid"))
 
 
 def mask_from_pixels(pixels: DataFrame, maps: DataFrame, coord: str | None = None) -> DataFrame:
@@ -115,15 +166,16 @@ def one_mask(mask: DataFrame, pixels: DataFrame, mask_id: str | None = None) ->
     raise ValueError("the mask table has mask_id: name one, or give the pixels a mask_id")
 
 
-def mask_apply(pixels: DataFrame, mask: DataFrame, mask_id: str | None = None) -> DataFrame:
-    """Add ``valid`` by a left join on the pixel; a pixel the mask lacks is valid."""
+def mask_apply(pixels: DataFrame, mask: DataFrame, mask_id: str | None = None, nside: int | None = None) -> DataFrame:
+    """Add ``valid``: a pixel the mask lacks is valid, one that any of its rows hides is not.
+
+    The hidden pixels travel as a bitmap, so the pixel table is not shuffled; with the ``nside`` of a
+    single mask its size is proven and no job runs ahead.
+    """
     own, keys = one_mask(mask, pixels, mask_id)
-    side = own.select(*keys, F.col("valid").alias("__v"))
-    return (
-        pixels.join(side, keys, "left")
-        .withColumn("valid", F.coalesce(F.col("__v"), F.lit(True)))
-        .drop("__v")
-    )
+    hidden = ~F.coalesce(F.col("valid"), F.lit(True))
+    found = in_set(pixels, own, hidden, [k for k in keys if k != "pix"], nside, "__hidden")
+    return found.withColumn("valid", ~F.col("__hidden")).drop("__hidden")
 
 
 def mask_fill(rgba: Column, valid: Column, fill: tuple[int, int, int, int] | None) -> Column:

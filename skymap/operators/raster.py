@@ -15,6 +15,7 @@ from skymap.functions.pixels import TWO_PI, with_ang2pix
 from skymap.functions.staging import as_col
 from skymap.functions.stretch import Scale, classify, cmap_index, gamma, with_raster_stretch
 from skymap.operators.histogram import with_knots
+from skymap.operators.bitmap import in_set
 from skymap.operators.masks import one_mask
 from skymap.plans.sizing import small_side, spread
 
@@ -137,6 +138,35 @@ def cells_of_maps(maps: DataFrame, width: int, height: int) -> DataFrame:
     return spread(rows, "map_id", "y").select("map_id", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), "y")
 
 
+def cells_of_rasters(rasters: DataFrame) -> DataFrame:
+    """(map_id, x, y, u, v) of every cell of rasters of their own sizes (map_id, width, height)."""
+    rows = rasters.select("map_id", "width", "height", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    rows = spread(rows, "map_id", "y")
+    cells = rows.select("map_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), "y", "width", "height")
+    u, v = F.col("x") / (F.col("width") - 1.0), F.col("y") / (F.col("height") - 1.0)
+    return cells.select("map_id", "x", "y", u.alias("u"), v.alias("v"))
+
+
+def index_of_maps(maps: DataFrame, index: DataFrame, proj: Projection) -> DataFrame:
+    """(map_id, x, y, pix): the raster index for every map; its size is that of the raster."""
+    cells = cells_of_maps(maps, proj.width, proj.height)
+    return cells.join(small_side(index, proj.width * proj.height), ["x", "y"])
+
+
+def unit_hits(
+    spark: SparkSession, proj: Projection, nside: int, ordering: str, view: Matrix = IDENTITY
+) -> DataFrame:
+    """(pix, hits): how often the grid over the tangent plane -1 .. 1 falls in each pixel. The grid
+    has width x width places, u = x / width."""
+    places = spark.range(proj.width * proj.width)
+    u = (F.col("id") % proj.width) / F.lit(float(proj.width))
+    v = F.floor(F.col("id") / F.lit(float(proj.width))) / F.lit(float(proj.width))
+    lon, lat = P.gnomonic_inverse(u, v, proj.lon, proj.lat, proj.roll)
+    angles = places.select(lon.alias("__lon"), lat.alias("__lat")).withColumn("__th", F.lit(math.pi / 2.0) - F.col("__lat"))
+    found = sample_index(angles, nside, ordering, view, "__th", "__lon").filter("pix is not null")
+    return found.groupBy("pix").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def raster_values(
     pixels: DataFrame, maps: DataFrame, index: DataFrame, proj: Projection
 ) -> DataFrame:
@@ -150,8 +180,7 @@ def raster_values(
     cut = pixels.select("map_id", "pix", "value").join(
         small_side(index.select("pix").distinct(), size), "pix", "left_semi"
     )
-    cells = cells_of_maps(maps, proj.width, proj.height)
-    placed = cells.join(small_side(index, size), ["x", "y"])
+    placed = index_of_maps(maps, index, proj)
     return placed.join(cut, ["map_id", "pix"], "left").select("map_id", "x", "y", "pix", "value")
 
 
@@ -227,7 +256,9 @@ def reproject(
     stretch. A masked cell takes ``fill``; without one it is left out. ``index``
     may be a stored raster index.
     """
-    if mask is not None and mask_nside is not None and mask_nside != nside:
+    if mask is not None and mask_nside is None:
+        raise ValueError("a mask needs its mask_nside")
+    if mask is not None and mask_nside != nside:
         raise ValueError("mask and map differ in nside")
     if index is None:
         index = raster_index(pixels.sparkSession, proj, nside, ordering, view)
@@ -247,8 +278,9 @@ def reproject(
     if mask is None:
         return cells
     own, keys = one_mask(mask, cells, mask_id)
-    side = own.select(*keys, F.col("valid").alias("__ok"))
-    cells = cells.join(side, keys, "left").withColumn("__ok", F.coalesce("__ok", F.lit(True)))
+    hidden = ~F.coalesce(F.col("valid"), F.lit(True))
+    cells = in_set(cells, own, hidden, [k for k in keys if k != "pix"], nside, "__hidden")
+    cells = cells.withColumn("__ok", ~F.col("__hidden")).drop("__hidden")
     if fill is None:
         return cells.filter("__ok").drop("__ok")
     if lut is not None:

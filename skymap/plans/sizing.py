@@ -8,6 +8,7 @@ optimizer, which shuffles it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """Compute once, keep as Parquet in the shared folder: later readers prune columns and row groups."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(
     df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, stored: bool = False
 ) -> DataFrame:

@@ -18,20 +18,26 @@ def index_map(spark: SparkSession, nside: int, map_id: str = "index") -> DataFra
     )
 
 
-def all_pixels(maps: DataFrame) -> DataFrame:
-    """(map_id, pix) of every pixel of every map in ``maps`` (map_id, nside).
+def all_pixels(maps: DataFrame, *keep: str) -> DataFrame:
+    """(map_id, pix, columns to keep) of every pixel of every map in ``maps`` (map_id, nside).
 
     Base faces are spread over tasks before their pixels are generated.
     """
-    faces = maps.select("map_id", "nside", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("face"))
+    faces = maps.select("map_id", "nside", *keep, F.explode(F.sequence(F.lit(0), F.lit(11))).alias("face"))
     rows = faces.select(
         "map_id",
         "nside",
+        *keep,
         F.explode(F.sequence(F.col("face") * F.col("nside"), (F.col("face") + 1) * F.col("nside") - 1)).alias("row"),
     )
     rows = spread(rows, "map_id", "row")
     first = F.col("row") * F.col("nside")
-    return rows.select("map_id", F.explode(F.sequence(first, first + F.col("nside") - 1)).alias("pix"))
+    return rows.select("map_id", F.explode(F.sequence(first, first + F.col("nside") - 1)).alias("pix"), *keep)
+
+
+def index_maps(maps: DataFrame) -> DataFrame:
+    """Full maps of the given sizes (map_id, nside) whose values are the pixel indices."""
+    return all_pixels(maps).withColumn("value", F.col("pix").cast("double"))
 
 
 def densify(pixels: DataFrame, maps: DataFrame) -> DataFrame:
