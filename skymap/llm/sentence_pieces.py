@@ -4,31 +4,28 @@
    keys; a text is rewritten by the longest key at each place. While it is rewritten, every source
    byte gets the number of normalised bytes it stands for (a blank three, a byte inside a
    replaced key none): the alignment, from which any normalised offset goes back to the source.
-2. Pieces. No piece of a model that splits at white space has a blank mark after another symbol, so
-   merges never cross the borders before blank marks; the stretches between are encoded by
-   themselves, the best-scored pair first and the left one of equals, and kept for the next time.
-   A model with such a piece is encoded in one stretch. Symbols outside the vocabulary become
-   byte pieces where the model has them.
+2. Pieces. The library finds the pieces of the normalised text, its own normaliser switched off. No
+   piece of a model that splits at white space has a blank mark after another symbol, so merges
+   never cross the borders before blank marks, and long texts are handed over in parts cut there.
 3. Spans. Running sums of the pieces' normalised lengths, taken through the alignment, give each
    piece's source bytes. Of the byte pieces of one symbol the last carries its span, those before
    are empty and stand at its start, as the library reports them.
 
-Texts are independent, so there is no shuffle; each row's text is gone through once and its pieces
-are kept packed, four bytes each.
+Decoding joins the pieces' surfaces. Texts are independent, so there is no shuffle; each row's text
+is gone through once and its pieces are kept packed, four bytes each.
 
 Cases: a null text is empty; an empty text has the begin and end ids only and decodes to an empty
 text. Repeated rows get equal results, one each; a null doc_id is a value like any other; an empty
 table gives an empty table. A text may be as long as a row can be: memory grows with one row's
-text, time with its length (a stretch without a blank takes a logarithm more). Other columns are
+text, time with its length (a part without a blank takes a logarithm more). Other columns are
 carried along; those named like results are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,11 +39,9 @@ from skymap.llm.common import ship_code
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 REPLACEMENT = "�"
-# Kept stretches of at most LONG symbols, of one Python worker.
-MAX_KEPT = 500_000
-LONG = 64
-# Bytes of text that go into one batch of results.
-BATCH_BYTES = 8 << 20
+# Symbols of a part that is encoded at a time, and bytes of text in one batch of results.
+PART = 1 << 16
+BATCH_BYTES = 2 << 20
 # Field numbers and kinds of the published model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -121,14 +116,12 @@ class Model:
 
     def __init__(self, data: bytes):
         self.pieces: list[str] = []
-        self.scores: list[float] = []
         self.kinds: list[int] = []
         trainer, normalizer = b"", b""
         for number, value in _fields(data):
             if number == PIECES:
                 own = dict(_fields(value))
                 self.pieces.append(own.get(1, b"").decode())
-                self.scores.append(own.get(2, 0.0))
                 self.kinds.append(own.get(3, NORMAL))
             elif number == TRAINER:
                 trainer = value
@@ -144,12 +137,13 @@ class Model:
         self.space = MARK if rules.get(ESCAPE, 1) else " "
         self.keys = charsmap_keys(rules.get(CHARSMAP, b""))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED, UNUSED)}
-        self.unk = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else -1
         self.bytes = None
         if made.get(BYTE_FALLBACK, 0):
             at = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
             self.bytes = [at[f"<0x{b:02X}>"] for b in range(256)]
         self.user = sorted((p for p, k in zip(self.pieces, self.kinds) if k == USER_DEFINED), key=len, reverse=True)
+        self.model = data
+        self.library = None
         self._prepare(made.get(UNK_SURFACE, " ⁇ ".encode()))
 
     def _prepare(self, unk_surface: bytes) -> None:
@@ -164,14 +158,13 @@ class Model:
         self.special = re.compile("|".join(found)) if found else None
         crossing = re.compile(f"[^{MARK}]{MARK}")
         split = not any(crossing.search(p) for p in self.ids) and not self.suffix
-        self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if split else "(?s:.+)").findall
-        self.symbols = re.compile("|".join([*map(re.escape, self.user), "(?s:.)"])).findall
-        self.frozen = set(self.user)
+        self.border = re.compile(f"(?<=[^{MARK}]){MARK}") if split else None
         surfaces = {CONTROL: lambda p: b"", UNKNOWN: lambda p: unk_surface, BYTE: lambda p: bytes([int(p[3:5], 16)])}
         plain = lambda p: p.replace(MARK, " ").encode()
         self.surfaces = [surfaces.get(k, plain)(p) for p, k in zip(self.pieces, self.kinds)]
         self.silent = {i for i, k in enumerate(self.kinds) if k == CONTROL}
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.value = np.array([int(p[3:5], 16) if k == BYTE else -1 for p, k in zip(self.pieces, self.kinds)])
+        self.size = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds)])
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """(normalised text, source offset of each of its bytes and of its end)."""
@@ -242,84 +235,47 @@ class Model:
             add(self.space)
         return "".join(parts), np.array([*origins, done], dtype=np.int64)
 
-    def _merged(self, stretch: str) -> list[str]:
-        """The pieces of one stretch: best-scored neighbours are joined until none are left."""
-        symbols = self.symbols(stretch)
-        before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        after[-1] = -1
-        agenda: list[tuple[float, int, int, int]] = []
-        parts: dict[str, tuple[str, str]] = {}
-
-        def offer(a: int, b: int) -> None:
-            if a < 0 or b < 0 or symbols[a] in self.frozen or symbols[b] in self.frozen:
-                return
-            both = symbols[a] + symbols[b]
-            i = self.ids.get(both)
-            if i is None:
-                return
-            if self.kinds[i] == UNUSED:
-                parts[both] = (symbols[a], symbols[b])
-            heapq.heappush(agenda, (-self.scores[i], a, b, len(both)))
-
-        for a in range(len(symbols) - 1):
-            offer(a, a + 1)
-        while agenda:
-            _, a, b, size = heapq.heappop(agenda)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != size:
-                continue
-            symbols[a] += symbols[b]
-            symbols[b] = ""
-            after[a] = after[b]
-            if after[a] >= 0:
-                before[after[a]] = a
-            offer(before[a], a)
-            offer(a, after[a])
-        if not parts:
-            return [s for s in symbols if s]
-        # Unused pieces only helped to merge; they come apart again.
-        out, todo = [], [s for s in reversed(symbols) if s]
-        while todo:
-            s = todo.pop()
-            if s in parts and self.kinds[self.ids[s]] == UNUSED:
-                todo += [parts[s][1], parts[s][0]]
-            else:
-                out.append(s)
-        return out
-
-    def _encoded(self, stretch: str) -> tuple[bytes, bytes]:
-        """(ids, normalised lengths) of a stretch, packed."""
-        ids: list[int] = []
-        sizes: list[int] = []
-        for piece in self._merged(stretch):
-            own = piece.encode()
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(own))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in own]
-                sizes += [0] * (len(own) - 1) + [len(own)]
-            elif ids and ids[-1] == self.unk:
-                sizes[-1] += len(own)
-            else:
-                ids.append(self.unk)
-                sizes.append(len(own))
-        made = np.array(ids, dtype="<u4").tobytes(), np.array(sizes, dtype="<u4").tobytes()
-        if len(stretch) <= LONG:
-            if len(self.kept) >= MAX_KEPT:
-                self.kept.clear()
-            self.kept[stretch] = made
-        return made
+    def _parts(self, normal: str) -> list[str]:
+        """The text cut at borders that no piece crosses, at least PART symbols apart."""
+        out, done = [], 0
+        while self.border is not None and len(normal) - done > PART:
+            cut = self.border.search(normal, done + PART)
+            if cut is None:
+                break
+            out.append(normal[done : cut.start()])
+            done = cut.start()
+        return [*out, normal[done:]]
+
+    def _pieces(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, normalised bytes of each) of a normalised text."""
+        if self.library is None:
+            import sentencepiece
+
+            # A later message is merged into an earlier one: this one switches the normaliser off.
+            off = bytes([CHARSMAP << 3 | 2, 0, DUMMY_PREFIX << 3, 0, REMOVE_EXTRA << 3, 0, ESCAPE << 3, 0])
+            model = self.model + bytes([NORMALIZER << 3 | 2, len(off)]) + off
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if self.bytes is None:
+            found = [p for part in self._parts(normal) for p in self.library.encode(part, return_type="proto").pieces]
+            return np.array([p.id for p in found], "<u4"), np.array([p.end - p.begin for p in found], np.int64)
+        ids = np.concatenate([np.array(self.library.encode(part), "<u4") for part in self._parts(normal)])
+        return ids, self.size[ids]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends): pieces of a text and the source bytes of each, without begin and end."""
         normal, origin = self.normalise(text)
-        kept = self.kept
-        made = [kept.get(s) or self._encoded(s) for s in self.stretches(normal)]
-        ids = np.frombuffer(b"".join([m[0] for m in made]), dtype="<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([m[1] for m in made]), dtype="<u4"), dtype=np.int64)
-        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
-        return ids, origin[starts].astype("<u4"), origin[ends].astype("<u4")
+        ids, sizes = self._pieces(normal)
+        after = np.cumsum(sizes)
+        first, last = after - sizes, after.copy()
+        value = self.value[ids]
+        if (value >= 0).any():
+            # All byte pieces of a symbol start with it; but for the last they end there, too.
+            inner = (value >= 0x80) & (value < 0xC0)
+            lead = np.maximum.accumulate(np.where(inner, 0, np.arange(len(ids))))
+            first = first[lead]
+            follows = np.append(inner[1:], False)
+            last[(value >= 0) & follows] = first[(value >= 0) & follows]
+        return ids, origin[first].astype("<u4"), origin[last].astype("<u4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; begin, end and other control ids are silent."""
@@ -378,20 +334,14 @@ def _carried(df: DataFrame, *names: str) -> DataFrame:
     return df.select([c for c in df.columns if c.lower() not in lost])
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, bos: bool = True, eos: bool = True) -> DataFrame:
-    """The rows with n_bytes, n_tokens and ids, starts, ends: piece ids and the source bytes
-    ``[start, end)`` of each piece, packed as little-endian unsigned 32-bit integers. Begin and end
-    ids have empty spans. The text itself is not carried along."""
-    path = path or model_path()
-    ship_code(docs.sparkSession)
-    text = docs[text_col]
-    rows = docs.select(*(docs[c] for c in _carried(docs, *RESULTS, text_col).columns), text.alias(text_col))
-    schema = T.StructType(rows.schema.fields[:-1])
-    for name, kind in RESULTS.items():
-        schema = schema.add(name, kind)
+Batches = Iterator[pa.RecordBatch]
+
+
+def _encoding(path: str, names: list[str], bos: bool, eos: bool) -> Callable[[Batches], Batches]:
+    """Batches whose last column is the text to batches with the results in its place."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         model = load(path)
 
         def packed(text: str | None) -> tuple[int, int, bytes, bytes, bytes]:
@@ -413,9 +363,42 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, bos
                     done += 1
                 arrays = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
                 kept = [c.slice(a, done - a) for c in others]
-                yield pa.RecordBatch.from_arrays(kept + arrays, [f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays(kept + arrays, names)
+
+    return run
+
+
+def _decoding(path: str, names: list[str], ids_col: str) -> Callable[[Batches], Batches]:
+    """Batches to batches with the decoded text behind."""
+
+    def run(batches: Batches) -> Batches:
+        model = load(path)
+        for batch in batches:
+            packed = batch.column(batch.schema.get_field_index(ids_col))
+            texts = [model.decode(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in packed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
+
+    return run
 
-    return rows.mapInArrow(run, schema)
+
+def _with_text_last(docs: DataFrame, text_col: str, *lost: str) -> tuple[DataFrame, T.StructType]:
+    """(rows with the text as last column, schema with the encoder's results in its place)."""
+    text = docs[text_col]
+    rows = docs.select(*(docs[c] for c in _carried(docs, *RESULTS, *lost, text_col).columns), text.alias(text_col))
+    schema = T.StructType(rows.schema.fields[:-1])
+    for name, kind in RESULTS.items():
+        schema = schema.add(name, kind)
+    return rows, schema
+
+
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, bos: bool = True, eos: bool = True) -> DataFrame:
+    """The rows with n_bytes, n_tokens and ids, starts, ends: piece ids and the source bytes
+    ``[start, end)`` of each piece, packed as little-endian unsigned 32-bit integers. Begin and end
+    ids have empty spans. The text itself is not carried along."""
+    path = path or model_path()
+    ship_code(docs.sparkSession)
+    rows, schema = _with_text_last(docs, text_col)
+    return rows.mapInArrow(_encoding(path, list(schema.names), bos, eos), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -424,27 +407,27 @@ def decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None) ->
     ship_code(encoded.sparkSession)
     rows = _carried(encoded, "decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(_decoding(path, list(schema.names), ids_col), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
-        for batch in batches:
-            packed = batch.column(batch.schema.get_field_index(ids_col))
-            texts = [model.decode(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
-    return rows.mapInArrow(run, schema)
+def encode_decode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """As ``decode(encode(docs))``, both in one pass of one worker."""
+    path = path or model_path()
+    ship_code(docs.sparkSession)
+    rows, schema = _with_text_last(docs, text_col, "decoded")
+    first = _encoding(path, list(schema.names), True, True)
+    schema = schema.add("decoded", "string")
+    second = _decoding(path, list(schema.names), "ids")
+    return rows.mapInArrow(lambda batches: second(first(batches)), schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, spans_sha256) of every document."""
-    encoded = encode(docs.select("doc_id", "text"), path=path)
-    spans = F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256")
-    short = encoded.select("doc_id", "n_tokens", "n_bytes", "ids", spans)
-    return decode(short, path=path).select(
+    return encode_decode(docs.select("doc_id", "text"), path=path).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "n_bytes",
-        "spans_sha256",
+        F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"),
     )
