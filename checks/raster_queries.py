@@ -466,11 +466,14 @@ def track_raster_dda(spark, d):
 
 @query(
     "track_raster_bres",
-    f"{_PX.replace('WITH ', 'WITH RECURSIVE ', 1)}, cc AS (SELECT track_id, seg_id, seq, 2*nside AS w, CAST(trunc(a0) AS BIGINT) AS x, CAST(trunc(b0) AS BIGINT) AS y, CAST(trunc(a1) AS BIGINT) AS x1, CAST(trunc(b1) AS BIGINT) AS y1 FROM sq, p WHERE a1 IS NOT NULL), "
-    "bw AS (SELECT track_id, seg_id, seq, w, x, y, x1, y1, abs(x1-x) AS dx, abs(y1-y) AS dy, (abs(x1-x) - abs(y1-y))/2.0::DOUBLE AS err FROM cc "
-    "UNION ALL SELECT track_id, seg_id, seq, w, x + CASE WHEN err > -dx THEN sign(x1-x0) ELSE 0 END, y + CASE WHEN err < dy THEN sign(y1-y0) ELSE 0 END, x1, y1, dx, dy, "
-    "err - CASE WHEN err > -dx THEN dy ELSE 0 END + CASE WHEN err < dy THEN dx ELSE 0 END FROM (SELECT bw.*, c.x AS x0, c.y AS y0 FROM bw JOIN cc c USING (track_id, seg_id, seq)) WHERE x <> x1 OR y <> y1) "
-    "SELECT track_id, CAST(seg_id AS BIGINT) AS seg_id, seq, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM bw WHERE x >= 0 AND y >= 0 AND x < w AND y < w",
+    # A step of one cell along the long side; across it, the least k whose upper edge is not below
+    # the line half a step ahead.
+    f"{_PX}, cc AS (SELECT track_id, seg_id, seq, 2*nside AS w, CAST(trunc(a0) AS BIGINT) AS x0, CAST(trunc(b0) AS BIGINT) AS y0, CAST(trunc(a1) AS BIGINT) AS x1, CAST(trunc(b1) AS BIGINT) AS y1 FROM sq, p WHERE a1 IS NOT NULL), "
+    "ln AS (SELECT *, greatest(abs(x1-x0), abs(y1-y0)) AS far, least(abs(x1-x0), abs(y1-y0)) AS near, abs(x1-x0) >= abs(y1-y0) AS flat FROM cc), "
+    "st AS (SELECT track_id, seg_id, seq, w, x0, y0, sign(x1-x0) AS sx, sign(y1-y0) AS sy, far, near, flat, unnest(range(0, far + 1)) AS i FROM ln), "
+    "pl AS (SELECT *, list_min(list_filter(range(0, near + 1), lambda k: (k + 0.5)*far >= (i + 0.5)*near)) AS k FROM st), "
+    "ce AS (SELECT track_id, seg_id, seq, w, x0 + sx*(CASE WHEN flat THEN i ELSE k END) AS x, y0 + sy*(CASE WHEN flat THEN k ELSE i END) AS y FROM pl) "
+    "SELECT track_id, CAST(seg_id AS BIGINT) AS seg_id, seq, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM ce WHERE x >= 0 AND y >= 0 AND x < w AND y < w",
 )
 def track_raster_bres(spark, d):
     df, n = _gnomonic_tracks(spark, d, "grid")

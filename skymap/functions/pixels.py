@@ -132,37 +132,30 @@ _FACE = {
 }
 
 
-def _belt_face(falling: str, rising: str) -> str:
-    """Base face from the numbers of the two diagonal stripes a place lies in.
-
-    The stripes cross at the faces: equal numbers on the middle row, a rising number
-    one ahead on the northern, one behind on the southern row.
-    """
-    return f"(4 * (1 + {falling} - {rising}) + (least({falling}, {rising}) & 3))"
+# The sphere is unrolled to a plane: columns are eighths of a turn, rows run from 0 at the north pole
+# to 4 at the south pole, and toward a pole the columns of a quarter draw together. The faces are
+# diamonds about their centres; a place in one is told by its offsets from that centre, and the two
+# sides of the diamond are the sum and the difference of the offsets.
 
 
 def _unring_steps(n: str, p: str) -> dict[str, str]:
-    """Steps from a RING index to ``:x``, ``:y``, ``:f``.
-
-    The southern cap is the northern one read backwards, so both share the
-    ring-number formula on the mirrored index ``q``.
-    """
+    """Steps from a RING index to ``:x``, ``:y``, ``:f``: the centre of the pixel on the plane, in whole
+    numbers (rows by 1/n, columns by 1/``wide``), then the face it lies in."""
     return {
         **_ring_number_steps(n, p),
-        "nr": f"CASE WHEN :cap THEN :i ELSE {n} END",
-        "ring": f"CASE WHEN :cap AND :south THEN {n} * 4 - :i ELSE :i END",
-        "odd": f"CASE WHEN :cap THEN 0L ELSE (:ring + {n}) & 1 END",
-        "top": f":ring - {n} + 1",
-        "down": f"(:j - ({n} * 2 + 2 - :top) div 2 + {n} - 1) div {n}",
-        "up": f"(:j - :top div 2 + {n} - 1) div {n}",
-        "quarter": "(:j - 1) div :nr",
-        "f": f"CASE WHEN :cap THEN :quarter + IF(:south, 8, 0) ELSE {_belt_face(':down', ':up')} END",
-        **_FACE,
-        "a": f":ring - :frow * {n} + 1",
-        "b": ":j * 2 - :flon * :nr - :odd - 1",
-        "c": f"CASE WHEN :b >= {n} * 2 THEN :b - {n} * 8 ELSE :b END",
-        "x": "shiftright(:c - :a, 1)",
-        "y": "shiftright(-(:c + :a), 1)",
+        "row": f"IF(:cap AND :south, {n} * 4 - :i, :i)",
+        "wide": f"IF(:cap, :i, {n})",
+        "column": f":j * 2 - 1 - IF(:cap, 0L, (:row + {n}) & 1)",
+        "middle": "(:column + :wide) div (:wide * 2)",
+        "aside": ":column - :middle * :wide * 2",
+        "below": f":row - {n} * 2",
+        "belt": f"NOT :cap AND abs(:aside) + abs(:below) < {n}",
+        "quarter": ":column div (:wide * 2)",
+        "f": "IF(:belt, 4 + (:middle & 3), (:quarter & 3) + IF(:below > 0, 8, 0))",
+        "dc": "IF(:belt, :aside, :column - (:quarter * 2 + 1) * :wide)",
+        "dr": f"CASE WHEN :belt THEN :below WHEN :below > 0 THEN :below - {n} ELSE :below + {n} END",
+        "x": f"shiftright({n} - 1 - :dr + :dc, 1)",
+        "y": f"shiftright({n} - 1 - :dr - :dc, 1)",
     }
 
 
@@ -271,54 +264,46 @@ def with_pix2ang_nest(df: DataFrame, nside, pix="pix", out=("theta", "phi")) ->
 # -------------------------------------------------------------- angle -> index
 
 
-def _angle_steps(n: str, theta: str, phi: str, part: str) -> dict[str, str]:
-    """Shared start: height ``:z``, longitude ``:tt`` in quarter turns, and the two
-    diagonal line numbers ``:jp`` and ``:jm`` (belt or cap)."""
+def _angle_steps(n: str, theta: str, phi: str) -> dict[str, str]:
+    """Steps from a direction to ``:x``, ``:y``, ``:f``: its place on the plane, the face whose diamond
+    holds it, the sides ``u`` and ``v`` of that diamond. A place on a border belongs to the pixel north
+    of it along the line, in the southern cap to the one south."""
     return {
         "z": f"cos({theta})",
-        "tt": f"((({phi} % {TWO_PI!r}D) + {TWO_PI!r}D) % {TWO_PI!r}D) * {2.0 / math.pi!r}D",
-        "belt": f"abs(:z) <= {2.0 / 3.0!r}D",
-        "turn": f"least(CAST(floor(:tt) AS BIGINT), {part})",
-        "part": ":tt - :turn",
-        "reach": f"{n} * sqrt(greatest(0.0D, (1.0D - abs(:z)) * 3.0D))",
-        "jp": f"""CAST(floor(CASE WHEN :belt THEN {n} * (0.5D + :tt) - {n} * (0.75D * :z)
-              ELSE :part * :reach END) AS BIGINT)""",
-        "jm": f"""CAST(floor(CASE WHEN :belt THEN {n} * (0.5D + :tt) + {n} * (0.75D * :z)
-              ELSE (1.0D - :part) * :reach END) AS BIGINT)""",
+        "column": f"((({phi} % {TWO_PI!r}D) + {TWO_PI!r}D) % {TWO_PI!r}D) * {4.0 / math.pi!r}D",
+        "level": f"abs(:z) <= {2.0 / 3.0!r}D",
+        "pole": "IF(:level, 1.0D, sqrt(greatest(0.0D, 3.0D - 3.0D * abs(:z))))",
+        "south": ":z < 0",
+        "middle": "floor((:column + 1.0D) * 0.5D)",
+        "aside": ":column - 2.0D * :middle",
+        "below": "-1.5D * :z",
+        "belt": ":level AND abs(:aside) + abs(:below) <= 1.0D",
+        "quarter": "least(floor(:column * 0.5D), 3L)",
+        "f": "IF(:belt, 4 + (:middle & 3), :quarter + IF(:south, 8, 0))",
+        "dc": "IF(:belt, :aside, (:column - 2.0D * :quarter - 1.0D) * :pole)",
+        "dr": """CASE WHEN :belt THEN :below WHEN NOT :level THEN IF(:south, 1.0D - :pole, :pole - 1.0D)
+              WHEN :south THEN :below - 1.0D ELSE :below + 1.0D END""",
+        "u": "(1.0D - :dr + :dc) * 0.5D",
+        "v": "(1.0D - :dr - :dc) * 0.5D",
+        "fu": f"IF(:level OR :south, floor({n} * :u), {n} - 1 - floor({n} * (1.0D - :u)))",
+        "fv": f"IF(:level OR NOT :south, {n} - 1 - floor({n} * (1.0D - :v)), floor({n} * :v))",
+        "x": f"CAST(least(greatest(:fu, 0L), {n} - 1) AS BIGINT)",
+        "y": f"CAST(least(greatest(:fv, 0L), {n} - 1) AS BIGINT)",
     }
 
 
 def with_ang2pix_ring(df: DataFrame, nside, theta="theta", phi="phi", out="pix") -> DataFrame:
     """Add the RING index of the pixel that holds a direction."""
     n = as_sql(nside)
-    steps = {
-        **_angle_steps(n, as_sql(theta), as_sql(phi), "4L"),
-        "ir": f"CASE WHEN :belt THEN {n} + 1 + :jp - :jm ELSE :jp + :jm + 1 END",
-        "ip": f"""CASE WHEN :belt THEN (:jp + :jm - {n} + 2 - (:ir & 1)) div 2
-              ELSE CAST(floor(:tt * :ir) AS BIGINT) END""",
-        "len": f"CASE WHEN :belt THEN {n} * 4 ELSE :ir * 4 END",
-        "ahead": f"""CASE WHEN :belt THEN {n} * ({n} - 1) * 2 + (:ir - 1) * {n} * 4
-                 WHEN :z > 0 THEN :ir * (:ir - 1) * 2
-                 ELSE {n} * {n} * 12 - :ir * (:ir + 1) * 2 END""",
-    }
-    return compute(df, steps, {out: ":ahead + pmod(:ip, :len)"})
+    steps = {**_angle_steps(n, as_sql(theta), as_sql(phi)), **_ring_steps(n, ":x", ":y")}
+    return compute(df, steps, {out: ":ring_pix"})
 
 
 def with_ang2pix_nest(df: DataFrame, nside, theta="theta", phi="phi", out="pix") -> DataFrame:
     """Add the NESTED index of the pixel that holds a direction."""
     require_power_of_two(nside)
     n = as_sql(nside)
-    steps = {
-        **_angle_steps(n, as_sql(theta), as_sql(phi), "3L"),
-        "fp": f":jp div {n}",
-        "fm": f":jm div {n}",
-        "a": f"CASE WHEN :belt THEN :jp & ({n} - 1) ELSE least(:jp, {n} - 1) END",
-        "b": f"CASE WHEN :belt THEN :jm & ({n} - 1) ELSE least(:jm, {n} - 1) END",
-        "f": f"CASE WHEN :belt THEN {_belt_face(':fp', ':fm')} ELSE :turn + IF(:z < 0, 8, 0) END",
-        "cx": f"CASE WHEN :belt THEN :b WHEN :z >= 0 THEN {n} - :b - 1 ELSE :a END",
-        "cy": f"CASE WHEN :belt OR :z >= 0 THEN {n} - :a - 1 ELSE :b END",
-        **_nest_steps(n, ":cx", ":cy", ":f"),
-    }
+    steps = {**_angle_steps(n, as_sql(theta), as_sql(phi)), **_nest_steps(n, ":x", ":y", ":f")}
     return compute(df, steps, {out: ":nest"})
 
 
