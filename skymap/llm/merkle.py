@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from skymap.llm.common import stored
 
 FAN_OUT = 16
-# Runs of leaves that meet one stored copy of a node: a whole level's worth, 16^3.
-BLOCK_LEVELS = 3
+# Runs of leaves that meet one stored copy of a node: 16^2, about a megabyte of the climb.
+BLOCK_LEVELS = 2
 # Nodes of a level of the groups' tree that may be broadcast (about 1 KB each).
 FEW_NODES = 4096
 TOP = -1
@@ -223,10 +223,10 @@ def _source_levels(made: Manifest) -> int:
 
 
 CLIMB = """
-WITH RECURSIVE climb (own, block, leaves, folded, proof, subroot, hash, up_tree, up_level, up_idx, slot) AS (
-  SELECT own, block, leaves, folded, proof, subroot, hash, up_tree, up_level, up_idx, slot FROM {start}
+WITH RECURSIVE climb (own, run, block, folded, proof, subroot, hash, up_tree, up_level, up_idx, slot) AS (
+  SELECT own, run, block, folded, proof, subroot, hash, up_tree, up_level, up_idx, slot FROM {start}
   UNION ALL
-  SELECT c.own, c.block, c.leaves,
+  SELECT c.own, c.run, c.block,
          transform(c.folded, f -> sha2(array_join(transform(p.children, (h, j) -> if(j = c.slot, f, h)), ''), 256)),
          concat(c.proof, array_join(filter(p.children, (h, j) -> j <> c.slot), '')),
          coalesce(c.subroot, if(p.last, p.hash, NULL)),
@@ -235,7 +235,7 @@ WITH RECURSIVE climb (own, block, leaves, folded, proof, subroot, hash, up_tree,
     ON c.own = p.own AND c.block = p.block
    AND c.up_tree = p.tree AND c.up_level = p.level AND c.up_idx = p.idx
 )
-SELECT own, leaves, folded, proof, subroot, hash FROM climb WHERE up_level IS NULL LIMIT ALL
+SELECT own, run, folded, proof, subroot, hash FROM climb WHERE up_level IS NULL LIMIT ALL
 """
 
 
@@ -253,8 +253,8 @@ def proofs(made: Manifest) -> DataFrame:
     # The node the run's hash is of: the leaf itself where it is alone in its group.
     start = start.select(
         F.col("tree").alias("own"),
+        "run",
         F.floor(F.col("run") / size).cast("long").alias("block"),
-        "leaves",
         F.when(alone, F.col("leaves.now")).otherwise(folded).alias("folded"),
         F.lit("").alias("proof"),
         F.when(alone, F.col("leaves")[0]["leaf"]).otherwise(hash_of(F.col("leaves.leaf"))).alias("hash"),
@@ -264,9 +264,11 @@ def proofs(made: Manifest) -> DataFrame:
         F.ceil(F.col("n_leaves") / FAN_OUT).cast("long").alias("n"),
     )
     start = start.withColumn("subroot", F.when(F.col("n") == 1, F.col("hash")))
-    start = start.select("own", "block", "leaves", "folded", "proof", "subroot", "hash", *_up(made.n_groups))
+    start = start.select("own", "run", "block", "folded", "proof", "subroot", "hash", *_up(made.n_groups))
     done = stored(spark.sql(CLIMB, start=stored(start), nodes=_linked(made)))
-    rows = done.join(made.groups.withColumnRenamed("tree", "own"), "own")
+    # The leaves themselves stay below and are met again at the end.
+    rows = done.join(made.runs.select(F.col("tree").alias("own"), "run", "leaves"), ["own", "run"])
+    rows = rows.join(made.groups.withColumnRenamed("tree", "own"), "own")
     each = rows.select("grp", "leaves", "folded", "proof", "subroot", "hash", F.posexplode("leaves").alias("i", "x"))
     siblings = F.array_join(F.filter("leaves.leaf", lambda h, j: j != F.col("i")), "")
     folded_root = F.get("folded", F.col("i"))

@@ -40,7 +40,7 @@ def hard_rows(seed, n_hot, n_sources):
     return rows
 
 
-@pytest.mark.parametrize("block_levels", [1, 3])
+@pytest.mark.parametrize("block_levels", [1, 2])
 def test_merkle(spark, monkeypatch, block_levels):
     """With blocks of 16 runs the upper nodes are stored in several copies."""
     monkeypatch.setattr(merkle, "BLOCK_LEVELS", block_levels)
