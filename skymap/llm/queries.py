@@ -39,7 +39,9 @@ def query(name: str, oracle: str | None = None):
 
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir))
+    # What is left, with bytes that no longer make a symbol replaced, stands behind the counts.
+    out = remove_repeats(documents(spark, sf_dir), texts=True)
+    return out.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 @query("op2_token_counts")

@@ -14,12 +14,14 @@ stopped at slot s goes on there without an index.
 Sequences are stored once (nothing is encoded twice) and shuffled once, by shard. The indices'
 offsets are one row per writing task.
 
-Cases: a null or empty text is one sequence of end tokens. Repeated rows are sequences of their
+Cases: a null or empty text is one sequence of end tokens. Texts may be as long as a row can be; long
+runs of white space are cut out before the pattern sees them, with the same ids. Repeated rows are sequences of their
 own. Ids may be null. An empty table gives no shards. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,9 @@ ROUNDS = 6
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Texts encoded and rows given out at a time.
 BATCH_ROWS = 2048
+# Runs of white space from this length on are more than the pattern's engine can take.
+LONG_RUN = 100_000
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def vocabulary_path() -> str:
@@ -56,7 +61,19 @@ def encoder(path: str):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary, len(ranks)
+    long_run = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+    def encode(text: str) -> list[int]:
+        """A run is one pre-token by itself, but for its last symbol if a word follows."""
+        ids, done = [], 0
+        for run in long_run.finditer(text) if len(text) >= LONG_RUN else ():
+            end = run.end() - (run.end() < len(text))
+            ids += encoding.encode_ordinary(text[done : run.start()])
+            ids += encoding._encode_single_piece(text[run.start() : end])
+            done = end
+        return ids + encoding.encode_ordinary(text[done:])
+
+    return encode, len(ranks)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -419,3 +419,35 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     last = corpus_pipeline.run(spark, SMALL)
     assert {d for r in last.collect() for d in r.doc_ids} == ids
+
+
+def test_long_white_space_is_encoded():
+    """Runs that the pattern cannot take give the ids that shorter ones follow."""
+    encode, _ = token_output.encoder(token_output.vocabulary_path())
+    whole = token_output.LONG_RUN
+    try:
+        for text in ("a" + " " * 300 + "b", "\n" * 301, " " * 200 + "x" + "\t" * 250 + " y", "a" + " \n" * 400 + "\nb", " " * 300 + "7"):
+            want = encode(text)
+            token_output.LONG_RUN = 100
+            assert token_output.encoder(token_output.vocabulary_path())[0](text) == want
+            token_output.LONG_RUN = whole
+    finally:
+        token_output.LONG_RUN = whole
+    for text in ("a" + " " * 2_000_000 + "b", "x" * 2_000_000, "\n" * 2_000_000):
+        ids = encode(text)
+        assert 10 < len(ids) < len(text) and sum(1 for _ in ids) == len(ids)
+
+
+def test_long_white_space_in_shards(spark):
+    rows = [(1, "a" + " " * 2_000_000 + "b"), (2, "x" * 2_000_000), (3, "c")]
+    out = token_output.training_shards(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.n_tokens for r in out) == sum(len(token_output.encoder(token_output.vocabulary_path())[0](t)) + 1 for _, t in rows)
+
+
+def test_suffix_query_tells_what_is_left(spark):
+    got = QUERIES["op1_suffix_dedup"](spark, SMALL)
+    rows = got.select("n_bytes", "n_removed", "kept_sha256", "kept").collect()
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    same = [r for r in rows if "�" not in r.kept]
+    assert len(same) > len(rows) / 2
+    assert all(hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256 and len(r.kept.encode()) == r.n_bytes - r.n_removed for r in same)
