@@ -126,9 +126,17 @@ def masks_of(specs: DataFrame, kind: str, seed: int = 0) -> DataFrame:
 def mask_from_pixels(pixels: DataFrame, maps: DataFrame, coord: str | None = None) -> DataFrame:
     """Mask tables from ingested pixels: valid = value > 0.5.
 
-    The size must be 12 nside^2; anything else fails the job. The check is one small aggregate per mask.
+    The size must be 12 nside^2; anything else fails the job. Where ``maps`` tells the sizes (``n_pix``,
+    as the files' headers do) they are taken from there and pixels are read once; else they are counted.
     """
-    sizes = pixels.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    if "n_pix" in maps.columns:
+        sizes = maps.filter("n_pix is not null").select("map_id", F.col("n_pix").alias("n"))
+        untold = maps.filter("n_pix is null").select("map_id")
+        if not untold.isEmpty():
+            rest = pixels.join(small_side(untold), "map_id", "left_semi")
+            sizes = sizes.unionByName(rest.groupBy("map_id").agg(F.count(F.lit(1)).alias("n")))
+    else:
+        sizes = pixels.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
     nside = F.floor(F.sqrt(F.col("n") / 12.0)).cast("long")
     exact = (nside * nside * 12 == F.col("n")) & (nside >= 1)
     checked = sizes.select(

@@ -177,6 +177,7 @@ def map_metadata(columns: DataFrame) -> DataFrame:
         F.col("path").alias("source"),
         value_col.cast("int").alias("col"),
         "mtime",
+        F.when(~explicit, F.col("n_rows") * F.col("repeat")).alias("n_pix"),
     )
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from skymap.plans.sizing import materialize, small_side
 from skymap.sources.fits import describe_maps, list_files, map_metadata, read_maps
 
+# What tells a version of a file.
+FILE_KEYS = ["path", "mtime"]
+
 MANIFEST_KEYS = ["source", "col", "mtime"]
 
 
@@ -33,16 +36,34 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def headers(spark: SparkSession, source: str, store: str) -> DataFrame:
+    """Columns of all files under ``source``; headers are read of files that ``store`` does not know in
+    this version, and kept there for the next time."""
+    path = f"{store}/headers"
+    files = list_files(spark, source)
+    known = _stored(spark, path)
+    new = files if known is None else files.join(known.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_anti")
+    found = describe_maps(new)
+    if known is not None:
+        # File numbers go on where the stored ones end.
+        last = known.agg(F.coalesce(F.max("file_no"), F.lit(-1))).first()[0]
+        found = materialize(found.withColumn("file_no", F.col("file_no") + last + 1))
+    found.write.mode("append").parquet(path)
+    present = files.select(*FILE_KEYS)
+    return spark.read.schema(found.schema).parquet(path).join(present, FILE_KEYS, "left_semi")
+
+
 def ingest_incremental(
     spark: SparkSession, source: str, store: str, value_cols: list[int] = [0]
 ) -> DataFrame:
     """Bring ``store`` up to date with the files under ``source``; returns what was new.
 
-    Pixels go to Parquet partitioned by version (map and modification time). The
-    manifest is appended after the pixels are written, so a lost job is simply
-    repeated; its versions are overwritten, not doubled.
+    Pixels go to Parquet partitioned by version (map and modification time), sorted by
+    pixel, so a range of pixels is a few row groups. The manifest is appended after the
+    pixels are written, so a lost job is simply repeated; its versions are overwritten,
+    not doubled. Headers are read of new files only.
     """
-    columns = describe_maps(list_files(spark, source))
+    columns = headers(spark, source, store)
     version = F.concat_ws("@", "map_id", F.unix_micros("mtime").cast("string"))
     maps = map_metadata(columns).filter(F.col("col").isin(value_cols)).withColumn("version", version)
     manifest_path, pixel_path = f"{store}/manifest", f"{store}/pixels"
@@ -54,7 +75,7 @@ def ingest_incremental(
     todo = columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi")
     versions = small_side(maps.select("map_id", "version"), stored=True)
     pixels = read_maps(todo, wanted).join(versions, "map_id")
-    pixels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    pixels.sortWithinPartitions("version", "pix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "version"
     ).parquet(pixel_path)
     maps.write.mode("append").parquet(manifest_path)

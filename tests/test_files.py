@@ -83,6 +83,43 @@ def test_incremental(spark, tmp_path):
     assert pixels.count() == 24
 
 
+def test_headers_of_new_files_only(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    for name in "abc":
+        _write(src / f"{name}.fits", np.ones(12, dtype=[("v", ">f8")]), ["D"], ["V"], NSIDE=1)
+    first = manifest.headers(spark, str(src), store)
+    assert first.count() == 3
+    _write(src / "d.fits", np.ones(48, dtype=[("v", ">f8")]), ["D"], ["V"], NSIDE=2)
+    asked = []
+    plain = manifest.describe_maps
+
+    def counted(files):
+        asked.append(files.count())
+        return plain(files)
+
+    monkeypatch.setattr(manifest, "describe_maps", counted)
+    again = manifest.headers(spark, str(src), store)
+    assert asked == [1] and again.count() == 4
+    assert again.select("file_no").distinct().count() == 4
+    assert manifest.headers(spark, str(src), store).count() == 4 and asked == [1, 0]
+    (src / "a.fits").unlink()
+    assert manifest.headers(spark, str(src), store).count() == 3
+
+
+def test_stored_pixels_are_sorted(spark, tmp_path):
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    rows = np.zeros(3072, dtype=[("v", ">f8")])
+    _write(src / "a.fits", rows, ["D"], ["V"], NSIDE=16)
+    manifest.ingest_incremental(spark, str(src), store)
+    import pyarrow.parquet as pq
+
+    for file in (tmp_path / "store" / "pixels").rglob("*.parquet"):
+        pix = pq.read_table(file, columns=["pix"]).column(0).to_numpy()
+        assert (np.diff(pix) > 0).all()
+
+
 def test_long_path_and_three_columns(spark, tmp_path, monkeypatch):
     """A path of over 200 characters; bytes of a row are read once for all columns."""
     folder = tmp_path / ("x" * 120) / ("y" * 120)
