@@ -471,6 +471,13 @@ def hist_lookup(spark, d):
     return joined.select("map_id", "pix", r6(knot_share("value", "xs", "ps", "at")).alias("share"))
 
 
+@query("hist_lookup_asof", f"{_LOCATED} SELECT map_id, pix, {S.r6(_SHARE)} AS share FROM pr")
+def hist_lookup_asof(spark, d):
+    df, n = X.stored_multi(spark, d)
+    knots = histogram.hist_knots(df, npix_of(n), BINS)
+    return histogram.share_by_asof(df, knots).select("map_id", "pix", r6("share").alias("share"))
+
+
 @query(
     "scale_histogram",
     f"{_LOCATED} SELECT map_id, pix, {S.r6(f'CASE WHEN v <= minv THEN 0.0 WHEN v >= maxv THEN 1.0 ELSE {_SHARE} END')} AS t FROM pr",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skymap.functions.pixels import idiv
 from skymap.functions.search import with_count_below
 from skymap.functions.stretch import KNOTS, scale_histogram, with_knot_position
+from skymap.operators.asof import asof_join
 from skymap.operators.order import exact_quantiles, ranked_values
 from skymap.plans.sizing import small_side
 
@@ -109,6 +110,26 @@ def stretch_by_histogram(
     return with_knot_position(joined, bins=bins).withColumn("t", t).drop("at", "xs", "ps", "minv", "maxv")
 
 
+def share_by_asof(df: DataFrame, knots: DataFrame, out: str = "share") -> DataFrame:
+    """Add the cumulative share of each value from knot rows (map_id, k, value, cdf), for any number of
+    maps and knots: no arrays travel and no map is gathered in one task. As ``knot_share``."""
+    ahead = W.partitionBy("map_id").orderBy("k")
+    pairs = knots.select(
+        "map_id", "k", "value", "cdf", F.lead("value").over(ahead).alias("x1"), F.lead("cdf").over(ahead).alias("p1")
+    )
+    met = asof_join(df, pairs, "map_id", "value", "k", "__at")
+    v, x0, p0, x1, p1 = F.col("value"), *(F.col(f"__at.{c}") for c in ("value", "cdf", "x1", "p1"))
+    between = p0 + (v - x0) / (x1 - x0) * (p1 - p0)
+    share = (
+        F.when(v.isNull(), F.lit(None).cast("double"))
+        .when(x0.isNull(), F.lit(0.0))
+        .when(x0 == v, p0)
+        .when(x1.isNull(), F.lit(1.0))
+        .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), between)))
+    )
+    return met.withColumn(out, share).drop("__at")
+
+
 # ------------------------------------------------------------ lookups in knots
 
 

@@ -348,3 +348,25 @@ def test_sample_ramp(spark):
     rows = raster.sample_points(pts, df, n, "RING").collect()
     assert sum(r.value is None for r in rows) == 1
     assert all(r.value == pytest.approx(0.1 * r.pix) for r in rows if r.pix is not None)
+
+
+def test_asof_join(spark):
+    """One key with half of all rows, one value with a third, ties, nulls, keys of one side only."""
+    from skymap.operators.asof import asof_join
+
+    rng = np.random.default_rng(8)
+    left = [("hot", 7.0 if rng.random() < 0.6 else float(rng.integers(0, 40)), i) for i in range(900)]
+    left += [(str(rng.choice(["a", "b", "lone"])), float(rng.normal() * 10), 1000 + i) for i in range(300)]
+    left += [("a", None, 2000), (None, 1.0, 2001), ("a", 1.0, 2002), ("a", 1.0, 2002)]
+    right = [("hot", float(x), k, k) for k, x in enumerate(sorted(rng.integers(0, 40, 60)))]
+    right += [("a", -3.0, 0, 100), ("a", 2.0, 1, 101), ("b", 0.0, 0, 102), ("b", None, 1, 103), (None, 0.0, 0, 104), ("only", 0.0, 0, 105)]
+    l = spark.createDataFrame(left, "m string, v double, i long").repartition(5)
+    r = spark.createDataFrame(right, "m string, v double, k long, id long")
+    got = asof_join(l, r, "m", "v", "k").collect()
+
+    def want(m, v):
+        near = [(x, k, i) for n, x, k, i in right if m is not None and n == m and x is not None and v is not None and x <= v]
+        return max(near)[2] if near else None
+
+    assert len(got) == len(left)
+    assert sorted(((x.m, x.v, x.i, x.hit and x.hit.id) for x in got), key=repr) == sorted(((m, v, i, want(m, v)) for m, v, i in left), key=repr)
