@@ -10,11 +10,11 @@ from checks import fixtures as X
 from checks import sql as S
 from checks.raster_queries import _FOV, _TT, _VIEW_SQL, _gnomonic, _res
 from checks.registry import query
-from skymap.functions.frames import sph_to_vec
+from skymap.functions.frames import GAL_TO_EQ, sph_to_vec
 from skymap.functions.pixels import npix_of, with_pix2ang_nest
-from skymap.operators import geometry, limits, pyramid, raster, regions
+from skymap.operators import geometry, limits, masks, pyramid, raster, regions, sketch
 from skymap.plans.sizing import materialize
-from skymap.sources import store
+from skymap.sources import manifest, store
 
 r6 = X.r6
 
@@ -221,3 +221,69 @@ def fit_maps(spark, d):
     pixels, maps = _mixed(spark, d)
     out = geometry.fit_maps(pixels, maps)
     return out.select("map_id", "nside", "ordering", *(F.round(c, 3).alias(c) for c in ("m", "dx", "dy", "dz")))
+
+
+# ------------------------------------------------------------------------- sketches
+
+
+def _within_error(values, found):
+    """(map_id, n, minv, maxv, low_ok, high_ok): whether the shares below the two quantiles are as near
+    to 5 and 95 % as the sketch promises."""
+    met = values.filter("value is not null").join(F.broadcast(found), "map_id")
+    share = lambda c: F.avg((F.col("value") <= F.col(c)).cast("double"))
+    near = lambda c, q: F.abs(share(c) - q) <= sketch.rank_error() + 2 / F.count("*")
+    return met.groupBy("map_id").agg(
+        F.max("n").alias("n"), r6(F.max("minv")).alias("minv"), r6(F.max("maxv")).alias("maxv"),
+        near("p5", 0.05).alias("low_ok"), near("p95", 0.95).alias("high_ok"),
+    )
+
+
+@query(
+    "sketch_limits",
+    f"WITH {S.MULTI} SELECT map_id, count(*) AS n, {S.r6('min(value)')} AS minv, {S.r6('max(value)')} AS maxv, true AS low_ok, true AS high_ok FROM m GROUP BY 1",
+)
+def sketch_limits(spark, d):
+    """Sketches of four parts of each map, merged."""
+    df, _ = X.stored_multi(spark, d)
+    parts = sketch.sketch_maps(df.withColumn("part", F.col("pix") % 4), ("map_id", "part"))
+    found = sketch.quantiles(sketch.merge_sketches(parts), {"p5": 0.05, "p95": 0.95}).drop("sketch")
+    return _within_error(df, materialize(found))
+
+
+@query(
+    "stored_limits",
+    "SELECT 'm' || lpad(CAST(o_orderkey // 3072 AS VARCHAR), 6, '0') || '#0' AS map_id, count(*) AS n, 'ok' AS status, true AS inside FROM orders GROUP BY 1",
+)
+def stored_limits(spark, d):
+    """Limits of ingested files from their sketches: p5 and p95 lie between the exact p4 and p6, p94 and p96."""
+    folder = X.write_dense(spark, d, "f64", X.new_folder(spark, "incoming"))
+    path = X.new_folder(spark, "store")
+    manifest.ingest_incremental(spark, folder, path)
+    found = manifest.stored_limits(spark, path)
+    pixels = spark.read.parquet(f"{path}/pixels").filter("value > -1e30")
+    q = lambda p: F.percentile("value", F.lit(p))
+    exact = pixels.groupBy("map_id").agg(F.count("*").alias("n"), q(0.04).alias("a"), q(0.06).alias("b"), q(0.94).alias("c"), q(0.96).alias("d"))
+    both = exact.join(found, "map_id")
+    inside = F.col("minv").between(F.col("a"), F.col("b")) & F.col("maxv").between(F.col("c"), F.col("d"))
+    return both.select(X.stem().alias("map_id"), "n", "status", inside.alias("inside"))
+
+
+# --------------------------------------------------------------------- foreign masks
+
+
+@query(
+    "mask_turned",
+    f"WITH {S.params('orders')}, {S.params('customer', 'pc')}, "
+    "mk AS (SELECT (p_partkey*104729) % npix AS pix, bool_and(p_size > 10) AS valid FROM part, pc GROUP BY 1), "
+    f"t0 AS (SELECT unnest(range(0, npix)) AS pix, nside FROM p), t1 AS (SELECT *, {S.pix2ang_ring('nside', 'pix', 'th', 'ph')} FROM t0), "
+    "t2 AS (SELECT pix, sin(th)*cos(ph) AS ax, sin(th)*sin(ph) AS ay, cos(th) AS az FROM t1), "
+    f"t3 AS (SELECT *, {S.rotate(GAL_TO_EQ, 'ax', 'ay', 'az', ('bx', 'by_', 'bz'))}, acos(greatest(-1, least(1, bz))) AS mth, atan2(by_, bx) AS mph FROM t2), "
+    "t4 AS (SELECT t3.pix AS tp, mth, mph, pc.nside AS m FROM t3, pc), "
+    f"t5 AS (SELECT *, {S.ang2pix_nest('m', 'mth', 'mph', 'mp', 'k_')} FROM t4) "
+    "SELECT tp AS pix, coalesce(mk.valid, true) AS valid FROM t5 LEFT JOIN mk ON mk.pix = t5.mp",
+)
+def mask_turned(spark, d):
+    """A mask of the balances' resolution, NESTED and equatorial, for the order map."""
+    n, m = X.nside_of(spark, d, "orders"), X.nside_of(spark, d, "customer")
+    mask = X.mask_parts(spark, d, npix_of(m))
+    return masks.turn_mask(mask, m, "NESTED", "C", n, "RING", "G")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skymap.functions.pixels import npix_of
+from skymap.functions.frames import frame_matrix, rotate, sph_to_vec, vec_to_sph
+from skymap.functions.pixels import NESTED, nest_parent, npix_of, require_power_of_two, with_ang2pix, with_nest2ring, with_pix2ang
 from skymap.functions.staging import as_sql, compute
 from skymap.functions.values import UNSEEN
 from skymap.operators.bitmap import in_set
@@ -207,6 +208,44 @@ def mask_frame_check(maps: DataFrame, masks: DataFrame) -> DataFrame:
     )
 
 
+RULES = ("any", "majority", "all")
+
+
+def turn_mask(
+    mask: DataFrame, mask_nside: int, mask_ordering: str, mask_frame: str,
+    nside: int, ordering: str, frame: str, rule: str = "any",
+) -> DataFrame:
+    """(pix, valid) of a mask in the frame, resolution and ordering of a map, every pixel of it.
+
+    Each pixel of the finer of the two resolutions, in the map's frame, asks the mask pixel that holds
+    its centre; one the mask lacks is valid. A map pixel made of several is hidden if any of them is, if
+    more than half are, or if all are, as ``rule`` says. The mask travels as a bitmap.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}")
+    require_power_of_two(nside)
+    require_power_of_two(mask_nside)
+    fine = max(nside, mask_nside)
+    rows = mask.sparkSession.range(npix_of(fine)).select(F.col("id").alias("__fine"))
+    rows = with_pix2ang(rows, fine, NESTED, "__fine", ("__t", "__p"))
+    x, y, z = sph_to_vec("__t", "__p")
+    rows = rows.select("__fine", x.alias("__x"), y.alias("__y"), z.alias("__z"))
+    turned = rotate(frame_matrix(frame, mask_frame), (F.col("__x"), F.col("__y"), F.col("__z")))
+    theta, phi = vec_to_sph(*turned)
+    rows = rows.select("__fine", theta.alias("__t"), phi.alias("__p"))
+    rows = with_ang2pix(rows, mask_nside, mask_ordering, "__t", "__p", "pix").select("__fine", "pix")
+    rows = in_set(rows, mask, ~F.coalesce(F.col("valid"), F.lit(True)), nside=mask_nside, out="__hidden")
+    levels = (fine // nside).bit_length() - 1
+    pix = nest_parent("__fine", levels)
+    if levels == 0:
+        out = rows.select(pix.alias("pix"), (~F.col("__hidden")).alias("valid"))
+    else:
+        share = F.avg(F.col("__hidden").cast("double"))
+        hidden = {"any": share > 0, "majority": share > 0.5, "all": share == 1}[rule]
+        out = rows.groupBy(pix.alias("pix")).agg((~hidden).alias("valid"))
+    return out if ordering == NESTED else with_nest2ring(out, nside, "pix", "pix").select("pix", "valid")
+
+
 def mask_stats(mask: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Counts and percentages of masked and valid pixels."""
     n = F.count(F.lit(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skymap.functions.frames import IDENTITY, Matrix
 from skymap.functions.pixels import npix_of
@@ -12,6 +13,7 @@ from skymap.operators.clean import clean_map
 from skymap.operators.degrade import GNOMONIC_WIDTH, auto_degrade
 from skymap.operators.histogram import hist_knots, knot_arrays
 from skymap.operators.limits import auto_limits, fov_limits
+from skymap.operators.masks import turn_mask
 from skymap.operators.raster import GRAY, RGBA, Projection, raster_index, reproject
 from skymap.plans.sizing import materialize
 
@@ -39,6 +41,10 @@ def figure(
     mask_nside: int | None = None,
     mask_id: str | None = None,
     cmap: str | None = None,
+    mask_ordering: str | None = None,
+    mask_frame: str | None = None,
+    mask_rule: str = "any",
+    frame: str = "G",
 ) -> DataFrame:
     """Clean, lower the resolution, find limits and draw maps of one resolution.
 
@@ -46,8 +52,9 @@ def figure(
     What several steps read again is stored once: the lowered pixels, the raster
     index and the limits. Limits of a gnomonic cut-out come from its field of view.
     With ``downgrade`` large maps are lowered to what the raster needs. A mask comes
-    with its own ``mask_nside``, which must be that of the maps as drawn. A map without
-    values is drawn as bad cells.
+    with its own ``mask_nside`` and, where they are not those of the maps, its ordering and
+    frame (``frame`` is the maps'): what differs from the maps as drawn is turned by
+    ``masks.turn_mask`` and its rule. A map without values is drawn as bad cells.
     """
     if projection not in (MOLLWEIDE, HAMMER, GNOMONIC):
         raise ValueError(f"unknown projection {projection!r}")
@@ -74,6 +81,12 @@ def figure(
         given = lim if minv is not None and maxv is not None else None
         knots = materialize(knot_arrays(hist_knots(pixels, npix_of(n), scale.bins, given)))
     n_maps = lim.count()
+    if mask is not None and (mask_nside, mask_ordering or ordering, mask_frame or frame) != (n, ordering, frame):
+        own = mask.filter(F.col("mask_id") == mask_id) if "mask_id" in mask.columns and mask_id is not None else mask
+        if "mask_id" in own.columns and mask_id is None:
+            raise ValueError("the mask table has mask_id: name one")
+        turned = turn_mask(own, mask_nside, mask_ordering or ordering, mask_frame or frame, n, ordering, frame, mask_rule)
+        mask, mask_nside, mask_id = materialize(turned), n, None
     drawn = maps.join(lim.select("map_id"), "map_id", "left_semi")
     return reproject(
         pixels, drawn, lim, proj, n, ordering, lut, view, scale, gamma, bad,

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skymap.functions.values import seen_or_null
+from skymap.operators.sketch import sketch_limits, sketch_maps
 from skymap.plans.sizing import materialize, small_side
 from skymap.sources.fits import describe_maps, list_files, map_metadata, read_maps
 
@@ -73,10 +75,21 @@ def ingest_incremental(
     maps = materialize(maps)
     wanted = maps.select(F.col("source").alias("path"), F.col("col").alias("value_col"))
     todo = columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi")
-    versions = small_side(maps.select("map_id", "version"), stored=True)
-    pixels = read_maps(todo, wanted).join(versions, "map_id")
+    versions = maps.select("map_id", "version")
+    pixels = read_maps(todo, wanted).join(small_side(versions, stored=True), "map_id")
     pixels.sortWithinPartitions("version", "pix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "version"
     ).parquet(pixel_path)
+    fresh = spark.read.parquet(pixel_path).join(small_side(versions.select("version"), stored=True), "version", "left_semi")
+    fresh = fresh.withColumn("value", seen_or_null(F.col("value")))
+    sketches = sketch_maps(fresh, ("map_id", "version"))
+    sketches.write.mode("append").parquet(f"{store}/sketches")
     maps.write.mode("append").parquet(manifest_path)
     return maps
+
+
+def stored_limits(spark: SparkSession, store: str, kind: str = "linear") -> DataFrame:
+    """(map_id, minv, maxv, status) of the newest version of every map, from its stored sketch: no
+    pixel is read. A version that a lost job wrote twice counts once."""
+    sketches = spark.read.parquet(f"{store}/sketches").dropDuplicates(["version"])
+    return sketch_limits(current(sketches, spark.read.parquet(f"{store}/manifest")), kind)

@@ -172,3 +172,63 @@ def test_mask_needs_its_nside(spark):
     mask = spark.createDataFrame([(0, True)], "pix long, valid boolean")
     with pytest.raises(ValueError, match="needs its mask_nside"):
         raster.reproject(df, maps, lim, raster.Projection(P.MOLLWEIDE, 8, 4), 1, "RING", mask=mask)
+
+
+def test_sketches_merge_within_their_error(spark):
+    """Parts of very different sizes and values; one map is empty."""
+    from skymap.operators import sketch
+
+    parts = [RNG.normal(size=60_000), RNG.exponential(size=3_000) + 5, np.full(20_000, 0.25)]
+    values = np.concatenate(parts)
+    rows = spark.createDataFrame([(float(v),) for v in values], "value double").withColumn("map_id", F.lit("m"))
+    rows = rows.withColumn("part", F.floor(F.abs(F.hash("value")) % 7)).unionByName(
+        spark.createDataFrame([("e", None, 0)], "map_id string, value double, part long")
+    )
+    made = sketch.merge_sketches(sketch.sketch_maps(rows, ("map_id", "part")))
+    got = {r.map_id: r for r in sketch.quantiles(made, {f"q{i}": i / 20 for i in range(21)}).collect()}
+    assert got["m"].n == len(values) and got["m"].q0 == values.min() and got["m"].q20 == values.max()
+    for i in range(1, 20):
+        q = got["m"][f"q{i}"]
+        low, high = (values < q).mean(), (values <= q).mean()
+        assert low - sketch.rank_error() <= i / 20 <= high + sketch.rank_error()
+    limits_of = {r.map_id: r for r in sketch.sketch_limits(made).collect()}
+    assert limits_of["e"].status == "empty" and limits_of["e"].minv is None and limits_of["m"].status == "ok"
+    assert {r.maxv for r in sketch.sketch_limits(made, "histogram").collect()} == {None, values.max()}
+
+
+@pytest.mark.parametrize("n,m", [(8, 2), (2, 8), (4, 4)])
+@pytest.mark.parametrize("rule", ["any", "majority", "all"])
+def test_turned_mask(spark, n, m, rule):
+    """Against numpy: each fine pixel of the map asks the mask pixel that holds its centre."""
+    from skymap.functions.frames import frame_matrix
+    from skymap.functions.pixels import with_ang2pix_nest
+    from skymap.operators import regions
+
+    hidden = set(RNG.choice(npix_of(m), npix_of(m) // 3, replace=False).tolist())
+    mask = spark.createDataFrame([(p, p not in hidden) for p in range(npix_of(m)) if p % 11], "pix long, valid boolean")
+    got = masks.turn_mask(mask, m, "NESTED", "C", n, "NESTED", "G", rule)
+    fine = max(n, m)
+    v = regions.centres(np.arange(npix_of(fine)), fine.bit_length() - 1) @ np.array(frame_matrix("G", "C")).T
+    angles = spark.createDataFrame(
+        [(i, float(math.acos(max(-1, min(1, z)))), float(math.atan2(y, x))) for i, (x, y, z) in enumerate(v)], "i long, theta double, phi double"
+    )
+    at = with_ang2pix_nest(angles, m, out="at").orderBy("i").toPandas()["at"].to_numpy()
+    bad = np.array([p in hidden and p % 11 != 0 for p in at]).reshape(npix_of(n), -1)
+    want = {"any": bad.any(axis=1), "majority": bad.mean(axis=1) > 0.5, "all": bad.all(axis=1)}[rule]
+    rows = {r.pix: r.valid for r in got.collect()}
+    assert rows == {p: not b for p, b in enumerate(want.tolist())}
+
+
+def test_figure_takes_a_foreign_mask(spark):
+    """A mask of another resolution, ordering and frame is turned; one that fits is left."""
+    from skymap.plans.figure import figure
+
+    raw = spark.range(npix_of(8)).select(F.lit("m").alias("map_id"), F.col("id").alias("pix"), (F.col("id") + 1.0).alias("value"))
+    maps = spark.createDataFrame([("m", 8)], "map_id string, nside long")
+    mask = spark.range(npix_of(4)).select(F.col("id").alias("pix"), (F.col("id") % 2 == 0).alias("valid"))
+    plain = figure(raw, maps, 8, "RING", width=32)
+    turned = masks.turn_mask(mask, 4, "NESTED", "E", 8, "RING", "G")
+    want = figure(raw, maps, 8, "RING", width=32, mask=turned, mask_nside=8)
+    got = figure(raw, maps, 8, "RING", width=32, mask=mask, mask_nside=4, mask_ordering="NESTED", mask_frame="E", frame="G")
+    key = lambda df: sorted(map(tuple, df.select("x", "y", "pix").collect()))
+    assert key(got) == key(want) and 0 < len(key(got)) < plain.count()
