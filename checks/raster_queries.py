@@ -481,7 +481,21 @@ def track_raster_bres(spark, d):
     return tracks.track_raster_bres(segs, 2 * n, 2 * n).select("track_id", "seg_id", "seq", *_long("x", "y"))
 
 
-@query("draw_tracks")
+_DDA = (
+    "cc AS (SELECT track_id, seg_id, seq, nside, CAST(trunc(a0*(4*nside-1)) AS BIGINT) AS x0, CAST(trunc(b0*(2*nside-1)) AS BIGINT) AS y0, "
+    "CAST(trunc(a1*(4*nside-1)) AS BIGINT) AS x1, CAST(trunc(b1*(2*nside-1)) AS BIGINT) AS y1 FROM sm, p), "
+    "nn AS (SELECT *, greatest(abs(x1-x0), abs(y1-y0)) AS n FROM cc), wk2 AS (SELECT *, unnest(range(0, n+1)) AS i FROM nn WHERE n > 0), "
+    "tc AS (SELECT DISTINCT CAST(round((1 - i/n::DOUBLE)*x0 + i/n::DOUBLE*x1) AS BIGINT) AS x, CAST(round((1 - i/n::DOUBLE)*y0 + i/n::DOUBLE*y1) AS BIGINT) AS y FROM wk2)"
+)
+
+
+@query(
+    "draw_tracks",
+    _SEG.replace("WITH RECURSIVE ", f"WITH RECURSIVE {S.ORDERS}, ")
+    + f", {_DDA}, {_index_sql('orders', W, H, 'mollweide')}, {_LIM.format(t='a')}, "
+    f"j AS (SELECT ix.x, ix.y, a.value, minv, maxv FROM ix CROSS JOIN lim LEFT JOIN a ON a.pix = ix.pix), s AS (SELECT *, {_TT} FROM j), k AS (SELECT *, {_COLOUR.format(g=1.0)} FROM s) "
+    "SELECT coalesce(tc.x, k.x) AS x, coalesce(tc.y, k.y) AS y, CASE WHEN tc.x IS NULL THEN k.r ELSE 0 END AS r FROM k FULL JOIN tc ON tc.x = k.x AND tc.y = k.y",
+)
 def draw_tracks(spark, d):
     """Tracks over the order map: both raster layers stacked."""
     n = X.nside_of(spark, d, "orders")

@@ -306,7 +306,11 @@ def track_raster_bres(segs: DataFrame, width: int, height: int) -> DataFrame:
 def draw_tracks(
     tracks: DataFrame, proj: Projection, source: str, target: str, view: Matrix = IDENTITY
 ) -> DataFrame:
-    """Distinct raster cells covered by projected tracks, with the track they come from."""
+    """Distinct raster cells covered by projected tracks, with the track they come from.
+
+    ``seq`` orders the points of a track; gaps in it are closed first.
+    """
+    tracks = dense_seq(tracks)
     if proj.kind == "gnomonic":
         placed = track_project_gnomonic(tracks, proj.width, proj.res, source, target, view)
         segs = track_segments(track_breaks_px(placed), "px", "py")
