@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from checks import fixtures as X
 from checks import sql as S
-from checks.raster_queries import _COLOUR, _LIM, _TT, H, W, _index_sql, _proj
+from checks.raster_queries import _CHUNK, _COLOUR, _LIM, _TT, H, W, _index_sql, _proj
 from checks.registry import query
 from checks.scalar_queries import _VIEW_SQL, _term
 from checks.table_queries import BINS, RANKED
 from skymap.functions import projections as P
+from skymap.functions.frames import view_matrix
 from skymap.functions.pixels import npix_of
 from skymap.functions.stretch import Scale
 from skymap.operators import histogram, limits, raster
-from skymap.plans.figure import figure
+from skymap.plans.figure import figure, figure_files
 from skymap.plans.sizing import materialize
+from skymap.sources import fits
 
 r6 = X.r6
 
@@ -104,3 +106,30 @@ def whole_figure(spark, d):
         gamma=0.5, factor=0.5, mask=X.mask_parts(spark, d, npix_of(n)), mask_nside=n,
     )
     return _shown(out)
+
+
+def _seen_in(coord: str) -> str:
+    """Raster cells with both pixel numbers of a map in this frame, shown in galactic coordinates."""
+    return (
+        f"g{coord} AS (SELECT *, {S.sample_angles(view_matrix(coord, 'G'), 'th0', 'lon')} FROM c2), "
+        f"i{coord} AS (SELECT *, {S.ang2pix_ring('nside', 'g_th', 'g_ph', 'ring')}, {S.ang2pix_nest('nside', 'g_th', 'g_ph', 'nest', 'h_')} FROM g{coord})"
+    )
+
+
+@query(
+    "figure_files",
+    f"WITH {_CHUNK}, p AS (SELECT 16 AS nside, 3072 AS npix), fm AS (SELECT n, CASE WHEN n % 2 = 1 THEN 'RING' ELSE 'NESTED' END AS ordering, substr('GCE', CAST(n % 3 AS INT) + 1, 1) AS coord FROM nf), "
+    f"{S.cells('32', '16')}, c1 AS (SELECT *, {S.mollweide_cell('32', '16')} FROM c0), c2 AS (SELECT x, y, nside, {S.HALF} - lat AS th0, lon FROM c1 WHERE ok), "
+    + ", ".join(map(_seen_in, "GCE"))
+    + ", ia AS (" + " UNION ALL ".join(f"SELECT '{c}' AS coord, x, y, ring, nest FROM i{c}" for c in "GCE") + "), "
+    "lim AS (SELECT n, quantile_cont(v, 0.05) AS minv, quantile_cont(v, 0.95) AS maxv FROM ch WHERE v <> 0 GROUP BY 1), "
+    "j0 AS (SELECT fm.n, fm.ordering, fm.coord, x, y, CASE WHEN ordering = 'RING' THEN ring ELSE nest END AS pix, minv, maxv FROM fm JOIN lim USING (n) JOIN ia ON ia.coord = fm.coord), "
+    "j AS (SELECT 'm' || lpad(CAST(j0.n AS VARCHAR), 6, '0') || '#0' AS map_id, ordering, coord, x, y, v AS value, minv, maxv FROM j0 LEFT JOIN ch ON ch.n = j0.n AND ch.pix = j0.pix), "
+    f"s AS (SELECT *, {_TT} FROM j), k AS (SELECT *, {_COLOUR.format(g=1.0)} FROM s) SELECT {_OUT}, ordering, coord FROM k",
+)
+def all_figures(spark, d):
+    """Files of both orderings and all frames to figures in one frame."""
+    folder = X.write_dense(spark, d, "f64", X.new_folder(spark, "figures"))
+    out = figure_files(fits.describe_maps(fits.list_files(spark, folder)), [0], 32, "G", lut=X.lut_gray(spark))
+    shown = out.withColumn("map_id", X.stem())
+    return shown.select(*(c for c in _shown(shown).columns if c not in ("value", "t", "x", "y", "idx")), *_long("x", "y", "idx"), r6("value").alias("value"), r6("t").alias("t"), "ordering", "coord")

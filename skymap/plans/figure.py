@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skymap.functions.frames import IDENTITY, Matrix
+from skymap.functions.frames import IDENTITY, Matrix, view_matrix
 from skymap.functions.pixels import npix_of
 from skymap.functions.projections import GNOMONIC, HAMMER, MOLLWEIDE
 from skymap.functions.stretch import Scale
@@ -15,7 +15,8 @@ from skymap.operators.histogram import hist_knots, knot_arrays
 from skymap.operators.limits import auto_limits, fov_limits
 from skymap.operators.masks import turn_mask
 from skymap.operators.raster import GRAY, RGBA, Projection, raster_index, reproject
-from skymap.plans.sizing import materialize
+from skymap.plans.sizing import materialize, stored_table
+from skymap.sources.fits import map_metadata, read_maps
 
 
 def figure(
@@ -93,3 +94,34 @@ def figure(
         mask=mask, mask_nside=mask_nside, fill=fill, knots=knots, index=index,
         n_maps=n_maps, mask_id=mask_id, cmap=cmap,
     )
+
+
+# Frames, orderings and resolutions there can be.
+MOST_KINDS = 180
+
+
+def figure_files(
+    columns: DataFrame, value_cols: list[int] = [0], width: int = 1200, frame: str = "G", camera: Matrix | None = None, **options
+) -> DataFrame:
+    """Figures of map files, each map in its own resolution, ordering and sky frame, all shown in one
+    frame: (the raster's columns, nside, ordering, coord).
+
+    ``columns`` is the header table (``sources.fits.describe_maps``). Files are told apart by their
+    headers, one branch for each kind found; a branch reads its files once and stores their pixels.
+    Further options are those of ``figure``.
+    """
+    kind = ["nside", "ordering", "coord"]
+    kinds = map_metadata(columns).select(*kind).distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError("more kinds of maps than there are")
+    out = None
+    for nside, ordering, coord in sorted(kinds):
+        own = columns.filter((F.col("nside") == nside) & (F.col("ordering") == ordering) & (F.col("coord") == coord))
+        maps = map_metadata(own).filter(F.col("col").isin(value_cols)).select("map_id", "nside")
+        raw = stored_table(read_maps(own, value_cols))
+        part = figure(raw, maps, nside, ordering, width, view=view_matrix(coord, frame, camera), frame=coord, **options)
+        part = part.withColumns({"nside": F.lit(nside).cast("long"), "ordering": F.lit(ordering), "coord": F.lit(coord)})
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no maps")
+    return out
