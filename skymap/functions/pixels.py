@@ -267,7 +267,7 @@ def with_pix2ang_nest(df: DataFrame, nside, pix="pix", out=("theta", "phi")) ->
 def _angle_steps(n: str, theta: str, phi: str) -> dict[str, str]:
     """Steps from a direction to ``:x``, ``:y``, ``:f``: its place on the plane, the face whose diamond
     holds it, the sides ``u`` and ``v`` of that diamond. A place on a border belongs to the pixel north
-    of it along the line, in the southern cap to the one south."""
+    of it along the line, in the southern cap to the one south. NULL stays NULL."""
     return {
         "z": f"cos({theta})",
         "column": f"((({phi} % {TWO_PI!r}D) + {TWO_PI!r}D) % {TWO_PI!r}D) * {4.0 / math.pi!r}D",
@@ -287,8 +287,8 @@ def _angle_steps(n: str, theta: str, phi: str) -> dict[str, str]:
         "v": "(1.0D - :dr - :dc) * 0.5D",
         "fu": f"IF(:level OR :south, floor({n} * :u), {n} - 1 - floor({n} * (1.0D - :u)))",
         "fv": f"IF(:level OR NOT :south, {n} - 1 - floor({n} * (1.0D - :v)), floor({n} * :v))",
-        "x": f"CAST(least(greatest(:fu, 0L), {n} - 1) AS BIGINT)",
-        "y": f"CAST(least(greatest(:fv, 0L), {n} - 1) AS BIGINT)",
+        "x": f"IF(:u IS NULL, NULL, CAST(least(greatest(:fu, 0L), {n} - 1) AS BIGINT))",
+        "y": f"IF(:v IS NULL, NULL, CAST(least(greatest(:fv, 0L), {n} - 1) AS BIGINT))",
     }
 
 

@@ -165,3 +165,12 @@ def test_stretch_special_values(spark):
     assert one(stretch.scale_asinh_norm(lit(-1e6), lit(-1e6), lit(1e6), 1.0)) == pytest.approx(0.0, abs=1e-12)
     with pytest.raises(ValueError):
         stretch.gamma("t", 0.0)
+
+
+def test_null_directions(spark):
+    """A direction without colatitude or longitude has no pixel, in either ordering."""
+    from skymap.functions.pixels import with_ang2pix
+
+    df = spark.createDataFrame([(None, 1.0), (1.0, None), (1.0, 1.0)], "theta double, phi double")
+    for ordering in ("RING", "NESTED"):
+        assert [r.pix is None for r in with_ang2pix(df, 16, ordering).collect()] == [True, True, False]
