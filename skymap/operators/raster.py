@@ -17,10 +17,12 @@ from skymap.functions.stretch import Scale, classify, cmap_index, gamma, with_ra
 from skymap.operators.histogram import with_knots
 from skymap.operators.bitmap import in_set
 from skymap.operators.masks import one_mask
-from skymap.plans.sizing import small_side, spread
+from skymap.plans.sizing import BROADCAST_ROWS, materialize, small_side, spread
 
 RGBA = tuple[int, int, int, int]
 GRAY: RGBA = (128, 128, 128, 255)
+# Cells a task makes of a raster.
+CELLS_PER_TASK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -109,7 +111,8 @@ def sample_points(
 
 def raster_cells(spark: SparkSession, width: int, height: int) -> DataFrame:
     """All cells (x, y) with their (u, v)."""
-    cells = spark.range(width * height).select(
+    tasks = max(spark.sparkContext.defaultParallelism, width * height // CELLS_PER_TASK)
+    cells = spark.range(0, width * height, 1, tasks).select(
         (F.col("id") % width).cast("int").alias("x"),
         F.floor(F.col("id") / F.lit(float(width))).cast("int").alias("y"),
     )
@@ -147,10 +150,22 @@ def cells_of_rasters(rasters: DataFrame) -> DataFrame:
     return cells.select("map_id", "x", "y", u.alias("u"), v.alias("v"))
 
 
-def index_of_maps(maps: DataFrame, index: DataFrame, proj: Projection) -> DataFrame:
-    """(map_id, x, y, pix): the raster index for every map; its size is that of the raster."""
-    cells = cells_of_maps(maps, proj.width, proj.height)
-    return cells.join(small_side(index, proj.width * proj.height), ["x", "y"])
+def index_of_maps(maps: DataFrame, index: DataFrame, proj: Projection, n_maps: int | None = None) -> DataFrame:
+    """(map_id, x, y, pix): the raster index for every map; its size is that of the raster.
+
+    The smaller of both goes to every task. Cells of maps are multiplied after their shuffle, so
+    adaptive execution takes them for a few rows: they must never be the side it may broadcast.
+    """
+    size = proj.width * proj.height
+    if size <= BROADCAST_ROWS:
+        return cells_of_maps(maps, proj.width, proj.height).join(F.broadcast(index), ["x", "y"])
+    own = maps.select("map_id")
+    if n_maps is None:
+        own = materialize(own)
+        n_maps = own.limit(BROADCAST_ROWS + 1).count()
+    if n_maps <= BROADCAST_ROWS:
+        return index.crossJoin(F.broadcast(own)).select("map_id", "x", "y", "pix")
+    return cells_of_maps(own, proj.width, proj.height).join(index.hint("merge"), ["x", "y"])
 
 
 def unit_hits(
@@ -168,20 +183,20 @@ def unit_hits(
 
 
 def raster_values(
-    pixels: DataFrame, maps: DataFrame, index: DataFrame, proj: Projection
+    pixels: DataFrame, maps: DataFrame, index: DataFrame, proj: Projection, n_maps: int | None = None
 ) -> DataFrame:
     """(map_id, x, y, pix, value) of every valid cell of every map.
 
-    The index has at most width * height rows. It first cuts the pixel table to
-    the pixels on the raster (broadcast semi join while it fits, so the big table
-    is never shuffled), then the cells of each map are joined to what is left.
+    The index has at most width * height rows. While it can be broadcast it first cuts the pixel
+    table to the pixels on the raster, so the big table is never shuffled; the cells of each map
+    are joined to what is left. A larger raster meets the pixel table in one shuffle.
     """
     size = proj.width * proj.height
-    cut = pixels.select("map_id", "pix", "value").join(
-        small_side(index.select("pix").distinct(), size), "pix", "left_semi"
-    )
-    placed = index_of_maps(maps, index, proj)
-    return placed.join(cut, ["map_id", "pix"], "left").select("map_id", "x", "y", "pix", "value")
+    own = pixels.select("map_id", "pix", "value")
+    if size <= BROADCAST_ROWS:
+        own = own.join(F.broadcast(index.select("pix").distinct()), "pix", "left_semi")
+    placed = index_of_maps(maps, index, proj, n_maps)
+    return placed.join(own, ["map_id", "pix"], "left").select("map_id", "x", "y", "pix", "value")
 
 
 # ----------------------------------------------------------------------- colour
@@ -262,7 +277,7 @@ def reproject(
         raise ValueError("mask and map differ in nside")
     if index is None:
         index = raster_index(pixels.sparkSession, proj, nside, ordering, view)
-    cells = raster_values(pixels, maps, index, proj)
+    cells = raster_values(pixels, maps, index, proj, n_maps)
     bounds = limits.select("map_id", "minv", "maxv")
     cells = cells.join(small_side(bounds, n_maps), "map_id", "left")
     if scale.kind == "histogram":
