@@ -27,6 +27,7 @@ from skymap.functions import projections as P
 from skymap.functions.frames import IDENTITY, Matrix, sph_to_vec, transpose
 from skymap.functions.pixels import with_pix2ang_nest
 from skymap.operators.raster import Projection
+from skymap.plans.sizing import materialize, small_side, spread
 
 Point = tuple[float, float, float]
 Range = tuple[int, int]
@@ -34,6 +35,8 @@ Range = tuple[int, int]
 # Ranges of a pushed filter, and cells of one descent step.
 MOST_RANGES = 64
 MOST_CELLS = 4096
+# Pairs of a cell's cones and pixels that one task compares.
+PAIRS = 1 << 26
 # Leaves room for the rounding of centres and cosines.
 SLACK = 1e-9
 
@@ -238,14 +241,29 @@ def cone_search(cones: DataFrame, pixels: DataFrame, nside: int, order: int | No
     """Pairs of a cone (its columns) and the pixels (map_id, pix, value) with centres in it.
 
     NESTED pixels meet cones on their coarse cell, an equi-join whose two sides are dealt by cell,
-    then the angle decides. ``order`` sets the cells' size: about that of the cones. A cell that
-    many cones share is split by adaptive skew handling, since neither side's rows are gathered.
+    then the angle decides. ``order`` sets the cells' size: about that of the cones. Directions are
+    computed once for each pixel and cone, not for each pair. Both sides keep their number of
+    partitions: adaptive execution would merge them, because it sees the rows and not their pairs.
+    A cell of more than ``PAIRS`` pairs is cut into parts by its cones.
     """
     top = nside.bit_length() - 1
     order = min(top, 4 if order is None else order)
-    near = cells_of_cones(cones, order)
-    placed = pixels.select("map_id", "pix", "value", F.shiftright("pix", 2 * (top - order)).alias("cell"))
-    met = with_pix2ang_nest(placed.join(near, "cell").drop("cell"), nside, "pix", ("__t", "__p"))
-    px, py, pz = sph_to_vec("__t", "__p")
+    near = materialize(cells_of_cones(spread(cones), order))
     x, y, z = F.cos("lat") * F.cos("lon"), F.cos("lat") * F.sin("lon"), F.sin("lat")
-    return met.filter(px * x + py * y + pz * z >= F.cos("radius")).drop("__t", "__p")
+    cell = F.shiftright("pix", 2 * (top - order))
+    placed = pixels.select("map_id", "pix", "value", cell.alias("cell"))
+    sizes = near.groupBy("cell").agg(F.count("*").alias("a")).join(placed.groupBy("cell").agg(F.count("*").alias("b")), "cell")
+    parts = F.ceil(F.col("a") * F.col("b") / F.lit(float(PAIRS))).cast("int")
+    hot = small_side(sizes.select("cell", parts.alias("__parts")).filter("__parts > 1"))
+
+    placed = with_pix2ang_nest(placed, nside, "pix", ("__t", "__p"))
+    px, py, pz = sph_to_vec("__t", "__p")
+    placed = placed.withColumns({"__px": px, "__py": py, "__pz": pz}).drop("__t", "__p").join(hot, "cell", "left")
+    each = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    placed = placed.withColumn("__part", F.explode(each)).drop("__parts")
+    part = F.pmod(F.xxhash64(*cones.columns), F.coalesce("__parts", F.lit(1))).cast("int")
+    near = near.join(hot, "cell", "left").withColumn("__part", part).drop("__parts")
+    near = near.withColumns({"__ax": x, "__ay": y, "__az": z, "__least": F.cos("radius")})
+    met = spread(placed, "cell", "__part").join(spread(near, "cell", "__part"), ["cell", "__part"])
+    product = F.col("__px") * F.col("__ax") + F.col("__py") * F.col("__ay") + F.col("__pz") * F.col("__az")
+    return met.filter(product >= F.col("__least")).select("map_id", "pix", "value", *cones.columns)

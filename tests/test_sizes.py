@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from skymap.operators import raster
+from skymap.operators import raster, regions
 from skymap.operators.raster import Projection
 
 
@@ -40,3 +44,24 @@ def test_large_raster_has_the_same_cells(spark, monkeypatch):
         monkeypatch.setattr(raster, "BROADCAST_ROWS", limit)
         found.append(sorted(map(str, raster.raster_values(pixels, maps, index, proj).collect())))
     assert found[0] == found[1] == found[2] and len(found[0]) == 3 * index.count()
+
+
+def _cones(spark):
+    rows = [(i, 0.1 * i, 0.05 * i - 0.5, 0.05 + 0.01 * (i % 5)) for i in range(20)] + [(90 + i, 1.0, 0.2, 0.1) for i in range(30)]
+    return spark.createDataFrame(rows, "cone_id long, lon double, lat double, radius double")
+
+
+def test_cone_search_deals_pairs(spark, monkeypatch):
+    """The join keeps its partitions, and cells of many pairs are cut without losing a pair."""
+    n = 64
+    pixels = spark.range(12 * n * n).select(F.lit("m").alias("map_id"), F.col("id").alias("pix"), F.col("id").cast("double").alias("value"))
+    met = regions.cone_search(_cones(spark), pixels, n)
+    assert met.rdd.getNumPartitions() == 8
+    want = sorted((r.cone_id, r.pix) for r in met.collect())
+    centre = regions.centres(np.arange(12 * n * n), 6)
+    for c in (3, 95):
+        r = _cones(spark).filter(F.col("cone_id") == c).first()
+        near = centre @ regions.direction(r.lon, r.lat) >= math.cos(r.radius)
+        assert [p for k, p in want if k == c] == near.nonzero()[0].tolist()
+    monkeypatch.setattr(regions, "PAIRS", 50)
+    assert sorted((r.cone_id, r.pix) for r in regions.cone_search(_cones(spark), pixels, n).collect()) == want
