@@ -147,10 +147,10 @@ def tracks_users(spark: SparkSession, d: str) -> DataFrame:
 def tracks_grid(spark: SparkSession, d: str) -> DataFrame:
     """One smooth parallel per supplier: 720 points, half a degree apart.
 
-    Suppliers are spread over tasks before their points are generated.
+    Suppliers are spread over tasks, by track, before their points are generated.
     """
     k = F.col("s_suppkey")
-    return spread(table(spark, d, "supplier").select("s_suppkey")).select(
+    return spread(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select(
         k.alias("track_id"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long"))).alias("seq"),
     ).select(

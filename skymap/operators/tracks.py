@@ -29,12 +29,12 @@ CELL_JUMP = 50.0
 KEYS = ["track_id", "chunk"]
 
 
-def _in_chunk() -> WindowSpec:
-    return W.partitionBy(*KEYS).orderBy("seq")
+def _in_chunk(keys: list[str] = KEYS) -> WindowSpec:
+    return W.partitionBy(*keys).orderBy("seq")
 
 
-def _so_far() -> WindowSpec:
-    return _in_chunk().rowsBetween(W.unboundedPreceding, W.currentRow)
+def _so_far(keys: list[str] = KEYS) -> WindowSpec:
+    return _in_chunk(keys).rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def _by_chunk() -> WindowSpec:
@@ -118,24 +118,15 @@ def _distance(dx: Column, dy: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
-    """(track_id, seg_id, seq, u, v): tracks split at jumps and missing points.
-
-    A point joins the segment of its predecessor unless the jump exceeds 0.15
-    (segment of one point) or max(0.05, 3 x previous step) (longer segment). So
-    each point maps the state "predecessor stands alone (1) / not (2)" to its own
-    state, in one of four ways: always 1, always 2, keep, swap. Such maps compose:
-    the state is the last "always", turned over by every swap since. That needs
-    running windows only, within a chunk and then over chunks. Segments of one
-    point are dropped.
-    """
-    rows = with_halo(df.select("track_id", "seq", "u", "v"), span, before=2, after=1)
+def _break_rules(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Rows with a halo (``own``): the way each maps its predecessor's state, and the last way that
+    fixes it (``anchor``, with the swaps up to it in ``turns``), within its chunk."""
     jump = _distance(
-        F.col("u") - F.lag("u").over(_in_chunk()), F.col("v") - F.lag("v").over(_in_chunk())
+        F.col("u") - F.lag("u").over(_in_chunk(keys)), F.col("v") - F.lag("v").over(_in_chunk(keys))
     )
     rows = rows.withColumn("jump", jump)
     rows = rows.withColumns(
-        {"prev": F.lag("jump").over(_in_chunk()), "next": F.lead("jump").over(_in_chunk())}
+        {"prev": F.lag("jump").over(_in_chunk(keys)), "next": F.lead("jump").over(_in_chunk(keys))}
     ).filter("own")
     j = F.col("jump")
     from_one = F.coalesce(j > FIRST_JUMP, F.lit(True))
@@ -147,19 +138,38 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
             "fixed": F.when(from_one & from_two, F.lit(1)).when(~from_one & ~from_two, F.lit(2)),
             "swap": F.when(~from_one & from_two, F.lit(1)).otherwise(F.lit(0)),
         }
-    ).withColumn("turns", F.sum("swap").over(_so_far()))
+    ).withColumn("turns", F.sum("swap").over(_so_far(keys)))
     anchor = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns"))
-    rows = rows.withColumn("anchor", F.last(anchor, ignorenulls=True).over(_so_far()))
+    return rows.withColumn("anchor", F.last(anchor, ignorenulls=True).over(_so_far(keys)))
+
+
+def _state(entering: Column) -> Column:
+    """State of a row (stands alone: 1, not: 2), from the state its chunk is entered with."""
+    since = F.col("turns") - F.coalesce(F.col("anchor.turns"), F.lit(0))
+    base = F.coalesce(F.col("anchor.fixed"), entering)
+    return F.when(since % 2 == 0, base).otherwise(F.lit(3) - base)
 
-    def state(entering: Column) -> Column:
-        since = F.col("turns") - F.coalesce(F.col("anchor.turns"), F.lit(0))
-        base = F.coalesce(F.col("anchor.fixed"), entering)
-        return F.when(since % 2 == 0, base).otherwise(F.lit(3) - base)
 
-    here = F.col("u").isNotNull() & F.col("v").isNotNull()
-    starts = lambda e: F.count_if(here & (state(F.lit(e)) == 1))
+def _here() -> Column:
+    return F.col("u").isNotNull() & F.col("v").isNotNull()
+
+
+def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
+    """(track_id, seg_id, seq, u, v): tracks split at jumps and missing points.
+
+    A point joins the segment of its predecessor unless the jump exceeds 0.15
+    (segment of one point) or max(0.05, 3 x previous step) (longer segment). So
+    each point maps the state "predecessor stands alone (1) / not (2)" to its own
+    state, in one of four ways: always 1, always 2, keep, swap. Such maps compose:
+    the state is the last "always", turned over by every swap since. That needs
+    running windows only, within a chunk and then over chunks. Segments of one
+    point are dropped.
+    """
+    rows = _break_rules(with_halo(df.select("track_id", "seq", "u", "v"), span, before=2, after=1))
+    here = _here()
+    starts = lambda e: F.count_if(here & (_state(F.lit(e)) == 1))
     chunks = rows.groupBy(*KEYS).agg(
-        F.max_by(F.when(F.col("anchor").isNotNull(), state(F.lit(1))), "seq").alias("fixed"),
+        F.max_by(F.when(F.col("anchor").isNotNull(), _state(F.lit(1))), "seq").alias("fixed"),
         F.max_by(F.when(F.col("anchor").isNull(), F.col("turns")), "seq").alias("turns"),
         starts(1).alias("starts1"),
         starts(2).alias("starts2"),
@@ -184,7 +194,7 @@ def track_breaks(df: DataFrame, span: int = SPAN) -> DataFrame:
         *KEYS, "enter", F.coalesce(F.sum("opened").over(_earlier()), F.lit(0)).alias("opened")
     )
     out = rows.join(heads, KEYS)
-    start = here & (state(F.col("enter")) == 1)
+    start = here & (_state(F.col("enter")) == 1)
     out = out.withColumn("start", start.cast("int"))
     out = out.withColumn("seg_id", F.col("opened") + F.sum("start").over(_so_far()) - 1)
     alone = (F.col("start") == 1) & ~F.coalesce(F.col("next") <= FIRST_JUMP, F.lit(False))
@@ -223,6 +233,26 @@ def track_segments(df: DataFrame, a: str = "u", b: str = "v", span: int = SPAN)
     )
 
 
+def short_lines(df: DataFrame) -> DataFrame:
+    """(track_id, seq, a0, b0, a1, b1): the segments of ``track_breaks`` for tracks of one chunk, without
+    their numbers. A point that joins its predecessor makes a segment with it, so one pass over the
+    sorted track does; it leaves the rows dealt by track."""
+    rows = _break_rules(df.select("track_id", "seq", "u", "v", F.lit(True).alias("own")), ["track_id"])
+    before = lambda c: F.lag(c).over(_in_chunk(["track_id"]))
+    rows = rows.withColumns({"a0": before("u"), "b0": before("v")})
+    joined = rows.filter(_here() & (_state(F.lit(1)) == 2))
+    return joined.select("track_id", (F.col("seq") - 1).alias("seq"), "a0", "b0", F.col("u").alias("a1"), F.col("v").alias("b1"))
+
+
+def _track_ends(df: DataFrame) -> tuple[bool, int]:
+    """(whether all tracks are numbered 0, 1, 2, ..., largest position)."""
+    at = F.col("seq").cast("long")
+    ends = df.groupBy("track_id").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count("*").alias("n"), F.sum(at).alias("s"))
+    dense = (F.col("a") == 0) & (F.col("b") == F.col("n") - 1) & (2 * F.col("s") == F.col("n") * F.col("b"))
+    uneven, last = ends.agg(F.count_if(~F.coalesce(dense, F.lit(False))), F.max("b")).first()
+    return uneven == 0, last or 0
+
+
 # ----------------------------------------------------------------- rasterisation
 
 
@@ -232,6 +262,10 @@ def _toward_zero(x: Column) -> Column:
 
 def track_raster_dda(segs: DataFrame, width: int, height: int) -> DataFrame:
     """Cells of each (u, v) segment by rounded linear steps; zero length gives none."""
+    return _dda_cells(segs, width, height).select("track_id", "seg_id", "seq", "x", "y")
+
+
+def _dda_cells(segs: DataFrame, width: int, height: int) -> DataFrame:
     ends = segs.withColumns(
         {
             "__x0": _toward_zero(F.col("a0") * (width - 1)),
@@ -249,7 +283,7 @@ def track_raster_dda(segs: DataFrame, width: int, height: int) -> DataFrame:
         {"x": at("__x0", "__x1").cast("int"), "y": at("__y0", "__y1").cast("int")}
     )
     inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    return cells.filter(inside).select("track_id", "seg_id", "seq", "x", "y")
+    return cells.filter(inside)
 
 
 def track_raster_bres(segs: DataFrame, width: int, height: int) -> DataFrame:
@@ -308,16 +342,20 @@ def draw_tracks(
 ) -> DataFrame:
     """Distinct raster cells covered by projected tracks, with the track they come from.
 
-    ``seq`` orders the points of a track; gaps in it are closed first.
+    ``seq`` orders the points of a track; gaps in it are closed first, where there are any. Tracks of
+    one chunk each are sorted once and drawn where they lie.
     """
-    tracks = dense_seq(tracks)
+    dense, last = _track_ends(tracks)
+    if not dense:
+        tracks = dense_seq(tracks)
     if proj.kind == "gnomonic":
         placed = track_project_gnomonic(tracks, proj.width, proj.res, source, target, view)
         segs = track_segments(track_breaks_px(placed), "px", "py")
         cells = track_raster_bres(segs, proj.width, proj.height)
     else:
-        segs = track_segments(track_breaks(track_project(tracks, proj, source, target, view)))
-        cells = track_raster_dda(segs, proj.width, proj.height)
+        placed = track_project(tracks, proj, source, target, view)
+        segs = short_lines(placed) if dense and last < SPAN else track_segments(track_breaks(placed))
+        cells = _dda_cells(segs, proj.width, proj.height)
     return cells.select("track_id", "x", "y").distinct()
 
 

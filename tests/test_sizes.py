@@ -8,7 +8,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from skymap.operators import raster, regions
+from skymap.operators import raster, regions, tracks
 from skymap.operators.raster import Projection
 
 
@@ -65,3 +65,18 @@ def test_cone_search_deals_pairs(spark, monkeypatch):
         assert [p for k, p in want if k == c] == near.nonzero()[0].tolist()
     monkeypatch.setattr(regions, "PAIRS", 50)
     assert sorted((r.cone_id, r.pix) for r in regions.cone_search(_cones(spark), pixels, n).collect()) == want
+
+
+def test_short_tracks_are_shuffled_once(spark, monkeypatch):
+    rows = spark.range(30).select(F.col("id").alias("track_id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("seq"))
+    jump = F.when((F.col("seq") + F.col("track_id")) % 13 == 0, 0.9).when(F.col("seq") % 17 < 2, 0.4).otherwise(0.03)
+    points = rows.select("track_id", "seq", (F.col("seq") * jump - 1.5).alias("lon"), (F.sin(F.col("seq") * jump) * 1.2).alias("lat"))
+    proj = Projection("mollweide", 64, 32)
+    cells = tracks.draw_tracks(points, proj, "G", "G")
+    assert _plan(cells).count("Exchange hashpartitioning") <= 1
+    short = sorted(map(tuple, cells.collect()))
+    monkeypatch.setattr(tracks, "SPAN", 10)
+    assert sorted(map(tuple, tracks.draw_tracks(points, proj, "G", "G").collect())) == short and len(short) > 500
+    monkeypatch.undo()
+    gaps = points.withColumn("seq", F.col("seq") * 3 + 5)
+    assert sorted(map(tuple, tracks.draw_tracks(gaps, proj, "G", "G").collect())) == short
