@@ -14,7 +14,7 @@ Texts of fewer than five words are one shingle; texts without words are all equa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,11 +83,13 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def with_sets(texts: DataFrame) -> DataFrame:
-    """The last column of ``texts``, the text, replaced by ``fp``, the hash of its set, and ``bands``."""
+def with_sets(texts: DataFrame, prints: dict[str, Callable[[str | None], int]] | None = None) -> DataFrame:
+    """The last column of ``texts``, the text, replaced by ``fp``, the hash of its set, ``bands`` and a
+    column of unsigned numbers, kept as signed ones, for each function of a text in ``prints``."""
+    prints = prints or {}
     ship_code(texts.sparkSession)
     *kept, _ = texts.schema.fields
-    names = [f.name for f in kept] + ["fp", "bands"]
+    names = [f.name for f in kept] + ["fp", "bands", *prints]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -95,9 +97,12 @@ def with_sets(texts: DataFrame) -> DataFrame:
             *cols, text = batch.columns
             sets = [shingles(t.as_py(), codes) for t in text]
             fps = pa.array([set_hash(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*cols, fps, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names)
+            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            own = [np.fromiter((f(t.as_py()) for t in text), np.uint64, len(text)).view(np.int64) for f in prints.values()]
+            yield pa.RecordBatch.from_arrays([*cols, fps, keys, *map(pa.array, own)], names)
 
     made = [T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    made += [T.StructField(name, T.LongType()) for name in prints]
     return texts.mapInArrow(run, T.StructType([*kept, *made]))
 
 

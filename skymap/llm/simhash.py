@@ -249,16 +249,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _fingerprint_links(pairs: DataFrame) -> DataFrame:
+    """(u, v): from (fp, sim), links that connect the sets whose fingerprints are connected."""
+    roots = components(links(pairs.select("sim").distinct().withColumnRenamed("sim", "fp")))
+    rooted = pairs.join(roots, pairs["sim"] == roots["node"], "left").select("fp", F.coalesce("root", "sim").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("fp").alias("v"))
+    return rooted.join(least, "root").select(F.col("fp").alias("u"), "v").filter("u <> v").distinct()
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of near copies (see ``minhash``): that of the smallest
-    doc_id (null last), then of the smallest hash of the text; of rows equal in both, any one."""
+    """One row of ``docs`` for each group of near copies: that of the smallest doc_id (null last), then
+    of the smallest hash of the text; of rows equal in both, any one.
+
+    Candidates are what the fingerprints link, as in ``near_duplicates``, and, as farther copies differ
+    in more than three bits, what shares a MinHash band; their shingles decide (see ``minhash``).
+    """
     text_hash = F.xxhash64(F.col(f"`{text_col}`"))
     slim = docs.select(F.col(id_col).alias("id"), text_hash.alias("h"), F.col(text_col).alias("text"))
-    prints = minhash.with_sets(slim)
+    prints = stored(minhash.with_sets(slim, {"sim": simhash}))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
     # Texts of equal sets are one row from here on; any of their bands are the same.
     sets = stored(prints.groupBy("fp").agg(first, F.any_value("bands").alias("bands")))
-    near = stored(components(minhash.candidates(sets)))
+    close = _fingerprint_links(stored(prints.select("fp", "sim").distinct()))
+    near = stored(components(minhash.candidates(sets).unionByName(close)))
     grouped = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     reps = sets.join(grouped, sets["fp"] == grouped["node"]).select("fp", "root", F.col("first.id").alias("r_id"), F.col("first.h").alias("r_h"))
     met = reps.join(slim, slim["id"].eqNullSafe(reps["r_id"]) & (slim["h"] == reps["r_h"]))
