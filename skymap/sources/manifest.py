@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,12 @@ def pending(maps: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def current(pixels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Stored pixels of the newest version of each (path, column)."""
-    newest = manifest.groupBy("source", "col").agg(F.max_by("version", "mtime").alias("version"))
-    return pixels.join(newest.select("version"), "version", "left_semi")
+    """Stored pixels of the newest version of each (path, column), from the one run that the manifest names
+    for it: what a lost job left belongs to no run there."""
+    newest = manifest.groupBy("source", "col").agg(
+        F.max_by(F.struct("version", "run"), F.struct("mtime", "run")).alias("v")
+    )
+    return pixels.join(small_side(newest.select("v.version", "v.run")), ["version", "run"], "left_semi")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -60,29 +65,33 @@ def ingest_incremental(
 ) -> DataFrame:
     """Bring ``store`` up to date with the files under ``source``; returns what was new.
 
-    Pixels go to Parquet partitioned by version (map and modification time), sorted by
-    pixel, so a range of pixels is a few row groups. The manifest is appended after the
-    pixels are written, so a lost job is simply repeated; its versions are overwritten,
-    not doubled. Headers are read of new files only.
+    Pixels go to Parquet, one folder for each run, sorted by version (map and modification time) and
+    pixel: a version or a range of its pixels is a few row groups, and folders and files follow the
+    runs and their bytes, not the number of maps. The manifest is appended after the pixels are
+    written, so a lost job is simply repeated; the folder it left is of no run in the manifest, and
+    ``current`` passes it over. Headers are read of new files only.
     """
-    columns = headers(spark, source, store)
-    version = F.concat_ws("@", "map_id", F.unix_micros("mtime").cast("string"))
-    maps = map_metadata(columns).filter(F.col("col").isin(value_cols)).withColumn("version", version)
-    manifest_path, pixel_path = f"{store}/manifest", f"{store}/pixels"
+    manifest_path = f"{store}/manifest"
     known = _stored(spark, manifest_path)
+    if known is not None and "run" not in known.columns:
+        raise ValueError(f"{store} has a folder for each version, as before runs: ingest into a new store")
+    columns = materialize(headers(spark, source, store))
+    version = F.concat_ws("@", "map_id", F.unix_micros("mtime").cast("string"))
+    run = f"r{uuid.uuid4().hex[:16]}"
+    maps = map_metadata(columns).filter(F.col("col").isin(value_cols))
+    maps = maps.withColumn("version", version).withColumn("run", F.lit(run))
     if known is not None:
         maps = pending(maps, known)
     maps = materialize(maps)
+    if known is not None and maps.isEmpty():
+        return maps
     wanted = maps.select(F.col("source").alias("path"), F.col("col").alias("value_col"))
-    todo = columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi")
-    versions = maps.select("map_id", "version")
-    pixels = read_maps(todo, wanted).join(small_side(versions, stored=True), "map_id")
-    pixels.sortWithinPartitions("version", "pix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "version"
-    ).parquet(pixel_path)
-    fresh = spark.read.parquet(pixel_path).join(small_side(versions.select("version"), stored=True), "version", "left_semi")
-    fresh = fresh.withColumn("value", seen_or_null(F.col("value")))
-    sketches = sketch_maps(fresh, ("map_id", "version"))
+    todo = materialize(columns.join(maps.select(F.col("source").alias("path")).distinct(), "path", "left_semi"))
+    pixels = read_maps(todo, wanted).join(small_side(maps.select("map_id", "version"), stored=True), "map_id")
+    own = f"{store}/pixels/run={run}"
+    pixels.sortWithinPartitions("version", "pix").write.parquet(own)
+    fresh = spark.read.schema(pixels.schema).parquet(own).withColumn("value", seen_or_null(F.col("value")))
+    sketches = sketch_maps(fresh, ("map_id", "version")).withColumn("run", F.lit(run))
     sketches.write.mode("append").parquet(f"{store}/sketches")
     maps.write.mode("append").parquet(manifest_path)
     return maps
@@ -91,5 +100,5 @@ def ingest_incremental(
 def stored_limits(spark: SparkSession, store: str, kind: str = "linear") -> DataFrame:
     """(map_id, minv, maxv, status) of the newest version of every map, from its stored sketch: no
     pixel is read. A version that a lost job wrote twice counts once."""
-    sketches = spark.read.parquet(f"{store}/sketches").dropDuplicates(["version"])
+    sketches = spark.read.parquet(f"{store}/sketches")
     return sketch_limits(current(sketches, spark.read.parquet(f"{store}/manifest")), kind)

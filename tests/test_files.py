@@ -120,6 +120,54 @@ def test_stored_pixels_are_sorted(spark, tmp_path):
         assert (np.diff(pix) > 0).all()
 
 
+def test_store_has_a_folder_a_run(spark, tmp_path):
+    """Folders and files of the store follow runs and tasks, not the number of maps."""
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    for i in range(40):
+        _write(src / f"m{i:02d}.fits", np.full(12, float(i)).astype([("v", ">f8")]), ["D"], ["V"], NSIDE=1)
+    assert manifest.ingest_incremental(spark, str(src), store).count() == 40
+    assert manifest.ingest_incremental(spark, str(src), store).count() == 0
+    folder = tmp_path / "store" / "pixels"
+    assert len([f for f in folder.iterdir() if f.is_dir()]) == 1
+    assert len(list(folder.rglob("*.parquet"))) < 40
+    pixels = manifest.current(spark.read.parquet(f"{store}/pixels"), spark.read.parquet(f"{store}/manifest"))
+    assert sorted((r.pix, r.value) for r in pixels.collect()) == [(p, float(v)) for p in range(12) for v in range(40)]
+
+
+def test_lost_job_is_repeated(spark, tmp_path, monkeypatch):
+    """A job lost after its pixels, and one lost after its sketches: repeated, every pixel and map counts once."""
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    for name in "ab":
+        _write(src / f"{name}.fits", np.arange(12.0).astype([("v", ">f8")]), ["D"], ["V"], NSIDE=1)
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_):
+        raise Lost
+
+    plain = manifest.sketch_maps
+    monkeypatch.setattr(manifest, "sketch_maps", lost)
+    with pytest.raises(Lost):
+        manifest.ingest_incremental(spark, str(src), store)
+    monkeypatch.setattr(manifest, "sketch_maps", plain)
+    assert manifest.ingest_incremental(spark, str(src), store).count() == 2
+    (run,) = spark.read.parquet(f"{store}/manifest").select("run").distinct().first()
+    # Sketches and pixels of a run that never came to the manifest.
+    for part in ("pixels", "sketches"):
+        rows = spark.read.parquet(f"{store}/{part}").filter(F.col("run") == run).withColumn("run", F.lit("r0"))
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        if part == "pixels":
+            rows.drop("run").write.parquet(f"{store}/pixels/run=r0")
+        else:
+            rows.write.mode("append").parquet(f"{store}/sketches")
+    pixels = manifest.current(spark.read.parquet(f"{store}/pixels"), spark.read.parquet(f"{store}/manifest"))
+    assert pixels.count() == 24 and pixels.select("map_id", "pix").distinct().count() == 24
+    assert [(r.minv, r.maxv) for r in manifest.stored_limits(spark, store, "histogram").collect()] == [(0.0, 11.0)] * 2
+
+
 def test_long_path_and_three_columns(spark, tmp_path, monkeypatch):
     """A path of over 200 characters; bytes of a row are read once for all columns."""
     folder = tmp_path / ("x" * 120) / ("y" * 120)
