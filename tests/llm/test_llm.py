@@ -84,6 +84,15 @@ def test_suffixes(spark):
     same(got, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.repeats(rows))
 
 
+def test_suffixes_by_bytes_not_words(spark):
+    """A shared passage of 51 words stays with 399 bytes and goes, from every document, with 400."""
+    words = " ".join(f"w{i:05d}" for i in range(51))
+    for size, lost in ((399, 0), (400, 400)):
+        passage = words.ljust(size, "z")
+        got = suffix_dedup.remove_repeats(table(spark, [(i, f"{i}{passage}{'ABC'[i]}") for i in range(3)]))
+        assert [r.n_removed for r in got.collect()] == [lost] * 3
+
+
 def test_difference_cover():
     for r in (1, 2, 3):
         period, cover = suffix_dedup.difference_cover(r)
