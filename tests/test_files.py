@@ -168,6 +168,14 @@ def test_lost_job_is_repeated(spark, tmp_path, monkeypatch):
     assert [(r.minv, r.maxv) for r in manifest.stored_limits(spark, store, "histogram").collect()] == [(0.0, 11.0)] * 2
 
 
+def test_store_of_the_earlier_layout_fails(spark, tmp_path):
+    src, store = tmp_path / "in", f"file://{tmp_path}/store"
+    src.mkdir()
+    spark.sql("select 'a' source, 0 col, timestamp'2026-01-01' mtime, 'a@1' version").write.parquet(f"{store}/manifest")
+    with pytest.raises(ValueError, match="ingest into a new store"):
+        manifest.ingest_incremental(spark, str(src), store)
+
+
 def test_long_path_and_three_columns(spark, tmp_path, monkeypatch):
     """A path of over 200 characters; bytes of a row are read once for all columns."""
     folder = tmp_path / ("x" * 120) / ("y" * 120)
